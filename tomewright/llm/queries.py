@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pieces, simhash
+from . import pieces, simhash, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,5 +26,13 @@ def op4_sentencepiece(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op4_sentencepiece)}
+def op3_embedding_near_dedup(spark, sf_dir):
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op9_nearest_neighbours(spark, sf_dir):
+    return vectors.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op3_embedding_near_dedup, op4_sentencepiece, op9_nearest_neighbours)}
 ORACLE_SQL: dict[str, str] = {}
