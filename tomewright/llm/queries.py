@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pieces, simhash, vectors
+from . import linededup, mixing, pieces, simhash, tokens, urls, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,5 +34,27 @@ def op9_nearest_neighbours(spark, sf_dir):
     return vectors.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op3_embedding_near_dedup, op4_sentencepiece, op9_nearest_neighbours)}
+def op2_token_counts(spark, sf_dir):
+    return tokens.count_tokens(table(spark, sf_dir, "documents"))
+
+
+#: The mixture: sources whose number ends in 0 to 4 are the domain web, the others books.
+LEVELS = {"domain": "case when right(source, 1) between '0' and '4' then 'web' else 'books' end", "lang": "lang", "source": "source"}
+WEIGHTS = {"web": 3, "books": 2, "web/en": 4, "web/de": 2, "books/en": 3, "web/en/src0": 2}
+FRACTION, EPOCHS, SEED = 0.9, 2, 7
+
+
+def op5_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"), LEVELS, WEIGHTS, FRACTION, seed=SEED, max_epochs=EPOCHS)
+
+
+def op7_line_dedup(spark, sf_dir):
+    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_url_filters(spark, sf_dir):
+    return urls.judge_urls(table(spark, sf_dir, "pages")).drop("trust", "distrust")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_counts, op3_embedding_near_dedup, op4_sentencepiece, op5_mixing, op7_line_dedup, op9_nearest_neighbours, op10_url_filters)}
 ORACLE_SQL: dict[str, str] = {}
