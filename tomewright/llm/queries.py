@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, pieces, simhash, tokens, urls, vectors
+from . import extract, linededup, mixing, pieces, quality, simhash, tokens, urls, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op3_embedding_near_dedup(spark, sf_dir):
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op8_quality_classifier(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "score", "keep")
+
+
 def op9_nearest_neighbours(spark, sf_dir):
     return vectors.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -48,6 +52,10 @@ def op5_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"), LEVELS, WEIGHTS, FRACTION, seed=SEED, max_epochs=EPOCHS)
 
 
+def op6_html_extraction(spark, sf_dir):
+    return extract.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op7_line_dedup(spark, sf_dir):
     return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -56,5 +64,11 @@ def op10_url_filters(spark, sf_dir):
     return urls.judge_urls(table(spark, sf_dir, "pages")).drop("trust", "distrust")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_counts, op3_embedding_near_dedup, op4_sentencepiece, op5_mixing, op7_line_dedup, op9_nearest_neighbours, op10_url_filters)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_simhash_near_dedup, op2_token_counts, op3_embedding_near_dedup, op4_sentencepiece, op5_mixing, op6_html_extraction, op7_line_dedup, op8_quality_classifier,
+        op9_nearest_neighbours, op10_url_filters,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
