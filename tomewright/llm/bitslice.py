@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: Planes compared between two looks at which words can be abandoned.
+#: Planes compared between two looks at which words can be abandoned; ``_counted`` takes as many.
 STEP = 16
 
 
@@ -19,11 +19,30 @@ def planes_of(rows: np.ndarray) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def _add(a, b, c):
+    """Carry-save adder: three planes, or stacks of planes, of one weight make one of it and one of twice it."""
+    u = a ^ b
+    return u ^ c, (a & b) | (u & c)
+
+
+def _counted(x: np.ndarray) -> list[np.ndarray]:
+    """Sixteen planes as the five planes of their count in each lane."""
+    s, c = _add(x[0:5], x[5:10], x[10:15])
+    t, d = _add(s[0:2], s[2:4], np.stack([s[4], x[15]]))
+    one, e = t[0] ^ t[1], t[0] & t[1]
+    s, f = _add(c[0:2], c[2:4], np.stack([c[4], e]))  # twos: c, d and e
+    t, g = _add(s[0], s[1], d[0])
+    two, h = t ^ d[1], t & d[1]
+    s, i = _add(f[0], f[1], g)  # fours: f, g and h
+    four, j = s ^ h, s & h
+    return [one, two, four, i ^ j, i & j]
+
+
 def within(planes: np.ndarray, shift: int, valid: np.ndarray, radius: int) -> np.ndarray:
     """Lanes i of ``valid`` (packed words) whose distance to lane i + shift is at most ``radius``.
 
-    Each lane counts its differing bits in a few counter planes that start so high that radius + 1 differences carry
-    out of the last one. A word leaves once all of its lanes have carried out.
+    Sixteen planes at a time are counted by carry-save adders and added to counter planes, which start so high that
+    radius + 1 differences carry out of the last one. A word leaves once all of its lanes have carried out.
     """
     words = np.flatnonzero(valid)
     left = valid[words]
@@ -38,12 +57,19 @@ def within(planes: np.ndarray, shift: int, valid: np.ndarray, radius: int) -> np
         if r:
             far = (far >> np.uint64(r)) | (part[:, words + q + 1] << np.uint64(64 - r))
         far ^= part[:, words]
-        for x in far:
-            for c in counters:
-                t = c & x
-                c ^= x
-                x = t
-            over |= x
+        bits = _counted(far)
+        carry = None
+        for j in range(k):
+            if j < len(bits):
+                if carry is None:
+                    counters[j], carry = counters[j] ^ bits[j], counters[j] & bits[j]
+                else:
+                    counters[j], carry = _add(counters[j], bits[j], carry)
+            else:
+                counters[j], carry = counters[j] ^ carry, counters[j] & carry
+        over |= carry
+        for b in bits[k:]:
+            over |= b
         alive = (left & ~over) != 0
         if not alive.all():
             words, left, over = words[alive], left[alive], over[alive]
@@ -85,10 +111,11 @@ class Forest:
         return used
 
 
-def spanning_pairs(group: np.ndarray, rows: np.ndarray, radii: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+def linked_pairs(group: np.ndarray, rows: np.ndarray, radii: tuple[int, ...], small: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Row pairs that span, within each group, the graph of rows at the last radius or nearer.
 
-    ``group``: a number per row, equal numbers adjacent. Smaller radii come first, so the tree prefers close pairs.
+    ``group``: a number per row, equal numbers adjacent. Smaller radii come first, so the tree prefers close pairs. Groups
+    of at most ``small`` rows give all of their pairs within the last radius instead of a tree.
     """
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.empty(0, np.int64)
     sizes = np.diff(np.r_[starts, len(group)])
@@ -102,16 +129,22 @@ def spanning_pairs(group: np.ndarray, rows: np.ndarray, radii: tuple[int, ...])
     place = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
     room = np.repeat(sizes, sizes) - place  # lanes i with room > d have a partner at i + d
     planes = planes_of(rows[index])
+    big = int(sizes[sizes > small].sum())  # lanes of groups that give a tree
     forest, left, right = Forest(len(index)), [], []
     for radius in radii:
         for d in range(1, int(sizes[0])):
             reach = int(ends[np.searchsorted(-sizes, -d, side="left") - 1])
+            if radius != radii[-1]:
+                reach = min(reach, big)
+            if not reach:
+                break
             valid = np.packbits(room[:reach] > d, bitorder="little")
             padded = np.zeros(8 * -(-reach // 64), np.uint8)
             padded[: len(valid)] = valid
             a = within(planes, d, padded.view(np.uint64), radius)
             if len(a):
-                used = a[forest.join(a, a + d)]
+                tree = a[a < big]
+                used = np.concatenate([tree[forest.join(tree, tree + d)], a[a >= big]])
                 left.append(index[used])
                 right.append(index[used + d])
     return np.concatenate([*left, np.empty(0, np.int64)]).astype(np.int64), np.concatenate([*right, np.empty(0, np.int64)]).astype(np.int64)

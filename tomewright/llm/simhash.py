@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bitslice import spanning_pairs
+from .bitslice import linked_pairs
 from .common import materialize, slices, text_lengths, texts_of
 from .graph import connected_components
 
@@ -116,7 +116,7 @@ def pigeonhole_keys(radius: int, spare: int = 2) -> Column:
     return F.array(*keys)
 
 
-def _linked(words: int, radii: tuple[int, ...]):
+def _linked(words: int, radii: tuple[int, ...], small: int):
     def run(batches):
         held, rows = None, 0
 
@@ -127,7 +127,7 @@ def _linked(words: int, radii: tuple[int, ...]):
             end = table.num_rows if last else int(np.flatnonzero(new)[-1])
             if end:
                 fp = np.stack([table.column(f"f{k}").to_numpy()[:end] for k in range(words)], axis=1).view(np.uint64)
-                a, b = spanning_pairs(np.cumsum(new)[:end], fp, radii)
+                a, b = linked_pairs(np.cumsum(new)[:end], fp, radii, small)
                 rep = table.column("rep").to_numpy()
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], names=["a", "b"])
@@ -145,11 +145,12 @@ def _linked(words: int, radii: tuple[int, ...]):
     return run
 
 
-def hamming_links(classes: DataFrame, keys: Column, words: int, radii: tuple[int, ...]) -> DataFrame:
+def hamming_links(classes: DataFrame, keys: Column, words: int, radii: tuple[int, ...], small: int = 1) -> DataFrame:
     """Edges (a, b) that span the graph of ``classes`` (rep, f0 ..) at the last radius, among rows that share a key.
 
     A key with more than ``TILE`` rows is cut by a hash of rep into tiles, and each two tiles are compared in a task of
-    their own, so that no group must fit one task. From a group comes a spanning forest, never all of its pairs.
+    their own, so that no group must fit one task. From a group of more than ``small`` rows comes a spanning forest, never
+    all of its pairs.
     """
     fp = [f"f{i}" for i in range(words)]
     rows = classes.select(F.explode(F.array_distinct(keys)).alias("key"), "rep", *fp)
@@ -159,25 +160,70 @@ def hamming_links(classes: DataFrame, keys: Column, words: int, radii: tuple[int
     tiles = F.transform(F.sequence(F.lit(0), F.col("t") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))
     rows = rows.withColumn("own", own).withColumn("tile", F.explode(tiles)).select("key", F.col("tile.i").alias("i"), F.col("tile.j").alias("j"), "rep", *fp)
     dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
-    return dealt.mapInArrow(_linked(words, radii), "a long, b long")
+    return dealt.mapInArrow(_linked(words, radii, small), "a long, b long")
 
 
-def simhash_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 3, words: int = 1, radii: tuple[int, ...] = (3,), bands: bool = False) -> DataFrame:
+def _set_of(text: str, width: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, width))
+
+
+def verified(edges: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The ``edges`` (a, b) whose documents (id, text) have shingle sets of at least that Jaccard similarity.
+
+    Only documents with an edge give their sets; an id with several texts gives those of the smallest text.
+    """
+
+    def sets(batches):
+        for batch in batches:
+            lists = [_set_of(t, width).view(np.int64) for t in texts_of(batch.column(1))]
+            ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*lists, np.empty(0, np.int64)])))], names=["id", "set"])
+
+    def compare(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (batch.column(k) for k in (2, 3))
+            n = batch.num_rows
+            own = [np.repeat(np.arange(n), np.diff(c.offsets.to_numpy())) for c in (a, b)]
+            values = [c.flatten().to_numpy().view(np.uint64) for c in (a, b)]
+            sizes = [np.bincount(o, minlength=n) for o in own]
+            order = np.lexsort((np.concatenate(values), np.concatenate(own)))
+            v, o = np.concatenate(values)[order], np.concatenate(own)[order]
+            both = np.bincount(o[1:][(v[1:] == v[:-1]) & (o[1:] == o[:-1])], minlength=n)
+            good = both >= similarity * (sizes[0] + sizes[1] - both) - 1e-9
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in (batch.column(0), batch.column(1))], names=["a", "b"])
+
+    need = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    found = materialize(docs.join(need, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")).mapInArrow(sets, "id long, set array<long>"), "shingle-sets")
+    side = lambda s: found.select(F.col("id").alias(s), F.col("set").alias(f"{s}_set"))
+    return edges.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(compare, "a long, b long")
+
+
+def simhash_groups(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 3, words: int = 1, radii: tuple[int, ...] = (3,), bands: bool = False, similarity: float | None = None, small: int = 1
+) -> DataFrame:
     """(id, fingerprint, component_id) per document: the smallest id reachable over links of ``radii[-1]`` bits or less.
 
     ``words`` = 1 and no ``bands``: the join is exact, by pigeonhole keys. With ``bands`` candidates are documents that
-    share a band of shingle minima, and the fingerprint decides; use it for similarities whose radius is too wide for
-    pigeonhole keys. Equal fingerprints are one node, so copies cost nothing in the join. Null and empty texts have
-    fingerprint zero and link like any other. Rows with a null id get a null component and link nothing; repeated ids
-    are one node with all fingerprints of the id. An empty table gives an empty result. The result has the id and these
-    two columns only, so other columns of ``docs`` can't clash.
+    share a band of shingle minima, and the fingerprint decides, or, if ``similarity`` is named, proposes links that the
+    shingle sets themselves confirm; use it for similarities whose radius is too wide for pigeonhole keys. Equal
+    fingerprints are one node, so copies cost nothing in the join.
+
+    Null and empty texts have fingerprint zero and link like any other. Rows with a null id get a null component and link
+    nothing; repeated ids are one node with all fingerprints of the id. An empty table gives an empty result. The result
+    has the id and these two columns only, so other columns of ``docs`` can't clash.
     """
     fp = [f"f{i}" for i in range(words)]
-    found = materialize(fingerprints(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")), "id", "text", width, words, bands), "simhash")
+    base = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    found = materialize(fingerprints(base, "id", "text", width, words, bands), "simhash")
     by = [*fp, "keys"] if bands else fp
     classes = materialize(found.where("id is not null").groupBy(*by).agg(F.min("id").alias("rep")), "simhash-classes")
     keys = F.concat("keys", F.array(F.xxhash64(*fp))) if bands else pigeonhole_keys(radii[-1])
-    edges = hamming_links(classes, keys, words, radii)
+    edges = hamming_links(classes, keys, words, radii, small)
+    if similarity is not None:
+        edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "simhash-edges")
+        edges = verified(edges, base, width, similarity)
     # an id with several rows ties their fingerprints together; only ids that repeat have such edges
     again = found.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
     ties = found.join(again, "id").join(classes, by).select(F.col("id").alias("a"), F.col("rep").alias("b"))
@@ -191,9 +237,9 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     """``simhash_groups`` for a similarity of 0.8 of five-word shingle sets.
 
     At that similarity 15 of 100 fingerprint bits differ on average, which 64 bits measure too coarsely; 256 bits are
-    compared, at a radius two deviations above that mean.
+    compared, at a radius two deviations above that mean, and what they propose is confirmed on the shingle sets.
     """
-    return simhash_groups(docs, id, text, width=5, words=4, radii=(24, 36, 50), bands=True)
+    return simhash_groups(docs, id, text, width=5, words=4, radii=(30, 50), bands=True, similarity=0.8, small=32)
 
 
 def keep_first(docs: DataFrame, groups: DataFrame, id: str = "doc_id") -> DataFrame:
