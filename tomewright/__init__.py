@@ -1,0 +1 @@
+"""tomewright: catalog and reading-library analytics on Spark DataFrames."""
