@@ -21,9 +21,13 @@ def status_of(rank: Column) -> Column:
     return names[rank]
 
 
+def _check(checks: Column, id: str) -> Column:
+    return F.get(F.filter(checks, lambda c: c["id"] == id), F.lit(0))
+
+
 def grouped_check(checks: Column, ids: tuple[str, ...]) -> Column:
     """(status, available) of a group: the worst of its checks; one that is missing counts as unknown and unavailable."""
-    found = [F.get(F.filter(checks, lambda c, i=i: c["id"] == i), F.lit(0)) for i in ids]
+    found = [_check(checks, i) for i in ids]
     worst = F.greatest(*[severity(c["status"]) for c in found]) if len(found) > 1 else severity(found[0]["status"])
     available = reduce(lambda a, b: a & b, [F.coalesce(c["available"], F.lit(False)) for c in found])
     return F.struct(status_of(worst).alias("status"), available.alias("available"))
