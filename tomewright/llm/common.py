@@ -12,11 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 #: Where intermediate tables go if the session names no shared folder (single-machine use and tests).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/tomewright"
 
-#: A word: a run of anything but the space and the ASCII controls TAB to CR.
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-
 #: Most characters of text that one output batch of a Python operator is built from.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
+#: Rows and bytes that go to a Python worker at a time, so that neither side holds more of a partition than this.
+ARROW_ROWS, ARROW_BYTES = 2000, 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,6 +36,29 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
+def arrow_map(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` with batches of bounded rows and bytes; the bounds are set for the session, lower ones stay."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = re.fullmatch(r"(-?\d+)([kmg]?)b?", (conf.get(key) or "").lower())
+        size = int(now[1]) * {"": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}[now[2]] if now else 0
+        if size <= 0 or size > most:
+            conf.set(key, str(most))
+    return df.mapInArrow(function, schema)
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:
     """A text column as Python strings; null is the empty text."""
     return [t if t is not None else "" for t in column.to_pylist()]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import dom
-from .common import slices, text_lengths, texts_of
+from .common import arrow_map, slices, text_lengths, texts_of
 
 #: States of a node: boilerplate, part of the main text, or around both.
 BOILER, CONTENT, AROUND = 0, 1, 2
@@ -196,4 +196,4 @@ def extract_pages(pages: DataFrame, html: str = "html", text: str = "text", mode
                 texts = extract_texts([h.encode("utf-8", "replace").decode() for h in texts_of(part.column(len(kept)))], model)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], names=schema.names)
 
-    return pages.select(*[pages[f.name] for f in kept], pages[html].alias("__html")).mapInArrow(run, schema)
+    return arrow_map(pages.select(*[f.name for f in kept], html), run, schema)

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_lengths, texts_of, slices
+from .common import arrow_map, fresh, materialize, slices, text_lengths, texts_of
 
 #: Words from which a repeated run of lines is deleted.
 MIN_WORDS = 50
@@ -68,7 +68,7 @@ def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), ARROW)], schema=ARROW)
 
     source = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("doc"), F.xxhash64(text).alias("th"), F.col(text))
-    windows = materialize(source.mapInArrow(run, DDL), "line-windows")
+    windows = materialize(arrow_map(source, run, DDL), "line-windows")
     again = windows.where("first").groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
     near = windows.join(again, "fp", "left_semi")
     heads = near.groupBy("fp", "run").agg(F.min(F.struct("doc", "start", "tail")).alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -93,21 +93,22 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_wor
     a column of ``docs`` named like ``removed`` is replaced.
     """
     spans = repeated_lines(docs.select(F.col(id), F.col(text)), id, text, min_words)
-    keyed = docs.drop(removed).withColumn("__th", F.xxhash64(text)).withColumn("__doc", F.col(id).cast("long"))
-    both = keyed.join(spans.select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), F.col("spans").alias("__spans")), ["__doc", "__th"], "left")
+    doc, th, found = fresh(docs, "__doc", "__th", "__spans")
+    keyed = docs.drop(removed).withColumn(th, F.xxhash64(text)).withColumn(doc, F.col(id).cast("long"))
+    both = keyed.join(spans.select(F.col("doc").alias(doc), F.col("th").alias(th), F.col("spans").alias(found)), [doc, th], "left")
     lines = F.split(F.col(text), "\n", -1)
     merged = F.aggregate(  # sorted spans become few that do not overlap
-        "__spans",
+        found,
         F.array().cast("array<struct<start:int,end:int>>"),
         lambda acc, s: F.when(
             (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] + 1 >= s["start"]),
             F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end")))),
         ).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))),
     )
-    both = both.withColumn("__spans", F.when(F.col("__spans").isNotNull(), merged))
-    left = F.filter(lines, lambda line, i: ~F.exists("__spans", lambda s: i.between(s["start"], s["end"])))
-    gone = F.aggregate("__spans", F.lit(0), lambda n, s: n + s["end"] - s["start"] + 1)
-    cut = both.withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))).withColumn(removed, F.coalesce(gone, F.lit(0)))
+    both = both.withColumn(found, F.when(F.col(found).isNotNull(), merged))
+    left = F.filter(lines, lambda line, i: ~F.exists(found, lambda s: i.between(s["start"], s["end"])))
+    gone = F.aggregate(found, F.lit(0), lambda n, s: n + s["end"] - s["start"] + 1)
+    cut = both.withColumn(text, F.when(F.col(found).isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))).withColumn(removed, F.coalesce(gone, F.lit(0)))
     if drop_emptied:
         cut = cut.where((F.col(removed) == 0) | F.col(text).rlike(r"\S"))
     return cut.select(*[c for c in docs.columns if c != removed], removed)

@@ -11,11 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices, text_lengths, texts_of
+from .common import arrow_map, slices, text_lengths, texts_of
 
 SPACE = "▁"
-#: Encoded stretches and token pairs that each worker remembers; beyond it the older half is forgotten.
-MEMO = 400_000
+#: Encoded stretches, and token pairs, that each worker remembers; beyond it the older half is forgotten.
+STRETCHES, PAIRS = 250_000, 150_000
 
 
 def default_model() -> str:
@@ -25,15 +25,15 @@ def default_model() -> str:
 
 
 class _Memo(dict):
-    """A bounded cache: what is missing is computed, and past ``MEMO`` entries the older half goes."""
+    """A bounded cache: what is missing is computed, and past ``most`` entries the older half goes."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, key):
-        if len(self) >= MEMO:
-            for old in list(self)[: MEMO // 2]:
+        if len(self) >= self.most:
+            for old in list(self)[: self.most // 2]:
                 del self[old]
         self[key] = value = self.make(key)
         return value
@@ -71,15 +71,14 @@ class PieceModel:
         inner = any(re.search(f"[^{SPACE}]{SPACE}", x) for x in self.id)
         lines = any("\n" in x for x in self.id)
         self.cut = re.compile(r"(?s).+" if inner else f"{SPACE}*[^{SPACE}]+|{SPACE}+" if lines else f"{SPACE}*[^{SPACE}\\n]+|{SPACE}+|\\n").findall
-        self.joins = _Memo(lambda pair: self.merge(pair[0] + pair[1]) == [*pair])
-        self.text_of = list(self.id)
+        self.joins = _Memo(lambda pair: self.merge(pair[0] + pair[1]) == [*pair], PAIRS)
         self.find = ahocorasick.Automaton()
         for piece in self.id:
             if len(piece) == 1 or self.merge(piece) == [piece]:
                 self.find.add_word(piece, piece)
         self.find.make_automaton()
         self.shorter = {x: next((x[:n] for n in range(len(x) - 1, 0, -1) if x[:n] in self.find), None) for x in self.find}
-        self.memo = _Memo(self._stretch)
+        self.memo = _Memo(self._stretch, STRETCHES)
 
     def merge(self, text: str) -> list[str]:
         """Plain merging of a short text: the best-scored neighbouring pair first, the leftmost of equals."""
@@ -213,7 +212,7 @@ def encode_pieces(docs: DataFrame, text: str = "text", ids: str = "ids", decoded
                     columns.append(pa.array(map(pieces.decode, lists), pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.select(*[docs[n] for n in names], docs[text].alias("__text")).mapInArrow(run, schema)
+    return arrow_map(docs.select(*names, text), run, schema)
 
 
 def decode_pieces(rows: DataFrame, ids: str = "ids", decoded: str = "decoded", model: str | None = None) -> DataFrame:
@@ -227,4 +226,4 @@ def decode_pieces(rows: DataFrame, ids: str = "ids", decoded: str = "decoded", m
             texts = [None if x is None else pieces.decode(x) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in schema.names[:-1]], pa.array(texts, pa.string())], names=schema.names)
 
-    return rows.drop(decoded).mapInArrow(run, schema)
+    return arrow_map(rows.drop(decoded), run, schema)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bitslice import linked_pairs
-from .common import materialize, slices, text_lengths, texts_of
+from .common import arrow_map, materialize, slices, text_lengths, texts_of
 from .graph import connected_components
 
 SEED = 42
@@ -21,6 +21,8 @@ SEED = 42
 TILE = 1024
 #: Rows that a worker compares at a time.
 CHUNK = 1 << 16
+#: Shingles of documents that are compared at a time.
+COMPARED = 500_000
 #: Hash functions of a band, and bands, for candidates at a similarity of 0.8: one pair in ten thousand shares none.
 BAND_ROWS, BANDS = 4, 18
 #: Odd multipliers by which one shingle hash gives many: fixed by the seed.
@@ -98,7 +100,7 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(keys))))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.select(id, text).mapInArrow(run, schema)
+    return arrow_map(docs.select(id, text), run, schema)
 
 
 def pigeonhole_keys(radius: int, spare: int = 2) -> Column:
@@ -160,7 +162,7 @@ def hamming_links(classes: DataFrame, keys: Column, words: int, radii: tuple[int
     tiles = F.transform(F.sequence(F.lit(0), F.col("t") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))
     rows = rows.withColumn("own", own).withColumn("tile", F.explode(tiles)).select("key", F.col("tile.i").alias("i"), F.col("tile.j").alias("j"), "rep", *fp)
     dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
-    return dealt.mapInArrow(_linked(words, radii, small), "a long, b long")
+    return arrow_map(dealt, _linked(words, radii, small), "a long, b long")
 
 
 def _set_of(text: str, width: int) -> np.ndarray:
@@ -175,29 +177,31 @@ def verified(edges: DataFrame, docs: DataFrame, width: int, similarity: float) -
 
     def sets(batches):
         for batch in batches:
-            lists = [_set_of(t, width).view(np.int64) for t in texts_of(batch.column(1))]
-            ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*lists, np.empty(0, np.int64)])))], names=["id", "set"])
+            for lo, hi in slices(text_lengths(batch.column(1))):
+                part = batch.slice(lo, hi - lo)
+                lists = [_set_of(t, width).view(np.int64) for t in texts_of(part.column(1))]
+                ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*lists, np.empty(0, np.int64)])))], names=["id", "set"])
 
     def compare(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (batch.column(k) for k in (2, 3))
-            n = batch.num_rows
-            own = [np.repeat(np.arange(n), np.diff(c.offsets.to_numpy())) for c in (a, b)]
-            values = [c.flatten().to_numpy().view(np.uint64) for c in (a, b)]
-            sizes = [np.bincount(o, minlength=n) for o in own]
-            order = np.lexsort((np.concatenate(values), np.concatenate(own)))
-            v, o = np.concatenate(values)[order], np.concatenate(own)[order]
-            both = np.bincount(o[1:][(v[1:] == v[:-1]) & (o[1:] == o[:-1])], minlength=n)
-            good = both >= similarity * (sizes[0] + sizes[1] - both) - 1e-9
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in (batch.column(0), batch.column(1))], names=["a", "b"])
+            both_sizes = sum(np.diff(batch.column(k).offsets.to_numpy()).astype(np.int64) for k in (2, 3))
+            for lo, hi in slices(both_sizes, COMPARED):
+                part = batch.slice(lo, hi - lo)
+                n, sides = part.num_rows, [part.column(k) for k in (2, 3)]
+                sizes = [np.diff(c.offsets.to_numpy()) for c in sides]
+                own = np.concatenate([np.repeat(np.arange(n), k) for k in sizes])
+                values = np.concatenate([c.flatten().to_numpy() for c in sides])
+                order = np.lexsort((values, own))
+                values, own = values[order], own[order]
+                both = np.bincount(own[1:][(values[1:] == values[:-1]) & (own[1:] == own[:-1])], minlength=n)
+                good = pa.array(both >= similarity * (sizes[0] + sizes[1] - both) - 1e-9)
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(good), part.column(1).filter(good)], names=["a", "b"])
 
     need = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    found = materialize(docs.join(need, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")).mapInArrow(sets, "id long, set array<long>"), "shingle-sets")
+    found = materialize(arrow_map(docs.join(need, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), sets, "id long, set array<long>"), "shingle-sets")
     side = lambda s: found.select(F.col("id").alias(s), F.col("set").alias(f"{s}_set"))
-    return edges.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(compare, "a long, b long")
+    return arrow_map(edges.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_set", "b_set"), compare, "a long, b long")
 
 
 def simhash_groups(

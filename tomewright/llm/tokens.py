@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices, text_lengths, texts_of
+from .common import arrow_map, slices, text_lengths, texts_of
 
 #: How a token that crosses a border between sections is allocated: to the section that holds its first byte, its last
 #: byte, or most of its bytes (of equals the earlier one).
@@ -90,4 +90,4 @@ def count_tokens(docs: DataFrame, id: str = "doc_id", text: str = "text", separa
                 ends = np.cumsum([0, *map(len, counts)], dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(totals, pa.int64()), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*counts, np.empty(0, np.int64)]).astype(np.int64)))], names=schema.names)
 
-    return docs.select(id, text).mapInArrow(run, schema)
+    return arrow_map(docs.select(id, text), run, schema)

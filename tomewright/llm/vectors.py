@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bitslice import Forest
-from .common import materialize
+from .common import arrow_map, materialize
 from .graph import connected_components
 
 #: Vectors from which axes and pivots are fitted: those with the smallest id hashes, this many at most.
@@ -220,14 +220,14 @@ def near_vectors(rows: DataFrame, id: str = "vec_id", vector: str = "embedding",
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.ascontiguousarray(out[:, k])) for k in range(AXES))], names=[*batch.schema.names, *(f"g{k}" for k in range(AXES))])
 
     grid = [f"g{k}" for k in range(AXES)]
-    celled = node.withColumn("dim", F.size("vector")).mapInArrow(cells, "label long, vector array<double>, rep long, n long, dim int, " + ", ".join(f"{g} int" for g in grid))
+    celled = arrow_map(node.withColumn("dim", F.size("vector")), cells, "label long, vector array<double>, rep long, n long, dim int, " + ", ".join(f"{g} int" for g in grid))
     order = ["label", "dim", *grid, "rep"]
-    blocks = celled.repartitionByRange(*order).sortWithinPartitions(*order).select("label", "dim", "rep", "n", "vector").mapInArrow(_sequences(axes, eps), BLOCK_DDL)
+    blocks = arrow_map(celled.repartitionByRange(*order).sortWithinPartitions(*order).select("label", "dim", "rep", "n", "vector"), _sequences(axes, eps), BLOCK_DDL)
     blocks = materialize(blocks, "vector-blocks")
     pairs = blocks.select("label", "dim", "block", "lo", "hi").groupBy("label", "dim").applyInPandas(_block_pairs(eps), "label long, dim int, a long, b long")
     side = lambda s: blocks.select(F.col("block").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("reps", "sizes", "data")])
     met = pairs.repartition("a", "b").join(side("a"), "a").join(side("b"), "b")
-    found = materialize(met.mapInArrow(_pair_links(axes, cosine, eps), "rep long, links long, parent long"), "vector-links")
+    found = materialize(arrow_map(met, _pair_links(axes, cosine, eps), "rep long, links long, parent long"), "vector-links")
     parts = connected_components(found.select(F.col("rep").alias("a"), F.col("parent").alias("b")))
     sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
     per = node.join(sums, "rep", "left").join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
@@ -311,7 +311,7 @@ def _packed(rows: DataFrame, size: int, tag: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([next(number)], pa.int64()), pa.array([part.column("rep").to_pylist()], pa.list_(pa.int64())), pa.array([_matrix(part.column("vector").combine_chunks(), dim).tobytes()], pa.binary())], names=["dim", "block", "ids", "data"])
 
     keyed = rows.select(F.lit(0).cast("long").alias("label"), F.size("vector").alias("dim"), F.col("id").alias("rep"), "vector")
-    return materialize(keyed.repartitionByRange("dim", "rep").sortWithinPartitions("dim", "rep").mapInArrow(run, "dim int, block long, ids array<long>, data binary"), tag)
+    return materialize(arrow_map(keyed.repartitionByRange("dim", "rep").sortWithinPartitions("dim", "rep"), run, "dim int, block long, ids array<long>, data binary"), tag)
 
 
 def nearest_neighbours(rows: DataFrame, queries: Column, id: str = "vec_id", vector: str = "embedding", k: int = 10, share: float = SHARE) -> DataFrame:
@@ -333,6 +333,6 @@ def nearest_neighbours(rows: DataFrame, queries: Column, id: str = "vec_id", vec
     asked = _packed(base.where("asked").select("id", "vector"), QUERY_ROWS, "index-queries")
     meets = index.select("dim", F.col("block").alias("x")).join(asked.select("dim", F.col("block").alias("q")), "dim")
     side = lambda t, s: t.select(F.col("block").alias(s), F.col("ids").alias(f"{s}_ids"), F.col("data").alias(f"{s}_data"))
-    found = meets.repartition("x", "q").join(side(index, "x"), "x").join(side(asked, "q"), "q").mapInArrow(_search(pivots, k, share), "query_id long, id long, score double")
+    found = arrow_map(meets.repartition("x", "q").join(side(index, "x"), "x").join(side(asked, "q"), "q"), _search(pivots, k, share), "query_id long, id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id), "score")
