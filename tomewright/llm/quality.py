@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, text_lengths, texts_of
+from .common import arrow_map, slices, text_lengths, texts_of
 
 #: Labelled rows, and rows without a label, that the fit uses: those with the smallest id hashes.
-LABELLED, UNLABELLED = 8000, 8000
+LABELLED, UNLABELLED = 6000, 6000
 #: Buckets of hashed words, and of hashed values of each metadata column.
 WORDS, VALUES = 1 << 13, 64
 #: Rounds of exchange, the probability from which a pseudo-label is passed on, and the most a view passes on per round.
@@ -35,7 +35,7 @@ _BUCKET: dict[bytes, int] = {}
 def _bucket(word: bytes) -> int:
     at = _BUCKET.get(word)
     if at is None:
-        if len(_BUCKET) > 300_000:
+        if len(_BUCKET) > 150_000:
             _BUCKET.clear()
         at = _BUCKET[word] = xxhash.xxh64_intdigest(word.strip(b".,!?;:\"'"), 3) % WORDS
     return at
@@ -138,15 +138,14 @@ def _raw(model: Linear, dense: np.ndarray, lists: list[np.ndarray]) -> np.ndarra
     return model.score(dense, np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate([*lists, np.empty(0, np.int32)]).astype(np.int64))
 
 
-def co_train(texts: list[str], metas: list[tuple], sizes: list, labels: list[int | None], columns: int, seed: int = 1) -> CoModel:
+def co_train(views: list, metas: list[np.ndarray], labels: list[int | None], columns: int, seed: int = 1) -> CoModel:
     """Labels 1, 0 or None (unlabelled). Each round both views are fitted and calibrated on held-out rows, and each passes
     the unlabelled rows that it is surest of, with its own label, to the other view's training set.
     """
-    views = [text_view(t) for t in texts]
     use = [i for i, v in enumerate(views) if v is not None]
-    dense = np.array([views[i][0] for i in use]).reshape(-1, DENSE)
+    dense = np.array([views[i][0] for i in use], np.float64).reshape(-1, DENSE)
     words = [views[i][1] for i in use]
-    meta = [meta_view(metas[i], sizes[i]) for i in use]
+    meta = [metas[i] for i in use]
     one, buckets = np.ones((len(use), 1)), (columns + 1) * VALUES
     y = np.array([-1 if labels[i] is None else int(labels[i]) for i in use])
     known = np.flatnonzero(y >= 0)
@@ -182,27 +181,45 @@ def co_train(texts: list[str], metas: list[tuple], sizes: list, labels: list[int
     return CoModel(models[0][0], models[1][0], models[0][1], models[1][1], joint)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", meta: tuple[str, ...] = ("lang", "source"), size: str = "n_chars", label: str = "quality", labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> CoModel:
-    """Co-train on at most ``labelled`` rows with a label and ``unlabelled`` without one; no more rows reach the driver.
+def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", meta: tuple[str, ...] = ("lang", "source"), size: str = "n_chars", label: str = "quality", labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> CoModel | None:
+    """Co-train on at most ``labelled`` rows with a label and ``unlabelled`` without one.
 
-    Labels that are null or neither 0 nor 1 do not count; of a label table that repeats an id the smallest counts.
+    Their views are made where the texts are; the driver gets the numbers of that many rows and no text. Labels that are
+    null or neither 0 nor 1 do not count; of a label table that repeats an id the smallest counts.
+    None if the documents have no labels of both classes: then there is nothing to learn from.
     """
-    marked = labels.where(F.col(id).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(id).alias(id)).agg(F.min(label).alias("__y"))
-    keep = [id, text, *meta, size]
+    marked = labels.where(F.col(id).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(id).alias(id)).agg(F.min(label).cast("int").alias("__y"))
     some = marked.orderBy(F.xxhash64(id), id).limit(labelled)
     pool = docs.select(id).where(F.col(id).isNotNull()).join(marked, id, "left_anti").orderBy(F.xxhash64(id), id).limit(unlabelled).select(id, F.lit(None).cast("int").alias("__y"))
-    rows = docs.select(*keep).join(some.union(pool).dropDuplicates([id]), id).limit(2 * (labelled + unlabelled)).collect()
-    rows.sort(key=lambda r: r[id])
-    return co_train([r[text] or "" for r in rows], [tuple(r[m] for m in meta) for r in rows], [r[size] for r in rows], [r["__y"] for r in rows], len(meta))
+    picked = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), *[F.col(m).cast("string").alias(f"m{k}") for k, m in enumerate(meta)], F.col(size).cast("long").alias("size"))
+    picked = picked.join(some.union(pool).dropDuplicates([id]).select(F.col(id).cast("long").alias("id"), "__y"), "id")
 
+    def views(batches):
+        for batch in batches:
+            for lo, hi in slices(text_lengths(batch.column("text"))):
+                part = batch.slice(lo, hi - lo)
+                found = [text_view(t) for t in texts_of(part.column("text"))]
+                metas = [meta_view(m, s) for m, s in zip(zip(*[part.column(f"m{k}").to_pylist() for k in range(len(meta))]), part.column("size").to_pylist())]
+                columns = [[None if v is None else v[0].astype(np.float32) for v in found], [None if v is None else v[1] for v in found], metas]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("__y"), pa.array(columns[0], pa.list_(pa.float32())), pa.array(columns[1], pa.list_(pa.int32())), pa.array(columns[2], pa.list_(pa.int32()))], names=["id", "y", "dense", "words", "meta"])
+
+    got = arrow_map(picked, views, "id long, y int, dense array<float>, words array<int>, meta array<int>").orderBy("id", "y").limit(2 * (labelled + unlabelled)).toArrow()
+    parts = {c: [x.values.to_numpy() if x is not None else None for x in got.column(c)] for c in ("dense", "words", "meta")}
+    y = got.column("y").to_pylist()
+    if not {0, 1} <= {k for k, d in zip(y, parts["dense"]) if d is not None}:
+        return None
+    return co_train([None if d is None else (d, w) for d, w in zip(parts["dense"], parts["words"])], parts["meta"], y, len(meta))
 
-def score_quality(docs: DataFrame, model: CoModel, text: str = "text", meta: tuple[str, ...] = ("lang", "source"), size: str = "n_chars", score: str = "score") -> DataFrame:
+
+def score_quality(docs: DataFrame, model: CoModel | None, text: str = "text", meta: tuple[str, ...] = ("lang", "source"), size: str = "n_chars", score: str = "score") -> DataFrame:
     """``docs`` with ``score``, the probability of good quality.
 
     Every whole text is scored on its own: no shuffle, repeated rows come each with the same score, nulls in metadata are
     a value like others, null and empty texts score 0, other columns pass through, and one named like ``score`` is
-    replaced.
+    replaced. Without a model all scores are null.
     """
+    if model is None:
+        return docs.drop(score).withColumn(score, F.lit(None).cast("double"))
     fields = [f for f in docs.schema.fields if f.name != score]
     schema = T.StructType([*fields, T.StructField(score, T.DoubleType())])
 
@@ -213,11 +230,14 @@ def score_quality(docs: DataFrame, model: CoModel, text: str = "text", meta: tup
                 p = model.score(texts_of(part.column(text)), list(zip(*[part.column(m).to_pylist() for m in meta])), part.column(size).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p)], names=schema.names)
 
-    return docs.select(*[f.name for f in fields]).mapInArrow(run, schema)
+    return arrow_map(docs.select(*[f.name for f in fields]), run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **columns) -> DataFrame:
-    """Fit on ``labels`` and score all of ``docs``: columns score, and keep where the score is ``threshold`` or more."""
+    """Fit on ``labels`` and score all of ``docs``: columns score, and keep where the score is ``threshold`` or more.
+
+    Where nothing can be learned, for want of labels of both classes, nothing is rejected.
+    """
     model = fit(docs, labels, **columns)
     own = {k: v for k, v in columns.items() if k in ("text", "meta", "size")}
-    return score_quality(docs, model, **own).withColumn("keep", F.col("score") >= threshold)
+    return score_quality(docs, model, **own).withColumn("keep", F.coalesce(F.col("score") >= threshold, F.lit(True)))
