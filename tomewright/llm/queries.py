@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extract, linededup, mixing, pieces, quality, simhash, tokens, urls, vectors
+from . import extract, linededup, mixing, oracles, pieces, quality, simhash, tokens, urls, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,4 +71,9 @@ QUERIES = {
         op9_nearest_neighbours, op10_url_filters,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+#: The others have no SQL form: hashes, encodings, trained models, or approximate search.
+ORACLE_SQL: dict[str, str] = {
+    "op3_embedding_near_dedup": oracles.near_vectors_sql(0.93),
+    "op5_mixing": oracles.mix_sql(LEVELS, WEIGHTS, FRACTION, SEED, EPOCHS),
+    "op10_url_filters": oracles.urls_sql(urls.RULES),
+}
