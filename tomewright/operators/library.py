@@ -232,3 +232,8 @@ def export_library(follows: DataFrame, entries: DataFrame, at: str) -> DataFrame
     both = f.join(e, "user_id", "full")
     inner = F.struct(F.lit(2).alias("version"), F.coalesce("series", F.create_map().cast("map<string,struct<followedAt:string>>")).alias("series"), "books")
     return both.select("user_id", F.to_json(F.struct(F.lit(2).alias("version"), F.lit(at).alias("exportedAt"), inner.alias("library"))).alias("json"))
+
+
+def percent_read(read: Column, total: Column) -> Column:
+    """Whole percent of released works that are read; 0 without any."""
+    return F.when(total > 0, F.round(100 * read / total)).otherwise(0).cast("int")

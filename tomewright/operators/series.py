@@ -199,3 +199,17 @@ def sorted_series(series: DataFrame, by: str, tie: str = "ordinal") -> DataFrame
         "new": [F.coalesce("latest_release", F.lit("")).desc()], "popular": [F.desc("popularity")],
     }
     return series.orderBy(*keys[by], tie)
+
+
+def sibling_works(book_id: str, index: DataFrame, works: DataFrame, books: DataFrame, entries: DataFrame, now: str, series: DataFrame) -> DataFrame:
+    """(work_id, title, number, state, date, status, cover): the works of a book's series with what a reader did with them.
+
+    ``index`` is a work index, ``entries`` (series_id, work_id, status) one reader's latest entries; a chain of left joins.
+    """
+    from .coverage import work_release
+
+    home = index.where(F.col("id") == book_id).select("series_id").distinct()
+    met = works.join(home, "series_id", "left_semi").join(series.select(F.col("id").alias("series_id"), "audioCoverage"), "series_id", "left")
+    met = met.withColumn("release", work_release(F.col("work_id"), F.col("audio_release_date"), F.col("has_audio"), F.col("audioCoverage"), now))
+    met = met.join(entries.select("series_id", "work_id", "status"), ["series_id", "work_id"], "left").join(books.select(F.col("id").alias("book_id"), F.col("coverUrl").alias("cover")), "book_id", "left")
+    return met.select("work_id", "title", "number", F.col("release.state").alias("state"), F.col("release.date").alias("date"), "status", "cover", "position").orderBy("position").drop("position")

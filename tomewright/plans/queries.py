@@ -608,3 +608,100 @@ def q56_keyset_page(spark, d):
 def q57_consume_once(spark, d):
     o = _read(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("expires_at"), "o_orderpriority")
     return accounts.consume_once(o, o.where("o_orderpriority = '1-URGENT'"), ["o_orderkey"], 100000)[1].select("o_orderkey")
+
+
+# --- further operators ------------------------------------------------------------------------------------------------
+@query(f"select user_id, cast(count(*) filter (where {STATUS} = 'present') as bigint) \"current\", count(*) total from events group by 1")
+def q58_group_coverage(spark, d):
+    status = F.when(F.col("event_type") == "error", "missing").when(F.col("event_type") == "purchase", "stale").when(F.col("event_type") == "signup", "unknown").otherwise("present")
+    check = F.struct(F.lit("audio-verified").alias("id"), status.alias("status"), F.lit(True).alias("available"))
+    return health.group_coverage(_read(spark, d, "events").select("user_id", F.array(check).alias("checks")), "audio", ["user_id"])
+
+
+@query("select l_orderkey, l_linenumber, l_partkey from lineitem group by all having count(*) = 1")
+def q59_edition_multiplicity(spark, d):
+    key = ["l_orderkey", "l_linenumber", "l_partkey"]
+    return _lines(spark, d).groupBy(*key).agg(F.count("*").alias("n")).where("n = 1").select(*key)
+
+
+@query("""select c_custkey, case c_custkey % 5 when 0 then false when 1 then false when 2 then true when 3 then false else true end safe from customer""")
+def q60_safe_ids(spark, d):
+    k = F.col("c_custkey") % 5
+    name = F.concat(F.lit("id"), F.col("c_custkey").cast("string"))
+    odd = F.when(k == 0, F.concat(name, F.lit(" x"))).when(k == 1, F.lit("constructor")).when(k == 2, F.concat(name, F.lit("._:-"))).when(k == 3, F.concat(F.lpad(name, 140, "a"))).otherwise(name)
+    return _read(spark, d, "customer").select("c_custkey", library.safe_id(odd).alias("safe"))
+
+
+@query("""select o_orderkey, case when b <= '1996-06-01' and cast(substr(b,1,4) as int) >= 1876 then b end born, coalesce(o_orderkey % 2 = 0 and b <= '1978-06-01', false) allowed
+from (select o_orderkey, strftime(o_orderdate - interval 16 year, '%Y-%m-%d') b from orders)""")
+def q61_consent(spark, d):
+    birth = F.date_format(F.col("o_orderdate") - F.expr("interval 16 years"), "yyyy-MM-dd")
+    c = signals.consent(birth, F.lit("1996-01-01"), F.col("o_orderkey") % 2 == 0, "1996-06-01T00:00:00Z")
+    return _read(spark, d, "orders").select("o_orderkey", c["birthDate"].alias("born"), c["allowAdult"].alias("allowed"))
+
+
+@query("""select p_partkey, case p_partkey % 3 when 0 then 'q=' || p_size else 'view=' || case p_partkey % 3 when 1 then 'library' else 'releases' end || '&q=' || p_size end view_query from part""")
+def q62_view_query(spark, d):
+    k = F.col("p_partkey") % 3
+    url = F.concat(F.lit("https://a.example/?view="), F.when(k == 0, "nowhere").when(k == 1, "shelf").otherwise("releases"), F.lit("&q="), F.col("p_size").cast("string"))
+    return _read(spark, d, "part").select("p_partkey", urls.view_query(urls.view_state(url)).alias("view_query"))
+
+
+@query("select p_partkey, p_partkey % 4 in (0, 1) public from part")
+def q63_public_paths(spark, d):
+    k = F.col("p_partkey") % 4
+    year = F.concat(F.lit("static/data/"), F.lpad((F.col("p_partkey") % 10000).cast("string"), 4, "0"), F.lit(".json"))
+    path = F.when(k == 0, "static/data/catalog.json").when(k == 1, year).when(k == 2, "static/data/notes.json").otherwise("src/data/meta.json")
+    return _read(spark, d, "part").select("p_partkey", accounts.public_path(path).alias("public"))
+
+
+@query("""select id, arg_max(s, struct_pack(a := s, b := p)) series_id, arg_max(w, struct_pack(a := s, b := p)) work_id from
+(select 'p' || l_partkey id, l_orderkey s, l_linenumber p, l_orderkey || '-' || l_linenumber w from lineitem where l_orderkey % 10 = 0 union all select l_orderkey || '-' || l_linenumber, l_orderkey, l_linenumber, l_orderkey || '-' || l_linenumber from lineitem where l_orderkey % 10 = 0) group by 1""")
+def q64_work_index(spark, d):
+    li = _lines(spark, d).where("l_orderkey % 10 = 0")
+    works = li.select(
+        F.col("l_orderkey").alias("series_id"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("work_id"), F.col("l_linenumber").cast("double").alias("number"),
+        F.col("l_orderkey").alias("series_ordinal"), F.col("l_linenumber").alias("position"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("book_id"), F.array().cast("array<string>").alias("edition_ids"),
+    )
+    return series.work_index(works)
+
+
+@query("select distinct trim(n) as \"name\" from (select unnest(string_split(p_name || ', ' || p_type || ' ,', ',')) n from part) where trim(n) <> ''")
+def q65_distinct_names(spark, d):
+    return catalog.distinct_names(_read(spark, d, "part").select(F.concat("p_name", F.lit(", "), "p_type", F.lit(" ,")).alias("n")), "n")
+
+
+@query("select user_id, event_type series_id, min(ts) followed_at from events group by 1, 2")
+def q66_earliest_follow(spark, d):
+    e = _read(spark, d, "events").select("user_id", F.col("event_type").alias("series_id"), F.col("ts").alias("followed_at"))
+    return library.merge(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), ["user_id", "series_id"], F.col("followed_at"), ["followed_at"], earliest=True)
+
+
+@query("""select c_custkey, case c_custkey % 4 when 0 then 'Cover is blue.' when 1 then 'Plain ' || c_custkey || '.' else null end note from customer""")
+def q67_reader_note(spark, d):
+    k = F.col("c_custkey") % 4
+    raw = F.when(k == 0, "Judged by Robo; cover is blue.").when(k == 1, F.concat(F.lit(" Plain "), F.col("c_custkey").cast("string"), F.lit(". "))).when(k == 2, "One. Two by robo").otherwise("Robo.")
+    return _read(spark, d, "customer").select("c_custkey", reader.reader_note(raw, ("robo",)).alias("note"))
+
+
+@query("""select p_partkey, case when p_size % 4 = 0 then null when p_size % 4 = 1 then [] when p_size % 4 = 2 then ['Dungeons'] else ['Dungeons', 'Crafting'] end mechanics from part""")
+def q68_shared_mechanics(spark, d):
+    k = F.col("p_size") % 4
+    tags = lambda *t: F.array(*[F.lit(x) for x in t]).cast("array<string>")
+    have = F.when(k == 1, tags("cozy")).when(k == 2, tags("dungeon", "stats")).when(k == 3, tags("base-building", "dungeon", "comedy", "crafting"))
+    seed = tags("dungeon", "crafting", "stats", "comedy")
+    found = recommend.shared_mechanics(seed, have, {"humor": 0.0}, tags("stats"))
+    return _read(spark, d, "part").select("p_partkey", F.when(have.isNotNull(), found).alias("mechanics"))
+
+
+@query("select o_orderkey, case when n = 0 then 0 else cast(round(100.0 * k / n) as int) end percent from (select o_orderkey, count(l_orderkey) n, count(*) filter (where l_returnflag = 'R') k from orders left join lineitem on o_orderkey = l_orderkey group by 1)")
+def q69_percent_read(spark, d):
+    met = _read(spark, d, "orders").select("o_orderkey").join(_lines(spark, d), F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    c = met.groupBy("o_orderkey").agg(F.count("l_orderkey").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("k"))
+    return c.select("o_orderkey", library.percent_read(F.col("k"), F.col("n")).alias("percent"))
+
+
+@query("select user_id, count(*) filter (where event_type = 'error') > 0 missing, count(*) filter (where event_type in ('purchase', 'signup')) > 0 review from events group by 1")
+def q70_attention_flags(spark, d):
+    e = _read(spark, d, "events")
+    return e.groupBy("user_id").agg(F.bool_or(F.col("event_type") == "error").alias("missing"), F.bool_or(F.col("event_type").isin("purchase", "signup")).alias("review"))
