@@ -14,8 +14,10 @@ from pyspark.sql import types as T
 from .common import arrow_map, slices, text_lengths, texts_of
 
 SPACE = "▁"
+#: Letters and digits that marks are told from, as a class of a pattern.
+LETTERS = r"a-zA-Z0-9\u00c0-\u024f"
 #: Encoded stretches, and token pairs, that each worker remembers; beyond it the older half is forgotten.
-STRETCHES, PAIRS = 250_000, 150_000
+STRETCHES, PAIRS = 400_000, 250_000
 
 
 def default_model() -> str:
@@ -67,10 +69,7 @@ class PieceModel:
             raise ValueError("the model has no byte fallback")
         self.is_byte = [p.type == kinds.BYTE for p in model.pieces]
         self.raw = [b"" if p.type == kinds.CONTROL else b" \xe2\x81\x87 " if p.type == kinds.UNKNOWN else bytes([int(p.piece[3:5], 16)]) if p.type == kinds.BYTE else p.piece.replace(SPACE, " ").encode() for p in model.pieces]
-        # Merges never cross a stretch's border: no piece has a space sign after another character, none has a newline.
-        inner = any(re.search(f"[^{SPACE}]{SPACE}", x) for x in self.id)
-        lines = any("\n" in x for x in self.id)
-        self.cut = re.compile(r"(?s).+" if inner else f"{SPACE}*[^{SPACE}]+|{SPACE}+" if lines else f"{SPACE}*[^{SPACE}\\n]+|{SPACE}+|\\n").findall
+        self.cut = re.compile(self._borders()).findall
         self.joins = _Memo(lambda pair: self.merge(pair[0] + pair[1]) == [*pair], PAIRS)
         self.find = ahocorasick.Automaton()
         for piece in self.id:
@@ -80,6 +79,25 @@ class PieceModel:
         self.shorter = {x: next((x[:n] for n in range(len(x) - 1, 0, -1) if x[:n] in self.find), None) for x in self.find}
         self.memo = _Memo(self._stretch, STRETCHES)
 
+    def _borders(self) -> str:
+        """A pattern that finds the stretches of a text between places that no piece spans, so that no merge crosses them.
+
+        Such places are: before a space sign that follows another character, around a newline, and between a letter or digit
+        and a mark that no piece has after one.
+        """
+        before: dict[str, set[str]] = {}
+        for piece in self.id:
+            for a, b in zip(piece, piece[1:]):
+                before.setdefault(b, set()).add(a)
+        if before.get(SPACE, set()) - {SPACE} or "\n" in before or any("\n" in v for v in before.values()):
+            return r"(?s).+"
+        letter = re.compile(f"[{LETTERS}]").match
+        marks = {c for piece in self.id for c in piece if not letter(c) and c not in (SPACE, "\n") and not any(map(letter, before.get(c, ())))}
+        rest = f"[^{SPACE}\\n{LETTERS}]*"
+        # after letters a stretch goes on over a mark that may follow one, and then over all marks up to the next letters
+        more = f"(?:[^{SPACE}\\n{LETTERS}{''.join(map(re.escape, sorted(marks)))}]{rest})?"
+        return f"(?=[^\\n]){SPACE}*{rest}(?:[{LETTERS}]+{more})*|\\n"
+
     def merge(self, text: str) -> list[str]:
         """Plain merging of a short text: the best-scored neighbouring pair first, the leftmost of equals."""
         parts, score = list(text), self.score
@@ -95,42 +113,42 @@ class PieceModel:
         return parts
 
     def _stretch(self, text: str) -> tuple[int, ...]:
-        longest: list[str | None] = [None] * len(text)
-        for end, piece in self.find.iter(text):
-            longest[end - len(piece) + 1] = piece
+        end = len(text)
+        longest: list[str | None] = [None] * end
+        for last, piece in self.find.iter(text):
+            longest[last - len(piece) + 1] = piece
         tokens: list[str] = []
-        joins, shorter, end = self.joins, self.shorter, len(text)
-        failed, at = 0, 0
-        piece = longest[0] if text else None
-        fresh = True  # whether ``piece`` is the longest at its position
-        while at < end:
-            if piece is None and fresh:  # a character outside the vocabulary: nothing merges with it
-                tokens.append(text[at])
-                at += 1
-                piece = longest[at] if at < end else None
-                continue
+        joins, shorter = self.joins, self.shorter
+        failed = at = 0
+        piece, fresh = longest[0], True  # fresh: whether ``piece`` is the longest at its position
+        before: str | None = None  # the last token, unless nothing merges with it
+        while True:
             while piece is not None:
                 after = at + len(piece)
-                if not failed >> after & 1 and (not tokens or tokens[-1] not in shorter or joins[tokens[-1], piece]):
+                if not failed >> after & 1 and (before is None or joins[before, piece]):
+                    tokens.append(piece)
+                    before = piece
                     break
                 piece = shorter[piece]
-            if piece is not None:
-                tokens.append(piece)
-                at = after
-                piece, fresh = (longest[at] if at < end else None), True
-                continue
-            failed |= 1 << at
-            last = tokens.pop()
-            at -= len(last)
-            piece, fresh = shorter.get(last), False
-        ids, byte = self.id, self.byte
-        out: list[int] = []
-        for t in tokens:
-            if t in ids:
-                out.append(ids[t])
             else:
-                out.extend(byte[b] for b in t.encode("utf-8", "surrogatepass"))
-        return tuple(out)
+                if fresh and longest[at] is None:  # a character outside the vocabulary
+                    tokens.append(text[at])
+                    before, after = None, at + 1
+                else:
+                    failed |= 1 << at
+                    last = tokens.pop()
+                    at -= len(last)
+                    before = tokens[-1] if tokens and tokens[-1] in shorter else None
+                    piece, fresh = shorter.get(last), False
+                    continue
+            if after == end:
+                break
+            at, piece, fresh = after, longest[after], True
+        ids, byte = self.id, self.byte
+        try:
+            return tuple([ids[t] for t in tokens])
+        except KeyError:
+            return tuple(chain.from_iterable([ids[t]] if t in ids else [byte[b] for b in t.encode("utf-8", "surrogatepass")] for t in tokens))
 
     def encode(self, text: str, eos: bool = True) -> list[int]:
         ids = list(chain.from_iterable(map(self.memo.__getitem__, self.cut(SPACE + text.replace(" ", SPACE))))) if text else []
