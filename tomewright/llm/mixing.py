@@ -67,6 +67,7 @@ def mix(docs: DataFrame, levels: dict[str, str], weights: dict[str, int], fracti
     leaves = rows.groupBy(*names).agg(F.sum("tokens").alias("tokens"))
     plan = leaf_budgets(leaves, names, weights, F.floor(F.sum("tokens") * F.lit(fraction)), max_epochs).withColumnRenamed("tokens", "leaf_tokens")
     plan = plan.withColumn("whole", F.expr("cast(budget div leaf_tokens as int)")).withColumn("part", F.col("budget") - F.col("whole") * F.col("leaf_tokens"))
+    plan = materialize(plan.where("budget > 0"), "mix-plan")
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.col(id).cast("string")).cast("binary"))
     keyed = rows.join(plan, names).withColumn("key", key).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
     out = [*[F.col(c) for c in (id, *names, "tokens")]]
