@@ -46,6 +46,7 @@ def test_labels_of_one_class_are_refused():
 
 def test_odd_rows(spark, tables, odd, none):
     docs, labels = tables
+    docs = docs.unionByName(odd.select(*docs.columns))  # documents without words are among those fitted on
     messy = labels.union(spark.createDataFrame([(None, 1, 0), (1, None, None), (2, 7, 0)], labels.schema)).union(labels.limit(5))
     model = quality.fit(docs, messy)
     got = quality.score_quality(odd, model)

@@ -204,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("__y"), pa.array(columns[0], pa.list_(pa.float32())), pa.array(columns[1], pa.list_(pa.int32())), pa.array(columns[2], pa.list_(pa.int32()))], names=["id", "y", "dense", "words", "meta"])
 
     got = arrow_map(picked, views, "id long, y int, dense array<float>, words array<int>, meta array<int>").orderBy("id", "y").limit(2 * (labelled + unlabelled)).toArrow()
-    parts = {c: [x.values.to_numpy() if x is not None else None for x in got.column(c)] for c in ("dense", "words", "meta")}
+    parts = {c: [x.values.to_numpy() if x.is_valid else None for x in got.column(c)] for c in ("dense", "words", "meta")}
     y = got.column("y").to_pylist()
     if not {0, 1} <= {k for k, d in zip(y, parts["dense"]) if d is not None}:
         return None
