@@ -7,7 +7,7 @@ import pytest
 ROOT = str(Path(__file__).resolve().parent.parent)
 os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, [os.environ.get("PYTHONPATH")])])
 sys.path[:0] = [ROOT, str(Path(__file__).resolve().parent)]
-SF = "/root/testdata/sf0.001"
+
 
 
 @pytest.fixture(scope="session")

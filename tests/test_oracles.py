@@ -1,5 +1,5 @@
 import pytest
-from conftest import SF
+from factories import SF
 from parity import connect, difference
 
 from tomewright.plans.queries import ORACLES, QUERIES
