@@ -77,6 +77,29 @@ def test_near_duplicates_at_similarity(spark):
     assert sorted(r["doc_id"] for r in op.keep_first(df, groups).collect()) == sorted({v for v in want.values()})
 
 
+def test_large_family_against_brute_force(spark):
+    """Several hundred differently edited copies: most are similar to the original alone, some to each other."""
+    rng = np.random.default_rng(4)
+    words = [f"w{x}" for x in rng.integers(0, 5000, 240)]
+    texts = [" ".join(words)]
+    for k in range(400):
+        copy = list(words)
+        for at in rng.choice(240, 4 + k % 3, replace=False):
+            copy[at] = f"edit{rng.integers(0, 1 << 30)}"
+        texts.append(" ".join(copy))
+    order = rng.permutation(len(texts))  # the original is not the first
+    df = spark.createDataFrame([(n, texts[i]) for n, i in enumerate(order.tolist())], "doc_id long, text string")
+    sets = [shingle_set(texts[i]) for i in order]
+    want = components(range(len(texts)), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert max(np.unique(list(want.values()), return_counts=True)[1]) > 250
+    assert {r["doc_id"]: r["component_id"] for r in op.near_duplicates(df).collect()} == want
+
+
+def test_large_family_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(op, "TILE", 32)
+    test_large_family_against_brute_force(spark)
+
+
 def test_odd_rows(spark, odd, none):
     got = op.simhash_groups(odd).collect()
     assert len(got) == odd.count()

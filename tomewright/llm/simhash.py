@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bitslice import linked_pairs
+from .bitslice import Forest, linked_pairs
 from .common import arrow_map, materialize, slices, text_lengths, texts_of
 from .graph import connected_components
 
@@ -21,8 +21,8 @@ SEED = 42
 TILE = 1024
 #: Rows that a worker compares at a time.
 CHUNK = 1 << 16
-#: Shingles of documents that are compared at a time.
-COMPARED = 500_000
+#: Shingles of documents that are compared at a time, and of a tile whose sets are compared within a group.
+COMPARED, TILE_SHINGLES = 500_000, 1_000_000
 #: Hash functions of a band, and bands, for candidates at a similarity of 0.8: one pair in ten thousand shares none.
 BAND_ROWS, BANDS = 4, 18
 #: Odd multipliers by which one shingle hash gives many: fixed by the seed.
@@ -158,22 +158,23 @@ def hamming_links(classes: DataFrame, keys: Column, words: int, radii: tuple[int
     rows = classes.select(F.explode(F.array_distinct(keys)).alias("key"), "rep", *fp)
     hot = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > TILE)
     rows = rows.join(hot, "key", "left").withColumn("t", F.ceil(F.coalesce("n", F.lit(1)) / TILE).cast("int"))
+    return arrow_map(_dealt(rows).select("key", "i", "j", "rep", *fp), _linked(words, radii, small), "a long, b long")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, rep, t, ..), each once for every two of the ``t`` tiles of its key that hold it, ordered by (key, i, j, rep)."""
     own = F.pmod(F.xxhash64("rep"), F.col("t")).cast("int")
     tiles = F.transform(F.sequence(F.lit(0), F.col("t") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))
-    rows = rows.withColumn("own", own).withColumn("tile", F.explode(tiles)).select("key", F.col("tile.i").alias("i"), F.col("tile.j").alias("j"), "rep", *fp)
-    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
-    return arrow_map(dealt, _linked(words, radii, small), "a long, b long")
+    rows = rows.withColumn("own", own).withColumn("tile", F.explode(tiles)).withColumns({"i": F.col("tile.i"), "j": F.col("tile.j")}).drop("tile", "t")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
 
 
 def _set_of(text: str, width: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, width))
 
 
-def verified(edges: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The ``edges`` (a, b) whose documents (id, text) have shingle sets of at least that Jaccard similarity.
-
-    Only documents with an edge give their sets; an id with several texts gives those of the smallest text.
-    """
+def shingle_sets(docs: DataFrame, need: DataFrame, width: int) -> DataFrame:
+    """(id, set) of the documents (id, text) whose id is in ``need``; an id with several texts gives the smallest text's."""
 
     def sets(batches):
         for batch in batches:
@@ -183,6 +184,16 @@ def verified(edges: DataFrame, docs: DataFrame, width: int, similarity: float) -
                 ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*lists, np.empty(0, np.int64)])))], names=["id", "set"])
 
+    picked = docs.join(need, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    return materialize(arrow_map(picked, sets, "id long, set array<long>"), "shingle-sets")
+
+
+def verified(edges: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The ``edges`` (a, b) whose documents (id, text) have shingle sets of at least that Jaccard similarity.
+
+    Only documents with an edge give their sets; an id with several texts gives those of the smallest text.
+    """
+
     def compare(batches):
         for batch in batches:
             both_sizes = sum(np.diff(batch.column(k).offsets.to_numpy()).astype(np.int64) for k in (2, 3))
@@ -198,12 +209,89 @@ def verified(edges: DataFrame, docs: DataFrame, width: int, similarity: float) -
                 good = pa.array(both >= similarity * (sizes[0] + sizes[1] - both) - 1e-9)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(good), part.column(1).filter(good)], names=["a", "b"])
 
-    need = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    found = materialize(arrow_map(docs.join(need, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), sets, "id long, set array<long>"), "shingle-sets")
+    found = shingle_sets(docs, edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), width)
     side = lambda s: found.select(F.col("id").alias(s), F.col("set").alias(f"{s}_set"))
     return arrow_map(edges.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_set", "b_set"), compare, "a long, b long")
 
 
+def similar_pairs(part: np.ndarray, ask: np.ndarray, sizes: np.ndarray, values: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
+    """Row pairs of at least that Jaccard similarity that join what ``part``, a number per row, holds apart.
+
+    Row k has the next ``sizes[k]`` of ``values``, none twice. Rows in ``ask`` meet all others: their overlaps are counted
+    over the posting lists of their values, so they are exact, and no pair is left out but those already joined.
+    """
+    n, forest = len(sizes), Forest(len(sizes))
+    order = np.argsort(part, kind="stable")
+    alike = part[order[1:]] == part[order[:-1]]
+    forest.join(order[:-1][alike], order[1:][alike])
+    by = np.argsort(values, kind="stable")
+    new = np.flatnonzero(np.r_[True, np.diff(values[by]) != 0]) if len(values) else np.empty(0, np.int64)
+    ends, row = np.r_[new[1:], len(values)].tolist(), np.repeat(np.arange(n), sizes)[by]
+    code = np.empty(len(values), np.int64)
+    code[by] = np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(values)]))
+    starts, cuts, left, right = new.tolist(), np.cumsum(np.r_[0, sizes]), [], []
+    for k in ask.tolist():
+        mine = code[cuts[k] : cuts[k + 1]].tolist()
+        if mine:
+            both = np.bincount(np.concatenate([row[starts[c] : ends[c]] for c in mine]), minlength=n)
+            near = np.flatnonzero(both >= similarity * (sizes[k] + sizes - both) - 1e-9)
+            for j in near[forest.join(np.full(len(near), k), near)].tolist():
+                left.append(k)
+                right.append(j)
+    return left, right
+
+
+def _crowd(similarity: float):
+    def pairs(table: pa.Table):
+        rep, part, own = (table.column(c).to_numpy() for c in ("rep", "component", "own"))
+        sets = table.column("set").combine_chunks()
+        sizes, values = np.diff(sets.offsets.to_numpy()).astype(np.int64), sets.flatten().to_numpy()
+        kinds, kind, many = np.unique(part, return_inverse=True, return_counts=True)
+        # a pair of two components has a row outside the largest one, and a pair of two tiles has a row in the first
+        ask = min(np.flatnonzero(kind != many.argmax()), np.flatnonzero(own == own.min()), key=len)
+        if len(kinds) > 1:
+            a, b = similar_pairs(part, ask, sizes, values, similarity)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], names=["a", "b"])
+
+    def run(batches):
+        held, at = [], None
+        for batch in batches:
+            grid = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
+            cuts = [0, *(np.flatnonzero((grid[1:] != grid[:-1]).any(axis=1)) + 1).tolist(), len(grid)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi > lo:
+                    if held and tuple(grid[lo]) != at:
+                        yield from pairs(pa.Table.from_batches(held))
+                        held = []
+                    held.append(batch.slice(lo, hi - lo))
+                    at = tuple(grid[lo])
+        if held:
+            yield from pairs(pa.Table.from_batches(held))
+
+    return run
+
+
+def crowded_links(classes: DataFrame, keys: Column, edges: DataFrame, docs: DataFrame, width: int, similarity: float, small: int) -> DataFrame | None:
+    """Links (a, b) of at least that similarity that the forests of keys with over ``small`` rows left out, None if none can.
+
+    ``edges`` are confirmed links. Where the rows of such a key are not all in one of their components, the shingle sets
+    meet within the key, tile by tile, and a link counts if it joins two components. It is the sets that decide, so no
+    similar pair of a key stays apart.
+    """
+    parts = connected_components(edges).select(F.col("node").alias("rep"), "component")
+    rows = classes.select(F.explode(F.array_distinct(keys)).alias("key"), "rep").join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    crowd = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where((F.col("n") > small) & (F.col("lo") < F.col("hi")))
+    rows = materialize(rows.join(crowd.select("key"), "key", "left_semi"), "crowds")
+    if rows.isEmpty():
+        return None
+    found = shingle_sets(docs, rows.select(F.col("rep").alias("id")).distinct(), width).withColumnRenamed("id", "rep")
+    held = rows.join(found.select("rep", F.size("set").alias("size")), "rep").groupBy("key")
+    tiles = held.agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("size") / TILE_SHINGLES, F.lit(1))).cast("int").alias("t"))
+    dealt = _dealt(rows.join(tiles, "key").join(found, "rep"))
+    return arrow_map(dealt.select("key", "i", "j", "rep", "component", "own", "set"), _crowd(similarity), "a long, b long")
+
+
 def simhash_groups(
     docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 3, words: int = 1, radii: tuple[int, ...] = (3,), bands: bool = False, similarity: float | None = None, small: int = 1
 ) -> DataFrame:
@@ -211,7 +299,8 @@ def simhash_groups(
 
     ``words`` = 1 and no ``bands``: the join is exact, by pigeonhole keys. With ``bands`` candidates are documents that
     share a band of shingle minima, and the fingerprint decides, or, if ``similarity`` is named, proposes links that the
-    shingle sets themselves confirm; use it for similarities whose radius is too wide for pigeonhole keys. Equal
+    shingle sets themselves confirm; use it for similarities whose radius is too wide for pigeonhole keys. Where over
+    ``small`` documents share a band, and the confirmed links do not join them all, their sets meet each other. Equal
     fingerprints are one node, so copies cost nothing in the join.
 
     Null and empty texts have fingerprint zero and link like any other. Rows with a null id get a null component and link
@@ -227,7 +316,9 @@ def simhash_groups(
     edges = hamming_links(classes, keys, words, radii, small)
     if similarity is not None:
         edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "simhash-edges")
-        edges = verified(edges, base, width, similarity)
+        edges = materialize(verified(edges, base, width, similarity), "simhash-links")
+        more = crowded_links(classes, keys, edges, base, width, similarity, small)
+        edges = edges if more is None else edges.union(more)
     # an id with several rows ties their fingerprints together; only ids that repeat have such edges
     again = found.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
     ties = found.join(again, "id").join(classes, by).select(F.col("id").alias("a"), F.col("rep").alias("b"))
