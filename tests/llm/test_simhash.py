@@ -100,6 +100,24 @@ def test_large_family_in_tiles(spark, monkeypatch):
     test_large_family_against_brute_force(spark)
 
 
+def test_pairs_far_by_fingerprint_are_linked(spark):
+    """Pairs just above 0.8 are all found, those over 50 of 256 bits apart included."""
+    rng = np.random.default_rng(11)
+    texts, far = [], 0
+    while len(texts) < 1600 or far < 5:
+        words = [f"w{x}" for x in rng.integers(0, 1 << 30, 90)]
+        copy = list(words)
+        copy[45] = "edit"
+        pair = [" ".join(words), " ".join([*copy[:-7], "end"])]
+        one, two = (np.unique(op.shingle_hashes(t, 5)) for t in pair)
+        both = len(np.intersect1d(one, two))
+        assert 0.8 <= both / (len(one) + len(two) - both) < 0.81
+        far += np.bitwise_count(op.fingerprint(one, 4) ^ op.fingerprint(two, 4)).sum() > 50
+        texts += pair
+    got = {r["doc_id"]: r["component_id"] for r in op.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: i // 2 * 2 for i in range(len(texts))}
+
+
 def test_odd_rows(spark, odd, none):
     got = op.simhash_groups(odd).collect()
     assert len(got) == odd.count()
