@@ -44,6 +44,28 @@ def test_random_lines(spark, seed):
     assert sum(map(len, again.values())) >= 0.9 * sum(map(len, got.values()))
 
 
+def test_runs_extend_to_any_earlier_place(spark):
+    """A run whose opening comes first with another continuation goes as far as it agrees with a later place."""
+    a, b, c, x = (" ".join(f"{t}{k}" for k in range(n)) for t, n in (("a", 50), ("b", 40), ("c", 5), ("x", 40)))
+    texts = [(1, f"{a}\n{x}"), (2, f"{a}\n{b}"), (3, f"{a}\n{b}"), (4, f"{a}\n{b}\n{c}"), (5, f"{a}\n{b}\n{c}"), (6, f"{a}\n{c}")]
+    got = kept(linededup.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect())
+    assert got == dedup(texts) == {1: [a, x], 2: [b], 3: [], 4: [c], 5: [], 6: [c]}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_random_openings_match_plain(spark, seed):
+    rng = random.Random(100 + seed)
+    pool = [" ".join(rng.choice("abcdefgh") + str(k) for _ in range(rng.choice([1, 3, 9, 20, 45, 60]))) for k in range(12)]
+    texts = []
+    for i in range(60):
+        lines = []
+        for _ in range(rng.randint(0, 3)):
+            lines += [pool[k] for k in ((0, 1, 2), (3, 4), (5,))[rng.randint(0, 2)]] + [rng.choice(pool) for _ in range(rng.randint(0, 4))]
+        texts.append((i, "\n".join(lines)))
+    got = kept(linededup.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect())
+    assert got == dedup(texts)
+
+
 def test_windows_guarantee_a_fingerprint():
     rng = random.Random(1)
     for _ in range(200):

@@ -13,18 +13,18 @@ from .common import arrow_map, fresh, materialize, slices, text_lengths, texts_o
 #: Words from which a repeated run of lines is deleted.
 MIN_WORDS = 50
 
-ARROW = pa.schema([("doc", pa.int64()), ("th", pa.int64()), ("fp", pa.int64()), ("first", pa.bool_()), ("start", pa.int32()), ("end", pa.int32()), ("run", pa.int64()), ("tail", pa.list_(pa.int64())), ("tail_at", pa.list_(pa.int32()))])
-DDL = "doc long, th long, fp long, first boolean, start int, end int, run long, tail array<long>, tail_at array<int>"
+ARROW = pa.schema([("doc", pa.int64()), ("th", pa.int64()), ("fp", pa.int64()), ("first", pa.bool_()), ("start", pa.int32()), ("runs", pa.list_(pa.int64())), ("ends", pa.list_(pa.int32()))])
+DDL = "doc long, th long, fp long, first boolean, start int, runs array<long>, ends array<int>"
 
 
 def line_windows(text: str, min_words: int) -> list[tuple]:
-    """(fp, first, start, end, run, tail, tail_at) for each window of a text.
+    """(fp, first, start, runs, ends) for each window of a text.
 
     A window is the shortest run of lines from some line on with ``min_words`` words. Its fingerprint is the least line
     hash in it (of equals the last); ``first`` marks the first window that selects that line. Any run that two texts share
-    and that has ``min_words`` words holds a whole window, so both select the same fingerprint in it. ``run`` is the hash
-    of the window's lines, ``tail`` has the hashes of the lines after it that a match may extend over although no further
-    window fits, with their line numbers ``tail_at``. Lines without a word are passed over.
+    and that has ``min_words`` words holds a whole window, so both select the same fingerprint in it. ``runs`` has the hash
+    of the window's lines, and of these with the first one, two, .. of the lines after it that a match may extend over
+    although no further window fits; ``ends`` the last line number of each. Lines without a word are passed over.
     """
     hashes, counts, at = [], [], []
     for i, line in enumerate(text.split("\n")):
@@ -45,7 +45,8 @@ def line_windows(text: str, min_words: int) -> list[tuple]:
             break
         pick = min(range(j, i - 1, -1), key=hashes.__getitem__)
         upto = min(int(last[i + 1]) if i + 1 < len(last) else len(hashes), len(hashes))
-        out.append((hashes[pick], pick != chosen, at[i], at[j], xxhash.xxh64_intdigest(packed[8 * i : 8 * j + 8], 1) - (1 << 63), hashes[j + 1 : upto], at[j + 1 : upto]))
+        runs = [xxhash.xxh64_intdigest(packed[8 * i : 8 * k + 8], 1) - (1 << 63) for k in range(j, max(upto, j + 1))]
+        out.append((hashes[pick], pick != chosen, at[i], runs, at[j : j + len(runs)]))
         chosen = pick
     return out
 
@@ -53,10 +54,11 @@ def line_windows(text: str, min_words: int) -> list[tuple]:
 def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, th, spans): runs of lines, from first to last number, that repeat an earlier run of ``min_words`` words.
 
-    Fingerprints are counted first, so that only windows around a fingerprint that repeats go on. Those are joined by the
-    whole window's hash with its first position by (id, line), and each later one is extended forward over the lines that
-    follow alike at the first position; backwards every longer match is a window of its own. No pair of later positions
-    is ever made, so a passage in a third of all documents costs a row in each. Runs may lie in one document.
+    Fingerprints are counted first, so that only windows around a fingerprint that repeats go on. Those, and each of their
+    extensions forward, are joined by the hash of all their lines with its first position by (id, line), so a later one is
+    taken as far as it agrees with any earlier position; backwards every longer match is a window of its own. No pair of
+    later positions is ever made, so a passage in a third of all documents costs a few rows in each. Runs may lie in one
+    document.
     """
 
     def run(batches):
@@ -71,15 +73,10 @@ def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_
     windows = materialize(arrow_map(source, run, DDL), "line-windows")
     again = windows.where("first").groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
     near = windows.join(again, "fp", "left_semi")
-    heads = near.groupBy("fp", "run").agg(F.min(F.struct("doc", "start", "tail")).alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    near = near.select("doc", "th", "fp", "start", F.explode(F.arrays_zip("runs", "ends")).alias("x")).select("doc", "th", "fp", "start", F.col("x.runs").alias("run"), F.col("x.ends").alias("end"))
+    heads = near.groupBy("fp", "run").agg(F.min(F.struct("doc", "start")).alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = near.join(heads, ["fp", "run"]).where((F.col("doc") > F.col("head.doc")) | (F.col("start") > F.col("head.start")))
-    alike = F.aggregate(
-        F.zip_with("tail", "head.tail", lambda a, b: F.coalesce(a == b, F.lit(False))),
-        F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")),
-        lambda s, x: F.struct((s["n"] + F.when(s["on"] & x, 1).otherwise(0)).alias("n"), (s["on"] & x).alias("on")),
-        lambda s: s["n"],
-    )
-    spans = later.withColumn("more", alike).select("doc", "th", F.struct("start", F.when(F.col("more") > 0, F.expr("tail_at[more - 1]")).otherwise(F.col("end")).alias("end")).alias("span"))
+    spans = later.select("doc", "th", F.struct("start", "end").alias("span"))
     return spans.groupBy("doc", "th").agg(F.sort_array(F.collect_set("span")).alias("spans"))
 
 
