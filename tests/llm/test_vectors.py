@@ -53,6 +53,15 @@ def test_nearest_are_exact_on_few_and_odd(spark):
     assert vectors.nearest_neighbours(spark.createDataFrame([], SCHEMA), F.col("vec_id") == 0).count() == 0
 
 
+def test_query_leaves_zero_vectors_out(spark, tmp_path):
+    from tomewright.llm import queries
+
+    rows = [(k, [float(k), 1.0], 0) for k in range(1, 13)] + [(100, [0.0, 0.0], 0), (200, [0.5, 0.0], 0), (301, [0.0, 0.0], 0), (302, [-0.0, 0.0], 0), (303, None, 0)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = [tuple(r)[:3] for r in queries.op9_nearest_neighbours(spark, str(tmp_path)).orderBy("query_id", "rank").collect()]
+    assert got == [(200, k, k) for k in range(1, 11)]
+
+
 def test_recall_and_scores(spark, monkeypatch):
     from pyspark.sql import functions as F
 

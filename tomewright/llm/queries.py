@@ -35,7 +35,8 @@ def op8_quality_classifier(spark, sf_dir):
 
 
 def op9_nearest_neighbours(spark, sf_dir):
-    return vectors.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+    """Zero vectors are neither asked nor found here, like null and non-finite ones."""
+    return vectors.nearest_neighbours(table(spark, sf_dir, "embeddings").where(vectors.usable("embedding", True)), F.col("vec_id") % 100 == 0)
 
 
 def op2_token_counts(spark, sf_dir):
