@@ -37,7 +37,7 @@ def shingle_set(text, width=5):
 
 
 def repeated_lines(docs, least=50):
-    """{doc position: line numbers to delete} of (id, text) in order: every maximal common run with an earlier place."""
+    """{doc position: line numbers to delete} of (id, text) in order: each common run with an earlier place that it does not overlap."""
     seqs = [[(k, line.strip(), len(line.split())) for k, line in enumerate((t or "").split("\n")) if line.split()] for _, t in docs]
     places, gone = defaultdict(list), defaultdict(set)
     for a, s in enumerate(seqs):
@@ -53,6 +53,9 @@ def repeated_lines(docs, least=50):
                 k = 0
                 while b + k < len(one) and e + k < len(two) and one[b + k][1] == two[e + k][1]:
                     k += 1
-                if sum(two[e + m][2] for m in range(k)) >= least:
-                    gone[c] |= {two[m][0] for m in range(e, e + k)}
+                shift = e - b if a == c else k
+                for m in range(e, e + k):
+                    run = two[m : min(m + shift, e + k)]
+                    if sum(n for *_, n in run) >= least:
+                        gone[c] |= {at for at, *_ in run}
     return gone

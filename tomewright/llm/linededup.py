@@ -1,4 +1,4 @@
-"""Line dedup: winnowing over line hashes, joined positions, extended matches, later repeated runs deleted."""
+"""Line dedup: winnowing over line hashes, joined positions, matches extended both ways, later repeated runs deleted."""
 
 from __future__ import annotations
 
@@ -13,18 +13,20 @@ from .common import arrow_map, fresh, materialize, slices, text_lengths, texts_o
 #: Words from which a repeated run of lines is deleted.
 MIN_WORDS = 50
 
-ARROW = pa.schema([("doc", pa.int64()), ("th", pa.int64()), ("fp", pa.int64()), ("first", pa.bool_()), ("start", pa.int32()), ("runs", pa.list_(pa.int64())), ("ends", pa.list_(pa.int32()))])
-DDL = "doc long, th long, fp long, first boolean, start int, runs array<long>, ends array<int>"
+ANCHORS = pa.schema([("doc", pa.int64()), ("th", pa.int64()), ("fp", pa.int64()), ("lines", pa.list_(pa.int64())), ("at", pa.list_(pa.int32())), ("shortest", pa.list_(pa.int32())), ("longest", pa.list_(pa.int32()))])
+ANCHORS_DDL = "doc long, th long, fp long, lines array<long>, at array<int>, shortest array<int>, longest array<int>"
+RUNS_DDL = "doc long, th long, run long, start int, end int"
 
 
-def line_windows(text: str, min_words: int) -> list[tuple]:
-    """(fp, first, start, runs, ends) for each window of a text.
+def anchors(text: str, min_words: int) -> list[tuple]:
+    """(fp, lines, at, shortest, longest) for each line of a text that winnowing selects.
 
-    A window is the shortest run of lines from some line on with ``min_words`` words. Its fingerprint is the least line
-    hash in it (of equals the last); ``first`` marks the first window that selects that line. Any run that two texts share
-    and that has ``min_words`` words holds a whole window, so both select the same fingerprint in it. ``runs`` has the hash
-    of the window's lines, and of these with the first one, two, .. of the lines after it that a match may extend over
-    although no further window fits; ``ends`` the last line number of each. Lines without a word are passed over.
+    A window is the shortest run of lines from some line on that has ``min_words`` words, and selects the least line hash in
+    it, of equals the last. So any run of that many words that two texts share holds a window, and both select the same line
+    in it. ``fp`` is the selected hash, ``lines`` the hashes and ``at`` the numbers of the lines that its matches may reach:
+    back to the first window that selects it, and on to where the window after the last one ends. The k-th window that
+    selects it starts at ``lines[k]`` and, written as numbers of lines, has ``shortest[k]``; a match that starts there may
+    have up to ``longest[k]`` before the next window takes over. Lines without a word are passed over.
     """
     hashes, counts, at = [], [], []
     for i, line in enumerate(text.split("\n")):
@@ -33,58 +35,77 @@ def line_windows(text: str, min_words: int) -> list[tuple]:
             hashes.append(xxhash.xxh64_intdigest(line.strip().encode("utf-8", "surrogatepass")) - (1 << 63))
             counts.append(n)
             at.append(i)
-    out, ends = [], np.cumsum(counts)
+    ends = np.cumsum(counts)
     if not counts or ends[-1] < min_words:
-        return out
-    before = np.r_[0, ends[:-1]]
-    last = np.searchsorted(ends, before + min_words)  # the line with which each window has enough words
-    packed = np.array(hashes, np.int64).tobytes()
-    chosen = -1
-    for i, j in enumerate(last.tolist()):
-        if j >= len(hashes):
-            break
-        pick = min(range(j, i - 1, -1), key=hashes.__getitem__)
-        upto = min(int(last[i + 1]) if i + 1 < len(last) else len(hashes), len(hashes))
-        runs = [xxhash.xxh64_intdigest(packed[8 * i : 8 * k + 8], 1) - (1 << 63) for k in range(j, max(upto, j + 1))]
-        out.append((hashes[pick], pick != chosen, at[i], runs, at[j : j + len(runs)]))
-        chosen = pick
+        return []
+    last = np.searchsorted(ends, np.r_[0, ends[:-1]] + min_words)  # the line with which each window has enough words
+    last = last[last < len(hashes)].tolist()
+    reach = [max(j + 1, k) for j, k in zip(last, [*last[1:], len(hashes)])]
+    picks = [min(range(j, i - 1, -1), key=hashes.__getitem__) for i, j in enumerate(last)]
+    out, first = [], 0
+    for i in range(1, len(picks) + 1):
+        if i == len(picks) or picks[i] != picks[first]:
+            hi = max(reach[first:i])
+            shortest = [last[k] + 1 - k for k in range(first, i)]
+            longest = [reach[k] - k for k in range(first, i)]
+            out.append((hashes[picks[first]], hashes[first:hi], at[first:hi], shortest, longest))
+            first = i
     return out
 
 
+def runs_around(lines: np.ndarray, at: np.ndarray, shortest: np.ndarray, longest: np.ndarray):
+    """(run, start, end) for each match that an anchor may have: the hash of its lines, its first and last line number."""
+    packed, at = lines.tobytes(), at.tolist()
+    for k, (a, b) in enumerate(zip(shortest.tolist(), longest.tolist())):
+        for n in range(a, b + 1):
+            yield xxhash.xxh64_intdigest(packed[8 * k : 8 * (k + n)], 1) - (1 << 63), at[k], at[k + n - 1]
+
+
 def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, th, spans): runs of lines, from first to last number, that repeat an earlier run of ``min_words`` words.
 
-    Fingerprints are counted first, so that only windows around a fingerprint that repeats go on. Those, and each of their
-    extensions forward, are joined by the hash of all their lines with its first position by (id, line), so a later one is
-    taken as far as it agrees with any earlier position; backwards every longer match is a window of its own. No pair of
-    later positions is ever made, so a passage in a third of all documents costs a few rows in each. Runs may lie in one
-    document.
+    Only the lines that winnowing selects are emitted, and those whose hash is selected twice or more go on. Around each of
+    them the match is extended both ways: back to every line from which the anchor is still the least, and from there on
+    line by line until the next window takes over. All of these, identified by the hash of their lines, are joined with the
+    first position by (id, text hash, line) at which the same lines stand. So each match is taken as far as it agrees with
+    any earlier position, whichever that is, and no pair of later positions is ever made: a passage in a third of all
+    documents costs a few rows in each.
+
+    A place that overlaps the first position of its own lines is no repeat of it: of a text of equal lines the first
+    ``min_words`` words stay.
     """
 
-    def run(batches):
+    def select(batches):
         for batch in batches:
             for lo, hi in slices(text_lengths(batch.column(2))):
                 part = batch.slice(lo, hi - lo)
-                rows = [(d, th, *w) for d, th, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts_of(part.column(2))) for w in line_windows(t, min_words)]
+                rows = [(d, th, *w) for d, th, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts_of(part.column(2))) for w in anchors(t, min_words)]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), ARROW)], schema=ARROW)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), ANCHORS)], schema=ANCHORS)
+
+    def extend(batches):
+        for batch in batches:
+            lists = [batch.column(c) for c in ("lines", "at", "shortest", "longest")]
+            cuts, flat = [x.offsets.to_numpy().tolist() for x in lists], [x.values.to_numpy() for x in lists]
+            docs_, hashes = batch.column("doc").to_pylist(), batch.column("th").to_pylist()
+            for lo in range(0, batch.num_rows, 500):
+                rows = [(docs_[i], hashes[i], *r) for i in range(lo, min(lo + 500, batch.num_rows)) for r in runs_around(*[v[c[i] : c[i + 1]] for v, c in zip(flat, cuts)])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc", "th", "run", "start", "end"])
 
     source = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("doc"), F.xxhash64(text).alias("th"), F.col(text))
-    windows = materialize(arrow_map(source, run, DDL), "line-windows")
-    again = windows.where("first").groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
-    near = windows.join(again, "fp", "left_semi")
-    near = near.select("doc", "th", "fp", "start", F.explode(F.arrays_zip("runs", "ends")).alias("x")).select("doc", "th", "fp", "start", F.col("x.runs").alias("run"), F.col("x.ends").alias("end"))
-    heads = near.groupBy("fp", "run").agg(F.min(F.struct("doc", "start")).alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = near.join(heads, ["fp", "run"]).where((F.col("doc") > F.col("head.doc")) | (F.col("start") > F.col("head.start")))
-    spans = later.select("doc", "th", F.struct("start", "end").alias("span"))
-    return spans.groupBy("doc", "th").agg(F.sort_array(F.collect_set("span")).alias("spans"))
+    found = materialize(arrow_map(source, select, ANCHORS_DDL), "line-anchors")
+    again = found.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
+    runs = materialize(arrow_map(found.join(again, "fp", "left_semi").select("doc", "th", "lines", "at", "shortest", "longest"), extend, RUNS_DDL), "line-runs")
+    heads = runs.groupBy("run").agg(F.min(F.struct("doc", "th", "start", "end")).alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    elsewhere = (F.col("doc") != F.col("head.doc")) | (F.col("th") != F.col("head.th")) | (F.col("start") > F.col("head.end"))
+    return runs.join(heads, "run").where(elsewhere).groupBy("doc", "th").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
 
 def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, removed: str = "removed_lines", drop_emptied: bool = False) -> DataFrame:
     """``docs`` with the repeated runs cut out of ``text``, and ``removed``, the number of lines that went.
 
-    The earliest copy of a run, by (id, line), always stays. Empty lines inside a deleted run go with it; other lines are
-    kept as they are. Null texts stay null, empty ones empty. Rows with a null id stay unchanged and are no sources. Rows
+    The earliest copy of a run, by (id, line), always stays whole, in a text that repeats itself its first ``min_words``
+    words. Empty lines inside a deleted run go with it; other lines are kept as they are. Null texts stay null, empty ones empty. Rows with a null id stay unchanged and are no sources. Rows
     that repeat an id with the same text are one document and lose the same lines; with other texts they are held apart by
     a hash of the text. With ``drop_emptied`` documents that lost all of their words are dropped. All other columns stay;
     a column of ``docs`` named like ``removed`` is replaced.
