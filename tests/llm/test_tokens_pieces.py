@@ -85,3 +85,41 @@ def test_sections_add_up(spark, documents, odd, none):
             assert want == r["section_tokens"]
     got = {r["doc_id"]: (r["n_tokens"], r["n_sections"]) for r in tokens.count_tokens(odd).collect()}
     assert got[2] == got[3] == (0, 0) and got[4][1] == 2 and tokens.count_tokens(none).count() == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(" \t\n  \u0085\x1f'stab1.é", max_size=40))
+def test_long_blanks_are_cut_where_the_pattern_cuts(text):
+    import re
+
+    encoding, _ = tokens.load(tokens.default_ranks())
+    whole, tokens.LONG_BLANK = tokens.LONG_BLANK, re.compile(tokens.LONG_BLANK.pattern.replace("10000", "2"))
+    try:
+        assert tokens.encode(encoding, text).tolist() == encoding.encode_ordinary(text)
+    finally:
+        tokens.LONG_BLANK = whole
+
+
+def test_very_long_blanks(spark):
+    texts = [" " * 5_000_000, "a" + "\n" * 3_000_000 + " b", "x" * 2_000_000]
+    got = {r["doc_id"]: r for r in tokens.count_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), separator="\x00").collect()}
+    encoding, sizes = tokens.load(tokens.default_ranks())
+    for i, t in enumerate(texts):
+        assert got[i]["section_tokens"] == [got[i]["n_tokens"]] and int(sizes[tokens.encode(encoding, t)].sum()) == len(t)
+
+
+def test_fields_share_their_document(spark):
+    rows = [(1, "A title", None, "the body, of more words"), (2, None, "", None), (3, "", "only this", None), (4, "x", "y", "z")]
+    df = spark.createDataFrame(rows, "id long, title string, note string, body string")
+    encoding, sizes = tokens.load(tokens.default_ranks())
+    for r in tokens.count_field_tokens(df, ["title", "note", "body"], "id").collect():
+        own = rows[r["id"] - 1][1:]
+        text = "\n".join(t for t in own if t)
+        ids = encoding.encode_ordinary(text)
+        assert r["n_tokens"] == len(ids) == sum(r["field_tokens"]) and len(r["field_tokens"]) == 3
+        at, want, left = 0, [0, 0, 0], [k for k, t in enumerate(own) if t]
+        spans = {k: sum(len(own[j].encode()) + 1 for j in left if j < k) for k in left}
+        for t in ids:
+            want[max(k for k in left if spans[k] <= at)] += 1
+            at += int(sizes[t])
+        assert want == r["field_tokens"]
