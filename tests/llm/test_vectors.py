@@ -1,6 +1,9 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from plain import components
+from pyspark.sql import functions as F
 
 from tomewright.llm import vectors
 
@@ -45,11 +48,11 @@ def test_odd_vectors(spark):
 
 
 def test_nearest_are_exact_on_few_and_odd(spark):
-    from pyspark.sql import functions as F
-
-    df = spark.createDataFrame([*ODD, (20, [0.0, 3.0], 0)], SCHEMA)
-    got = [tuple(r) for r in vectors.nearest_neighbours(df, F.col("vec_id") == 20, k=3).orderBy("rank").collect()]
-    assert [(q, rank, v) for q, rank, v, _ in got] == [(20, 1, 7), (20, 2, 1), (20, 3, 1)] and [round(s, 6) for *_, s in got] == [3.0, round(10**0.5, 6), round(10**0.5, 6)]
+    """Zero vectors take no part; repeated rows count each, and ties go to the smaller id."""
+    df = spark.createDataFrame([*ODD, (20, [0.0, 3.0], 0)], SCHEMA).selectExpr("*", "'x' as block", "'y' as rank", "1 as query_id", "2 as h")
+    got = [tuple(r) for r in vectors.nearest_neighbours(df, F.col("vec_id") == 20, k=4).orderBy("rank", "vec_id").collect()]
+    assert [(q, rank, v) for q, rank, v, _ in got] == [(20, 1, 1), (20, 2, 1), (20, 3, 3), (20, 4, 4)] and {s for *_, s in got} == {10**0.5}
+    assert vectors.nearest_neighbours(df, F.col("vec_id") == 7).count() == 0
     assert vectors.nearest_neighbours(spark.createDataFrame([], SCHEMA), F.col("vec_id") == 0).count() == 0
 
 
@@ -62,24 +65,55 @@ def test_query_leaves_zero_vectors_out(spark, tmp_path):
     assert got == [(200, k, k) for k in range(1, 11)]
 
 
-def test_recall_and_scores(spark, monkeypatch):
-    from pyspark.sql import functions as F
+def recall(spark, tmp_path, x, **options):
+    """The part of the true ten nearest that is found for every 100th vector; ranks and scores are checked on the way."""
+    ids = pa.array(np.arange(len(x)))
+    pq.write_table(pa.table({"vec_id": ids, "embedding": pa.array(list(x.astype(np.float32))), "label": ids}), tmp_path / "x.parquet")
+    got = vectors.nearest_neighbours(spark.read.parquet(str(tmp_path / "x.parquet")), F.col("vec_id") % 100 == 0, **options).toPandas()
+    x, hit = x.astype(np.float32).astype(float), 0
+    for q in range(0, len(x), 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        want = [i for i in np.lexsort((np.arange(len(x)), d)) if i != q][:10]
+        g = got[got.query_id == q].sort_values("rank")
+        assert g["rank"].tolist() == list(range(1, 11)) and np.allclose(g.score, d[g.vec_id], rtol=0, atol=1e-9) and (np.diff(g.score) >= 0).all()
+        hit += len(set(want) & set(g.vec_id))
+    return hit / 10 / len(range(0, len(x), 100))
+
 
+def test_recall_over_blocks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(vectors, "INDEX_ROWS", 1500)
     monkeypatch.setattr(vectors, "QUERY_ROWS", 16)
-    rng = np.random.default_rng(5)
-    x = rng.normal(size=(6000, 32)).astype(np.float32).astype(float)
+    monkeypatch.setattr(vectors, "SENT_BYTES", 10_000)
+    x = np.random.default_rng(5).normal(size=(6000, 32))
     x[3000:3400] = x[0]
-    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA)
-    got = vectors.nearest_neighbours(df, F.col("vec_id") % 100 == 0).toPandas()
-    hit = 0
-    for q in range(0, 6000, 100):
+    assert recall(spark, tmp_path, x) >= 0.9
+
+
+@pytest.mark.parametrize("dim", [64, 256, 768])
+def test_recall_as_shipped(spark, tmp_path, dim):
+    assert recall(spark, tmp_path, np.random.default_rng(dim).normal(size=(9000, dim))) >= 0.9
+
+
+def test_share_of_one_is_exact(spark, tmp_path):
+    assert recall(spark, tmp_path, np.random.default_rng(9).normal(size=(3000, 40)), share=1.0) == 1.0
+
+
+def test_registered_search_against_brute_force(spark):
+    """Every query of sf0.1 with the shipped constants: exact scores, true order, and nine in ten of the true neighbours."""
+    from tomewright.llm import queries
+
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where(vectors.usable("embedding", True)).orderBy("vec_id").toPandas()
+    x, ids = np.stack(rows.embedding.to_list()).astype(float), rows.vec_id.to_numpy()
+    got = queries.op9_nearest_neighbours(spark, "/root/testdata/sf0.1").toPandas()
+    hit, asked = 0, np.flatnonzero(ids % 100 == 0)
+    assert set(got.query_id) == set(ids[asked].tolist())
+    for q in asked:
         d = np.sqrt(((x - x[q]) ** 2).sum(1))
-        want = [i for i in np.lexsort((np.arange(6000), d)) if i != q][:10]
-        g = got[got.query_id == q].sort_values("rank")
-        assert g["rank"].tolist() == list(range(1, 11)) and np.allclose(g.score, d[g.vec_id], rtol=0, atol=1e-12)
-        hit += len(set(want) & set(g.vec_id))
-    assert hit / 600 >= 0.9
+        g = got[got.query_id == ids[q]].sort_values("rank")
+        assert np.allclose(g.score, d[np.searchsorted(ids, g.vec_id)], rtol=0, atol=1e-12) and g["rank"].tolist() == list(range(1, 11))
+        want = [i for i in np.lexsort((ids, d)) if i != q][:10]
+        hit += len(set(ids[want].tolist()) & set(g.vec_id))
+    assert hit / 10 / len(asked) >= 0.9
 
 
 def test_interval_join_is_complete():

@@ -238,101 +238,139 @@ def near_vectors(rows: DataFrame, id: str = "vec_id", vector: str = "embedding",
     return good.unionByName(bad).select(F.col("id").alias(id), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-#: Pivots, the nearest ones that make up a vector's permutation, and the share of a block that is reranked.
-PIVOTS, PREFIX, SHARE = 128, 96, 0.12
-#: Rows of an index block, and queries of a query block.
-INDEX_ROWS, QUERY_ROWS = 8192, 512
+#: Pivots, which a vector's permutation orders; the nearest and the farthest ones whose files a query reads; the part of
+#: its true neighbours in the sample that the share to rerank is chosen for.
+PIVOTS, PROBES, RECALL = 256, 32, 0.97
+#: Rows and bytes of a block of the index, of a block of queries, and of the query blocks that are broadcast at a time.
+INDEX_ROWS, INDEX_BYTES, QUERY_ROWS, QUERY_BYTES, SENT_BYTES = 8192, 16 << 20, 2048, 4 << 20, 64 << 20
+#: Sample vectors for which the share is measured.
+TRIED = 128
 
 
-def prefix_of(x: np.ndarray, pivots: np.ndarray, m: int) -> np.ndarray:
-    """The numbers of the ``m`` pivots nearest to each vector, nearest first."""
+def places_of(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """The inverted files of the vectors: a row for each pivot with its place, from 0, in each vector's order of pivots."""
     far = (pivots * pivots).sum(1)[None, :] - 2 * x @ pivots.T
-    return np.argsort(far, axis=1, kind="stable")[:, :m]
-
-
-def inverted_files(prefix: np.ndarray, pivots: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per pivot: the rows that have it in their prefix, and at which place."""
-    flat = prefix.ravel()
-    order = np.argsort(flat, kind="stable")
-    row, place = np.divmod(order, prefix.shape[1])
-    cuts = np.searchsorted(flat[order], np.arange(pivots + 1))
-    return [(row[a:b], place[a:b].astype(np.int32)) for a, b in zip(cuts, cuts[1:])]
-
-
-def footrules(query: np.ndarray, files: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
-    """Footrule distance of one prefix to each of n indexed ones; a pivot outside a prefix stands right after it."""
-    m = len(query)
-    total = np.full(n, m * (m + 1), np.int32)
-    for place, pivot in enumerate(query.tolist()):
-        rows, at = files[pivot]
-        total[rows] -= 2 * (m - np.maximum(at, place))
-    return total
-
-
-def _search(pivots: dict[int, np.ndarray], k: int, share: float):
+    order = np.argsort(far, axis=1, kind="stable")
+    out = np.empty((len(pivots), len(x)), np.uint8)
+    out[order, np.arange(len(x))[:, None]] = np.arange(len(pivots), dtype=np.uint8)[None, :]
+    return out
+
+
+def footrules(places: np.ndarray, files: np.ndarray) -> np.ndarray:
+    """Footrule distance of a query's permutation to each indexed one, over the pivots that stand at its two ends."""
+    used = np.flatnonzero((places < PROBES) | (places >= len(places) - PROBES))
+    return np.abs(files[used] - places[used].astype(np.int16)[:, None]).sum(axis=0, dtype=np.int32)
+
+
+def share_for(sample: np.ndarray, pivots: np.ndarray, k: int, recall: float) -> float:
+    """The share of all vectors, by footrule, that holds this part of the true neighbours within the sample."""
+    files, tried = places_of(sample, pivots).astype(np.int16), min(TRIED, len(sample))
+    if len(sample) <= k:
+        return 1.0
+    found = []
+    for i in range(len(sample) - tried, len(sample)):  # the pivots are the first ones
+        gap = ((sample - sample[i]) ** 2).sum(1)
+        gap[i] = np.inf
+        place = np.empty(len(sample), np.int64)
+        place[np.argsort(footrules(files[:, i], files), kind="stable")] = np.arange(len(sample))
+        found.append(place[np.argpartition(gap, k)[:k]])
+    return min(1.0, (float(np.quantile(np.concatenate(found), recall)) + 2) / len(sample))
+
+
+def _search(pivots: dict[int, np.ndarray], shares: dict[int, float], k: int):
     def run(batches):
+        best: dict[int, list[np.ndarray]] = {}  # by query block: query ids, and the nearest found so far with their distances
         for batch in batches:
             for row in batch.to_pylist():
                 dim = row["dim"]
-                x = np.frombuffer(row["x_data"], np.float64).reshape(-1, dim)
-                q = np.frombuffer(row["q_data"], np.float64).reshape(-1, dim)
-                ids, qids = np.array(row["x_ids"], np.int64), np.array(row["q_ids"], np.int64)
-                p = pivots.get(dim)
-                c = len(x) if p is None else min(len(x), max(50 * k, int(np.ceil(share * len(x)))) + 1)
+                x, q = (np.frombuffer(row[f"{s}_data"], np.float64).reshape(-1, dim) for s in "xq")
+                ids, qids = np.array(row["ids"], np.int64), np.array(row["q_ids"], np.int64)
+                if row["q_block"] not in best:
+                    best[row["q_block"]] = [qids, np.full((len(q), k), np.iinfo(np.int64).max), np.full((len(q), k), np.inf)]
+                p, known = pivots.get(dim), best[row["q_block"]]
+                c = len(x) if p is None else min(len(x), int(np.ceil(shares[dim] * len(x))) + 2 * k)
                 if c < len(x):
-                    m = min(PREFIX, len(p))
-                    files, prefixes = inverted_files(prefix_of(x, p, m), len(p)), prefix_of(q, p, m)
-                out = []
+                    files, own = np.frombuffer(row["files"], np.uint8).reshape(len(p), -1).astype(np.int16), places_of(q, p)
                 for i in range(len(q)):
+                    near = np.arange(len(x))
                     if c < len(x):
-                        f = footrules(prefixes[i], files, len(x)).astype(np.int64) * len(x) + np.arange(len(x))
+                        f = footrules(own[:, i], files).astype(np.int64) * len(x) + near  # of equals the smaller ids
                         near = np.argpartition(f, c - 1)[:c]
-                    else:
-                        near = np.arange(len(x))
                     near = near[ids[near] != qids[i]]
                     gap = x[near] - q[i]
-                    d = np.sqrt((gap * gap).sum(1))
-                    best = np.lexsort((ids[near], d))[:k]
-                    out.append((np.full(len(best), qids[i]), ids[near[best]], d[best]))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in zip(*out)], names=["query_id", "id", "score"])
+                    d = np.r_[known[2][i], np.sqrt((gap * gap).sum(1))]
+                    to = np.r_[known[1][i], ids[near]]
+                    if len(near) > k:  # only those up to the k-th distance can be among the first
+                        at = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
+                        d, to = d[at], to[at]
+                    first = np.lexsort((to, d))[:k]
+                    known[1][i], known[2][i] = to[first], d[first]
+        for qids, to, d in best.values():
+            some = to != np.iinfo(np.int64).max
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, some.sum(1))), pa.array(to[some]), pa.array(d[some])], names=["query_id", "id", "score"])
 
     return run
 
 
-def _packed(rows: DataFrame, size: int, tag: str) -> DataFrame:
-    """Blocks (dim, block, ids, data) of at most ``size`` rows that follow each other by id."""
+PACKED = pa.schema([("dim", pa.int32()), ("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("data", pa.binary()), ("files", pa.binary())])
+
+
+def _packed(rows: DataFrame, most: int, size: int, tag: str, pivots: dict[int, np.ndarray] | None = None) -> DataFrame:
+    """Blocks (dim, block, ids, data, files) of at most ``most`` rows and about ``size`` bytes, dealt by a hash of the id.
+
+    So each block is like the whole. With ``pivots`` it carries the inverted files of its vectors, made here once.
+    """
 
     def run(batches):
         number = _numbers()
         for _, dim, table in _by_label(batches):
-            for at in range(0, table.num_rows, size):
-                part = table.slice(at, size)
-                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([next(number)], pa.int64()), pa.array([part.column("rep").to_pylist()], pa.list_(pa.int64())), pa.array([_matrix(part.column("vector").combine_chunks(), dim).tobytes()], pa.binary())], names=["dim", "block", "ids", "data"])
+            step = max(1, min(most, size // (8 * dim + (len(pivots[dim]) if pivots and dim in pivots else 0))))
+            for at in range(0, table.num_rows, step):
+                part = table.slice(at, step)
+                part = part.take(pa.array(np.argsort(part.column("rep").to_numpy(), kind="stable")))
+                x = _matrix(part.column("vector").combine_chunks(), dim)
+                files = places_of(x, pivots[dim]).tobytes() if pivots and dim in pivots else None
+                yield pa.RecordBatch.from_pydict({"dim": [dim], "block": [next(number)], "ids": [part.column("rep").to_pylist()], "data": [x.tobytes()], "files": [files]}, schema=PACKED)
 
-    keyed = rows.select(F.lit(0).cast("long").alias("label"), F.size("vector").alias("dim"), F.col("id").alias("rep"), "vector")
-    return materialize(arrow_map(keyed.repartitionByRange("dim", "rep").sortWithinPartitions("dim", "rep"), run, "dim int, block long, ids array<long>, data binary"), tag)
+    keyed = rows.select(F.lit(0).cast("long").alias("label"), F.size("vector").alias("dim"), F.col("id").alias("rep"), "vector", F.xxhash64("id").alias("h"))
+    return materialize(arrow_map(keyed.repartitionByRange("dim", "h").sortWithinPartitions("dim", "h").drop("h"), run, "dim int, block long, ids array<long>, data binary, files binary"), tag)
 
 
-def nearest_neighbours(rows: DataFrame, queries: Column, id: str = "vec_id", vector: str = "embedding", k: int = 10, share: float = SHARE) -> DataFrame:
+def nearest_neighbours(rows: DataFrame, queries: Column, id: str = "vec_id", vector: str = "embedding", k: int = 10, share: float | None = None, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, id, score): the ``k`` nearest found by Euclidean distance for each row that ``queries`` selects.
 
-    Pivots are at most ``PIVOTS`` vectors of a bounded sample. Every vector is represented by its nearest pivots in order
-    and posted in their inverted files, block by block of the id order; a query adds up the footrule distance over the
-    files of its own pivots, and the share of each block that ranks first (ties to the smaller id, 50 k at least) is
-    reranked by exact distance. The query set meets the index in blocks, each pair of blocks in a row of its own.
+    Pivots are at most ``PIVOTS`` vectors of a bounded sample. Every vector is represented by its order of them and posted
+    in the inverted file of each, with the pivot's place; the files are written once, block by block. A query reads those
+    of the pivots that stand at the two ends of its own order, adds up the footrule distance over them, and the share of
+    each block that ranks first is reranked by exact distance. Blocks are dealt by a hash of the id, so that each is like
+    the whole. The share is measured on the sample: as much as holds ``recall`` of the true neighbours there, per length of
+    vector. The denser whole is easier than the sample, so the recall is that or better; where footrules tell little, as
+    among random vectors of many dimensions, the share rises up to all. ``share`` = 1 is exact search.
+
+    The index stays where it is: queries come to it in blocks, at most ``SENT_BYTES`` of them broadcast at a time, and each
+    task keeps the nearest found for each query and gives only those.
 
-    Vectors null, empty or with null or non-finite components, and rows with a null id, take no part; vectors of another
-    length are no candidates, and those of a length without pivots are all reranked. Rows with the query's own id are no
-    candidates. Ties go to the smaller id. With fewer than ``k`` candidates all are returned.
+    Vectors null, empty, zero or with null or non-finite components, and rows with a null id, take no part; vectors of
+    another length are no candidates. Rows with the query's own id are no candidates. Ties go to the smaller id. With fewer
+    than ``k`` candidates all are returned.
     """
-    base = rows.select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), queries.alias("asked")).where(usable("vector", False) & F.col("id").isNotNull())
+    base = rows.select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), queries.alias("asked")).where(usable("vector", True) & F.col("id").isNotNull())
     sample = _sample(base, "id", "vector")
-    pivots = {dim: np.stack([x for x in sample if len(x) == dim][:PIVOTS]) for dim in {len(x) for x in sample}}
-    index = _packed(base.select("id", "vector"), INDEX_ROWS, "index")
-    asked = _packed(base.where("asked").select("id", "vector"), QUERY_ROWS, "index-queries")
-    meets = index.select("dim", F.col("block").alias("x")).join(asked.select("dim", F.col("block").alias("q")), "dim")
-    side = lambda t, s: t.select(F.col("block").alias(s), F.col("ids").alias(f"{s}_ids"), F.col("data").alias(f"{s}_data"))
-    found = arrow_map(meets.repartition("x", "q").join(side(index, "x"), "x").join(side(asked, "q"), "q"), _search(pivots, k, share), "query_id long, id long, score double")
+    kinds = {dim: np.stack([x for x in sample if len(x) == dim]) for dim in {len(x) for x in sample}} if share is None or share < 1 else {}
+    pivots = {dim: x[:PIVOTS] for dim, x in kinds.items()}
+    shares = {dim: share_for(x, pivots[dim], k, recall) if share is None else share for dim, x in kinds.items()}
+    index = _packed(base.select("id", "vector"), INDEX_ROWS, INDEX_BYTES, "index", pivots)
+    asked = _packed(base.where("asked").select("id", "vector"), QUERY_ROWS, QUERY_BYTES, "index-queries")
+    parts, sent, total = [], [], 0
+    for block, size in [*asked.select("block", F.octet_length("data")).orderBy("block").collect(), (None, SENT_BYTES)]:
+        if sent and total + size > SENT_BYTES:
+            some = asked.where(F.col("block").isin(sent)).select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+            met = index.select("dim", "ids", F.col("data").alias("x_data"), "files").join(F.broadcast(some), "dim")  # SENT_BYTES at most
+            parts.append(arrow_map(met, _search(pivots, shares, k), "query_id long, id long, score double"))
+            sent, total = [], 0
+        sent, total = [*sent, block], total + size
+    found = parts[0] if parts else rows.sparkSession.createDataFrame([], "query_id long, id long, score double")
+    for part in parts[1:]:
+        found = found.union(part)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id), "score")
