@@ -22,6 +22,7 @@ def make(n, dim, seed, copies=0, labels=3):
 def test_links_match_all_pairs(spark, monkeypatch, dim):
     monkeypatch.setattr(vectors, "BLOCK", 32)
     monkeypatch.setattr(vectors, "LEAF", 8)
+    monkeypatch.setattr(vectors, "FAN", 2)  # several levels of intervals
     rows = make(300, dim, dim, copies=40)
     x = np.array([r[1] for r in rows])
     norm = np.sqrt((x * x).sum(1))

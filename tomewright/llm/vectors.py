@@ -20,6 +20,8 @@ SAMPLE = 4096
 BLOCK, LEAF = 2048, 128
 #: Leading principal dimensions that order the grid.
 AXES = 8
+#: Blocks, or intervals, that make up the next larger interval.
+FAN = 32
 
 
 def usable(embedding: str, norm: bool) -> Column:
@@ -94,10 +96,11 @@ def _runs(table: pa.Table, last: bool):
 
 
 def project(x: np.ndarray, axes: np.ndarray | None) -> np.ndarray:
-    """Unit vectors on the leading axes, and the length of what is left: no distance between them grows."""
+    """Unit vectors on the leading axes, zero beyond their length, and the length of what is left: no distance grows."""
     unit = x / np.sqrt((x * x).sum(1))[:, None]
     led = unit[:, :AXES] if axes is None else unit @ axes
-    return np.c_[led, np.sqrt(np.maximum(0, 1 - (led * led).sum(1)))]
+    rest = np.sqrt(np.maximum(0, 1 - (led * led).sum(1)))
+    return np.c_[led, np.zeros((len(led), AXES - led.shape[1])), rest]
 
 
 def interval_join(lo: np.ndarray, hi: np.ndarray, lo2: np.ndarray, hi2: np.ndarray, eps: float, same: bool) -> list[tuple[int, int]]:
@@ -145,9 +148,8 @@ def _pair_links(axes: dict[int, np.ndarray], cosine: float, eps: float):
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                dim, same = row["dim"], row["a"] == row["b"]
-                sides = [("a",), ("b",)] if not same else [("a",), ("a",)]
-                x, y = (np.frombuffer(row[f"{s}_data"], np.float64).reshape(-1, dim) for (s,) in sides)
+                dim, same = row["dim"], row["b_data"] is None
+                x, y = (np.frombuffer(row[c], np.float64).reshape(-1, dim) for c in ("a_data", "a_data" if same else "b_data"))
                 nx, ny = (np.sqrt((v * v).sum(1)) for v in (x, y))
                 reps = np.array(row["a_reps"] + ([] if same else row["b_reps"]), np.int64)
                 sizes = np.array(row["a_sizes"] + ([] if same else row["b_sizes"]), np.int64)
@@ -172,27 +174,69 @@ def _pair_links(axes: dict[int, np.ndarray], cosine: float, eps: float):
     return run
 
 
-def _block_pairs(eps: float):
-    import pandas as pd
+def _apart(a: str, b: str) -> Column:
+    """Squared distance of two boxes, from the bounds ``<a>_lo``, ``<a>_hi`` and so on."""
+    over = lambda x, y: F.zip_with(f"{x}_lo", f"{y}_hi", lambda p, q: p - q)
+    gaps = F.zip_with(over(a, b), over(b, a), lambda p, q: F.greatest(p, q, F.lit(0.0)))
+    return F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("block")
-        lo, hi = np.stack(frame["lo"].to_list()), np.stack(frame["hi"].to_list())
-        blocks = frame["block"].to_numpy()
-        pairs = np.array(interval_join(lo, hi, lo, hi, eps, True), np.int64).reshape(-1, 2)
-        return pd.DataFrame({"label": frame["label"].iloc[0], "dim": frame["dim"].iloc[0], "a": blocks[pairs[:, 0]], "b": blocks[pairs[:, 1]]})
+
+def block_pairs(boxes: DataFrame, eps: float) -> DataFrame:
+    """(a, b) for the blocks a <= b of a label that may hold vectors within ``eps``, from boxes (label, dim, block, lo, hi).
+
+    The interval recursion as rows: every ``FAN`` blocks that follow each other are an interval with a box around them, and
+    so on until ``FAN`` squared intervals or fewer are left of each label. From there down, only intervals that may hold
+    such vectors give the pairs of their parts. Each level is a join on the intervals, spread over tasks.
+    """
+    levels = [boxes.withColumn("up", F.expr(f"block div {FAN}"))]
+    while (levels[-1].groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0) > FAN * FAN:
+        bound = lambda f, c: F.array(*[f(F.col(c)[k]) for k in range(AXES + 1)]).alias(c)
+        up = levels[-1].groupBy("label", "dim", F.col("up").alias("block")).agg(bound(F.min, "lo"), bound(F.max, "hi"))
+        levels.append(materialize(up.withColumn("up", F.expr(f"block div {FAN}")), "vector-intervals"))
+    side = lambda t, s, *more: t.select(F.col("block").alias(s), F.col("lo").alias(f"{s}_lo"), F.col("hi").alias(f"{s}_hi"), *more)
+    near = (F.col("a") <= F.col("b")) & (_apart("a", "b") <= eps * eps)
+    top = levels.pop()
+    pairs = side(top, "a", "label", "dim").join(side(top, "b", "label", "dim"), ["label", "dim"]).where(near).select("label", "dim", "a", "b", "a_lo", "a_hi")
+    while levels:
+        parts = levels.pop()
+        pairs = pairs.select("label", "dim", F.col("a").alias("ua"), F.col("b").alias("ub"))
+        pairs = pairs.join(side(parts, "a", "label", "dim", F.col("up").alias("ua")), ["label", "dim", "ua"]).join(side(parts, "b", "label", "dim", F.col("up").alias("ub")), ["label", "dim", "ub"])
+        pairs = pairs.where(near).select("label", "dim", "a", "b", "a_lo", "a_hi")
+    return pairs
+
+
+def _near_rows(axes: dict[int, np.ndarray], eps: float):
+    """Of the blocks b those vectors that may lie within ``eps`` of the box of block a: no others are sent to it."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                out = {"a": [row["a"]], "dim": [row["dim"]], "b_reps": [None], "b_sizes": [None], "b_data": [None]}
+                if row["a"] != row["b"]:
+                    y = np.frombuffer(row["data"], np.float64).reshape(-1, row["dim"])
+                    p = project(y, axes.get(row["dim"]))
+                    gap = np.maximum(0, np.maximum(p - np.array(row["a_hi"]), np.array(row["a_lo"]) - p))
+                    at = np.flatnonzero((gap * gap).sum(1) <= eps * eps)
+                    if not len(at):
+                        continue
+                    out |= {"b_reps": [np.array(row["reps"], np.int64)[at]], "b_sizes": [np.array(row["sizes"], np.int64)[at]], "b_data": [y[at].tobytes()]}
+                yield pa.RecordBatch.from_pydict(out, schema=SENT_ARROW)
 
     return run
 
 
+SENT_ARROW = pa.schema([("a", pa.int64()), ("dim", pa.int32()), ("b_reps", pa.list_(pa.int64())), ("b_sizes", pa.list_(pa.int64())), ("b_data", pa.binary())])
+SENT_DDL = "a long, dim int, b_reps array<long>, b_sizes array<long>, b_data binary"
+
+
 def near_vectors(rows: DataFrame, id: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = 0.93) -> DataFrame:
     """(id, n_links, component_id, kept) per vector: links join vectors of one label with at least that cosine.
 
     Equal vectors of a label are one node with a size. The nodes are sorted by the grid cells, as wide as the distance
     that the cosine allows, of their leading principal dimensions, and cut into blocks; sequences of blocks are joined by
-    halving them, and pairs of intervals that are provably too far apart are skipped. Each surviving pair of blocks is a
-    row of its own, so a label with very many vectors spreads over tasks. A pair yields sums and a spanning forest, not
-    its links.
+    splitting them again and again, and pairs of intervals that are provably too far apart are skipped. Each surviving pair
+    of blocks is a row of its own, so a label with very many vectors spreads over tasks; of one block only the vectors near
+    the other's box are sent to it. A pair yields sums and a spanning forest, not its links.
 
     Vectors that are null, empty, zero or hold null or non-finite components, rows with a null label or id link with
     nothing: no links, the own id as component (null for a null id). Vectors of different lengths do not link. Rows that
@@ -224,9 +268,10 @@ def near_vectors(rows: DataFrame, id: str = "vec_id", vector: str = "embedding",
     order = ["label", "dim", *grid, "rep"]
     blocks = arrow_map(celled.repartitionByRange(*order).sortWithinPartitions(*order).select("label", "dim", "rep", "n", "vector"), _sequences(axes, eps), BLOCK_DDL)
     blocks = materialize(blocks, "vector-blocks")
-    pairs = blocks.select("label", "dim", "block", "lo", "hi").groupBy("label", "dim").applyInPandas(_block_pairs(eps), "label long, dim int, a long, b long")
-    side = lambda s: blocks.select(F.col("block").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("reps", "sizes", "data")])
-    met = pairs.repartition("a", "b").join(side("a"), "a").join(side("b"), "b")
+    pairs = block_pairs(blocks.select("label", "dim", "block", "lo", "hi"), eps)
+    sent = pairs.join(blocks.select(F.col("block").alias("b"), "reps", "sizes", "data"), "b").select("dim", "a", "b", "a_lo", "a_hi", "reps", "sizes", "data")
+    own = blocks.select(F.col("block").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("reps", "sizes", "data")])
+    met = arrow_map(sent, _near_rows(axes, eps), SENT_DDL).join(own, "a")
     found = materialize(arrow_map(met, _pair_links(axes, cosine, eps), "rep long, links long, parent long"), "vector-links")
     parts = connected_components(found.select(F.col("rep").alias("a"), F.col("parent").alias("b")))
     sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
