@@ -63,8 +63,9 @@ def urls_sql(rules) -> str:
         "edge as (select src, dst, count(*) n from link where src <> dst and src <> '' and dst <> '' group by 1, 2)",
         "b as (select true good, src a, dst b, n from edge union all select false, dst, src, n from edge)",
         f"m as (select good, a, b, {urls.DAMPING} * n / sum(n) over (partition by good, a) p from b)",
-        "r0 as (select true good, host a, trust r from seed where trust > 0 union all select false, host, distrust from seed where distrust > 0)",
-        *[f"r{k} as (select good, m.b a, sum(r * p) r from r{k - 1} join m using (good, a) group by 1, 2)" for k in range(1, urls.ROUNDS + 1)],
-        "t as (select a host, coalesce(sum(r) filter (where good), 0) trust, coalesce(sum(r) filter (where not good), 0) distrust from (" + " union all ".join(f"select * from r{k}" for k in range(urls.ROUNDS + 1)) + ") group by 1)",
+        f"""r as (select 0 k, * from (select true good, host a, trust r from seed where trust > 0 union all select false, host, distrust from seed where distrust > 0)
+union all select k, good, a, sum(x) r from (select r.k + 1 k, good, m.b a, r.r * m.p x from r join m using (good, a) where r.k < {urls.ROUNDS}) group by 1, 2, 3)""",
+        "t as (select a host, coalesce(sum(r) filter (where good), 0) trust, coalesce(sum(r) filter (where not good), 0) distrust from r group by 1)",
+        "f as (select page_id, host, path, rule, told, round(coalesce(trust, 0), 6)::double trust, round(coalesce(distrust, 0), 6)::double distrust from j left join t using (host))",
     ]
-    return f"""with {', '.join(ctes)} select page_id, host, path, rule, coalesce(told, case when coalesce(distrust, 0) >= {urls.LEAST_DISTRUST} and coalesce(distrust, 0) > {urls.RATIO} * coalesce(trust, 0) then 'block' else 'allow' end) verdict from j left join t using (host)"""
+    return f"""with recursive {', '.join(ctes)} select page_id, host, path, rule, coalesce(told, case when distrust >= {urls.LEAST_DISTRUST} and distrust > {urls.RATIO} * trust then 'block' else 'allow' end) verdict, trust, distrust from f"""

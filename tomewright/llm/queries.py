@@ -61,7 +61,7 @@ def op7_line_dedup(spark, sf_dir):
 
 
 def op10_url_filters(spark, sf_dir):
-    return urls.judge_urls(table(spark, sf_dir, "pages")).drop("trust", "distrust")
+    return urls.judge_urls(table(spark, sf_dir, "pages"))
 
 
 QUERIES = {

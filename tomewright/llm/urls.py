@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,9 +12,12 @@ from .common import materialize
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The rules of the registered query: verdict, host, path.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Share of a host's rank that its links pass on, and how often it is passed on.
-DAMPING, ROUNDS = 0.85, 10
-#: A host is blocked if its distrust is at least the first and more than the second times its trust.
+#: Share of a host's rank that its links pass on, and the most that later rounds may still add for each unit of seed.
+DAMPING, TOLERANCE = 0.85, 0.001
+#: Rounds after which no more than that is left: what they would add is below DAMPING ** (ROUNDS + 1) / (1 - DAMPING).
+ROUNDS = math.ceil(math.log(TOLERANCE * (1 - DAMPING)) / math.log(DAMPING))
+#: A host is blocked if its distrust is at least the first and more than the second times its trust. The unit is the
+#: restart of a host whose pages are all blocked, or all allowed: what such a host has if nothing else reaches it.
 LEAST_DISTRUST, RATIO = 0.5, 2.0
 #: A link to another host: an href with a scheme or a double slash; its host is the group.
 HREF = r"""(?i)\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"'\s>]+)"""
@@ -42,8 +47,9 @@ def ranks(seeds: DataFrame, edges: DataFrame) -> DataFrame:
 
     ``seeds`` (host, trust, distrust) hold what each host starts with, ``edges`` (src, dst, n) how often hosts link. Each
     round a host passes ``DAMPING`` of what it got last to the hosts it links to, in proportion to the links; distrust goes
-    to the hosts that link to it. The rank is the sum of all rounds. Links are summed per pair of hosts before they are
-    joined, and what arrives at a host is combined before the shuffle, so hubs stay small.
+    to the hosts that link to it. The rank is the sum of all rounds, up to ``TOLERANCE``; it ends as soon as nothing moves.
+    Links are summed per pair of hosts before they are joined, and what arrives at a host is combined before the shuffle,
+    so hubs stay small.
     """
     both = edges.select(F.lit(True).alias("good"), F.col("src").alias("a"), F.col("dst").alias("b"), "n").union(edges.select(F.lit(False), "dst", "src", "n"))
     out = both.groupBy("good", "a").agg(F.sum("n").alias("all"))
@@ -55,6 +61,8 @@ def ranks(seeds: DataFrame, edges: DataFrame) -> DataFrame:
         now = now.join(moves, ["good", "a"]).groupBy("good", F.col("b").alias("a")).agg(F.sum(F.col("r") * F.col("p")).alias("r"))
         if k % CUT == CUT - 1:
             now = materialize(now, "host-ranks")
+            if now.isEmpty():
+                break
         parts.append(now)
     total = parts[0]
     for p in parts[1:]:
@@ -69,7 +77,7 @@ def judge_urls(pages: DataFrame, id: str = "page_id", url: str = "url", html: st
     backwards; a host without a fitting rule is blocked if its distrust is at least ``LEAST_DISTRUST`` and more than
     ``RATIO`` times its trust, and allowed otherwise, also if nothing reaches it. The empty host is judged like a host.
 
-    Null urls, and urls without "://", have an empty host and path, no rule and verdict allow (unless seeds say
+    Trust and distrust are rounded to six places. Null urls, and urls without "://", have an empty host and path, no rule and verdict allow (unless seeds say
     otherwise); null pages have no links. Repeated rows come each. Hosts are compared after lower-casing A-Z. The html is
     read once, for links to other hosts. ``rules`` is a short list (it becomes part of the plan).
     """
@@ -81,6 +89,6 @@ def judge_urls(pages: DataFrame, id: str = "page_id", url: str = "url", html: st
     links = links.select("src", F.translate("dst", UPPER, LOWER).alias("dst")).where("src <> dst and src <> '' and dst <> ''")
     edges = links.groupBy("src", "dst").agg(F.count("*").alias("n"))
     rank = ranks(seeds, edges)
-    found = judged.join(rank, "host", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust")})
+    found = judged.join(rank, "host", "left").withColumns({c: F.round(F.coalesce(c, F.lit(0.0)), 6) for c in ("trust", "distrust")})
     method = F.when((F.col("distrust") >= LEAST_DISTRUST) & (F.col("distrust") > RATIO * F.col("trust")), "block").otherwise("allow")
     return found.select(id, "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", method).alias("verdict"), "trust", "distrust")
