@@ -50,10 +50,11 @@ def test_very_long_stretches():
 
 
 def test_memo_forgets(monkeypatch):
-    memo = pieces._Memo(str, 4)
-    for k in range(20):
-        assert memo[k] == str(k)
-    assert len(memo) <= 4
+    memo = pieces._Memo(str.upper, 4 * (pieces.ENTRY + 2))
+    for k in range(10, 30):
+        assert memo[f"a{k}"[1:]] == str(k)
+    assert len(memo) <= 4 and memo.held == len(memo) * (pieces.ENTRY + 2)
+    assert memo["x" * 500] == "X" * 500 and len(memo) <= 4
 
 
 def test_odd_rows(spark, odd, none):

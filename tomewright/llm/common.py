@@ -19,16 +19,18 @@ ARROW_ROWS, ARROW_BYTES = 2000, 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it."""
+    """The folder that driver and executors share, as the session names it; on one machine a local one will do."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (named or LOCAL_CHECKPOINTS).rstrip("/")
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(named or LOCAL_CHECKPOINTS).rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once as Parquet into the shared folder and read it back.
 
     The lineage ends there: a lost executor costs a re-read, not a recomputation, and a table used twice is
-    computed once.
+    computed once. ``clear_intermediates`` removes these tables.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
@@ -36,6 +38,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_intermediates(spark: SparkSession) -> None:
+    """Remove what ``materialize`` has written in this application; results that were not stored yet need it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that ``df`` does not have yet."""
     taken = {c.lower() for c in df.columns}

@@ -16,8 +16,9 @@ from .common import arrow_map, slices, text_lengths, texts_of
 SPACE = "▁"
 #: Letters and digits that marks are told from, as a class of a pattern.
 LETTERS = r"a-zA-Z0-9\u00c0-\u024f"
-#: Encoded stretches, and token pairs, that each worker remembers; beyond it the older half is forgotten.
-STRETCHES, PAIRS = 400_000, 250_000
+#: Characters of encoded stretches, and of token pairs, that each worker remembers, each entry counted as so many more;
+#: beyond it the older half is forgotten. A stretch of over ``KEPT`` characters is not remembered.
+STRETCHES, PAIRS, ENTRY, KEPT = 12_000_000, 5_000_000, 24, 200
 
 
 def default_model() -> str:
@@ -27,17 +28,22 @@ def default_model() -> str:
 
 
 class _Memo(dict):
-    """A bounded cache: what is missing is computed, and past ``most`` entries the older half goes."""
+    """A bounded cache: what is missing is computed, and past ``most`` characters of keys the older half goes."""
 
     def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.held = make, most, 0
 
     def __missing__(self, key):
-        if len(self) >= self.most:
-            for old in list(self)[: self.most // 2]:
+        value, size = self.make(key), ENTRY + (len(key) if isinstance(key, str) else sum(map(len, key)))
+        if size > ENTRY + KEPT:
+            return value
+        if self.held + size > self.most:
+            for old in list(self)[: len(self) // 2 + 1]:
                 del self[old]
-        self[key] = value = self.make(key)
+            self.held = sum(ENTRY + (len(k) if isinstance(k, str) else sum(map(len, k))) for k in self)
+        self.held += size
+        self[key] = value
         return value
 
 

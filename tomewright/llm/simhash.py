@@ -45,12 +45,15 @@ def fingerprint(hashes: np.ndarray, words: int = 1) -> np.ndarray:
     n = len(hashes)
     if not n:
         return np.zeros(words, np.uint64)
-    wide = hashes[:, None] if words == 1 else np.concatenate([hashes[:, None], _mixed(hashes, words - 1)], axis=1)
-    bits = np.unpackbits(np.ascontiguousarray(wide).view(np.uint8).reshape(n, 8 * words), axis=1, bitorder="little")
-    whole = n // 255 * 255  # sums of 255 bits fit a byte
-    counts = np.add.reduce(bits[whole:], axis=0, dtype=np.uint8).astype(np.int64)
-    if whole:
-        counts += np.add.reduce(bits[:whole].reshape(-1, 255, 64 * words), axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+    counts = np.zeros(64 * words, np.int64)
+    for i in range(0, n, 4080):  # so many at a time that their bits stay small, whole groups of 255 of which the sums fit a byte
+        part = hashes[i : i + 4080]
+        wide = part[:, None] if words == 1 else np.concatenate([part[:, None], _mixed(part, words - 1)], axis=1)
+        bits = np.unpackbits(np.ascontiguousarray(wide).view(np.uint8).reshape(len(part), 8 * words), axis=1, bitorder="little")
+        whole = len(part) // 255 * 255
+        counts += np.add.reduce(bits[whole:], axis=0, dtype=np.uint8)
+        if whole:
+            counts += np.add.reduce(bits[:whole].reshape(-1, 255, 64 * words), axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
     return np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)
 
 
