@@ -70,4 +70,32 @@ def test_windows_and_upserts(spark, tmp_path):
     out = str(tmp_path / "out")
     q = spark.readStream.schema(schema).parquet(path).writeStream.foreachBatch(states.upsert_sink(out, ["k"], ["ts", "id"], [])).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert rows(spark.read.parquet(f"{out}/v=0"), "k", "id") == [("a", 2), ("b", 3)]
+    assert rows(spark.read.parquet(out), "k", "id") == [("a", 2), ("b", 3)]
+
+
+def test_upserts_touch_their_buckets_only(spark, tmp_path):
+    import glob
+
+    out, sink = str(tmp_path / "t"), states.upsert_sink(str(tmp_path / "t"), ["k"], ["n"], ["v"], 8)
+    batch = lambda *r: spark.createDataFrame(list(r), "k string, n int, v string")
+    sink(batch(*[(f"k{i}", 1, "old") for i in range(40)]), 0)
+    before = set(glob.glob(f"{out}/bucket=*/*.parquet"))
+    for number in (1, 1):  # a batch may come again
+        sink(batch(("k3", 2, "new"), ("k3", 1, "late"), ("k99", 1, "more")), number)
+        got = {r["k"]: (r["n"], r["v"]) for r in spark.read.parquet(out).collect()}
+        assert got == {**{f"k{i}": (1, "old") for i in range(40)}, "k3": (2, "new"), "k99": (1, "more")}
+    kept = before & set(glob.glob(f"{out}/bucket=*/*.parquet"))
+    assert len({p.split("/")[-2] for p in before} - {p.split("/")[-2] for p in kept}) <= 2 and kept
+    sink(batch(), 2)
+    assert spark.read.parquet(out).count() == 41
+
+
+def test_every_runs_batches(spark, tmp_path):
+    path, schema, seen = str(tmp_path / "in"), "id long", []
+    spark.range(3).write.parquet(path)
+    q = states.every(spark.readStream.schema(schema).parquet(path), lambda batch, n: seen.append(batch.count()), states.SETTLE, str(tmp_path / "cp"))
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert sum(seen) == 3

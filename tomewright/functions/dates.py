@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import ADULT_AGE, FIRST_YEAR, OLDEST_AGE, YEARS_AHEAD
 
+# The forms of a day and of an instant.
 DAY = r"^\d{4}-\d{2}-\d{2}\z"
 INSTANT = r"^\d{4}-\d{2}-\d{2}T(?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d(?:\.\d{1,3})?Z\z"
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,39 @@ def upsert(table: DataFrame, rows: DataFrame, key: list[str], update: list[str])
     return met.select(*[F.col(c) if c in key else value(c).alias(c) for c in table.columns])
 
 
+def update_columns(table: DataFrame, changes: DataFrame, key: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """``table`` with the ``columns`` of each known key's last change in ``order``; unknown keys add no row."""
+    last = changes.groupBy(*key).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("__n"))
+    met = table.join(last, key, "left")
+    return met.select(*[F.when(F.col("__n").isNotNull(), F.col(f"__n.{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in table.columns])
+
+
+def update_consent(users: DataFrame, changes: DataFrame) -> DataFrame:
+    """Users (id, .., birth_date, birth_attested_at, allow_adult) after consent changes of the same columns and ``seq``."""
+    return update_columns(users, changes, ["id"], ["seq"], ["birth_date", "birth_attested_at", "allow_adult"])
+
+
+def account_violations(users: DataFrame, sessions: DataFrame, states: DataFrame, libraries: DataFrame) -> DataFrame:
+    """(subject, id, reason) for each row that the account tables must not hold: keys that repeat or are null, columns
+    without a value, rows of unknown users, and libraries that are no JSON."""
+    rules = [
+        ("users", users, "id", None, ("username", "display_name", "avatar_url", "created_at", "updated_at")), ("sessions", sessions, "token_hash", "user_id", ("user_id", "expires_at")),
+        ("states", states, "state_hash", None, ("verifier", "return_to", "expires_at")), ("libraries", libraries, "user_id", "user_id", ("library_json", "revision", "updated_at")),
+    ]
+    parts, known = [], users.select(F.col("id").alias("__u")).distinct()
+    for subject, table, key, owner, filled in rules:
+        told = lambda df, reason, key=key, subject=subject: df.select(F.lit(subject).alias("subject"), F.col(key).alias("id"), F.lit(reason).alias("reason"))
+        parts.append(told(table.groupBy(key).agg(F.count("*").alias("n")).where("n > 1"), "key"))
+        missing = F.col(key).isNull()
+        for c in filled:
+            missing = missing | F.col(c).isNull()
+        parts.append(told(table.where(missing), "null"))
+        if owner is not None:
+            parts.append(told(table.where(F.col(owner).isNotNull()).join(known, F.col(owner) == F.col("__u"), "left_anti"), "user"))
+    parts.append(libraries.where(F.col("library_json").isNotNull() & F.try_parse_json("library_json").isNull()).select(F.lit("libraries").alias("subject"), F.col("user_id").alias("id"), F.lit("json").alias("reason")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def insert_or_ignore(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
     return table.unionByName(rows.dropDuplicates(key).join(table, key, "left_anti").select(*table.columns))
 

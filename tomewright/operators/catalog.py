@@ -105,9 +105,14 @@ def filter_books(books: DataFrame, filters: dict, include_unclassified: bool = F
     return books.where(scope & passes_filters(book_signals(), filters))
 
 
-def release_calendar(rows: DataFrame, date: str, mode: str, as_of: str, year: str | None = None, month: str = "all", tie: list[Column] | None = None) -> DataFrame:
-    """Releases without a date, from today on, or of a year and perhaps a month, by date."""
+def release_calendar(rows: DataFrame, date: str, mode: str, as_of: str, year: str | None = None, month: str = "all", tie: list[Column] | None = None, followed: DataFrame | None = None, series: str = "seriesKey") -> DataFrame:
+    """Releases without a date, from today on, or of a year and perhaps a month, by date.
+
+    With ``followed`` (series_id) only those of series that a reader follows.
+    """
     d = F.col(date)
+    if followed is not None:
+        rows = rows.join(followed.select(F.col("series_id").alias(series)).distinct(), series, "left_semi")
     if mode == "unknown":
         kept = rows.where(d.isNull())
     elif mode == "upcoming":
@@ -117,6 +122,12 @@ def release_calendar(rows: DataFrame, date: str, mode: str, as_of: str, year: st
     return kept.orderBy(F.coalesce(d, F.lit("")), *(tie or []))
 
 
+def preference_count(filters: dict[str, Column | bool]) -> Column:
+    """How many of the filters are on."""
+    on = [F.coalesce(f if isinstance(f, Column) else F.lit(f), F.lit(False)).cast("int") for f in filters.values()]
+    return sum(on[1:], on[0]) if on else F.lit(0)
+
+
 def distinct_years(rows: DataFrame, date: str) -> DataFrame:
     return rows.where(F.col(date).isNotNull()).select(F.substring(date, 1, 4).alias("year")).distinct().orderBy(F.desc("year"))
 

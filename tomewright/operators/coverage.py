@@ -39,18 +39,28 @@ def valid_evidence(e: Column, at: Column, primary: bool = False) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-def coverage_current(coverage: Column, now: str) -> Column:
-    """Verified, assessed before and not yet expired at ``now``; a date alone can't tell."""
-    at = instant(F.lit(now))
+def coverage_current(coverage: Column, now: str | Column) -> Column:
+    """Verified, assessed before and not yet expired at ``now``, an instant or a column of them; a date alone can't tell."""
+    at = instant(F.lit(now) if isinstance(now, str) else now)
     ok = (coverage["status"] == "verified") & coverage["current"] & (instant(coverage["assessedAt"]) <= at) & (at < instant(coverage["validUntil"]))
     return F.coalesce(ok, F.lit(False))
 
 
+def currency_at(coverage: DataFrame, ticks: DataFrame) -> DataFrame:
+    """(series_id, tick, current) of coverage rows (series_id, coverage) at each of a few instants (tick), as a clock asks."""
+    return coverage.join(F.broadcast(ticks.select("tick"))).select("series_id", "tick", coverage_current(F.col("coverage"), F.col("tick")).alias("current"))
+
+
 def _issue(code: str, number: Column | None = None, work: Column | None = None) -> Column:
     none = lambda t: F.lit(None).cast(t)
     return F.struct(F.lit(code).alias("code"), F.lit(MESSAGES[code]).alias("message"), (number if number is not None else none("double")).alias("number"), (work if work is not None else none("string")).alias("workId"))
 
 
+def singles(rows: DataFrame, key: list[str], values: list[str]) -> DataFrame:
+    """The rows whose key no other row has."""
+    return rows.groupBy(*key).agg(F.count("*").alias("__n"), F.first(F.struct(*values)).alias("__v")).where("__n = 1").select(*key, *[F.col(f"__v.{v}").alias(v) for v in values if v not in key])
+
+
 def assess_coverage(series: DataFrame, manifests: DataFrame, works: DataFrame, editions: DataFrame, now: str) -> DataFrame:
     """(series_id, coverage) for each row of ``series`` (series_id): its reviewed list held against works and editions.
 
@@ -90,7 +100,7 @@ def assess_coverage(series: DataFrame, manifests: DataFrame, works: DataFrame, e
     rows = open_.select("series_id", "language", "places", F.explode("expected").alias("number")).join(per, ["series_id", "number"], "left")
     rows = rows.withColumn("work_id", F.col("w.work_id")).withColumn("single", (F.col("matches") == 1) & (trim(F.col("work_id")) != "") & (F.col("w.same_id") == 1))
 
-    once = editions.groupBy("id").agg(F.count("*").alias("n"), F.first(F.struct("workId", "format", "verification")).alias("e")).where("n = 1").select(F.col("id").alias("edition_id"), F.col("e.workId").alias("work_id"), F.col("e.format").alias("format"), F.col("e.verification").alias("proof"))
+    once = singles(editions, ["id"], ["workId", "format", "verification"]).select(F.col("id").alias("edition_id"), F.col("workId").alias("work_id"), "format", F.col("verification").alias("proof"))
     p = F.col("proof")
     method = ((p["method"] == "exact-retailer-product") & (p["evidence"]["sourceType"] == "retailer")) | ((p["method"] == "primary-audio-product") & (p["evidence"]["sourceType"] != "retailer"))
     proven = rows.where("single").join(once, "work_id").where(

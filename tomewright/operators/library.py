@@ -55,6 +55,23 @@ def rebase(base: DataFrame, local: DataFrame, remote: DataFrame, key: list[str],
     return met.select(*key, kept.alias("__k")).where("__k is not null").select(*key, "__k.*")
 
 
+def sync(base: DataFrame, local: DataFrame, remotes: DataFrame, met: DataFrame, key: list[str], values: list[str], attempts: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(library, outcome): each user's ``local`` library rebased on the remote versions that it met in turn.
+
+    ``key`` begins with the user. ``remotes`` holds the rows of each version with its ``attempt`` from 0, ``met`` (user,
+    versions) how many a user met: the last one takes the edits, each before it was a conflict. After each attempt the
+    remote version is the new base. A user who met more than ``attempts`` is busy, and keeps the edits for the next time.
+    """
+    user = key[0]
+    for k in range(attempts):
+        now = met.where(F.col("versions") > k).select(user)
+        of = lambda df, how, now=now: df.select(*key, *values).join(now, user, how).select(*key, *values)
+        remote = of(remotes.where(F.col("attempt") == k), "left_semi")
+        merged = rebase(of(base, "left_semi"), of(local, "left_semi"), remote, key, values)
+        base, local = of(base, "left_anti").unionByName(remote), of(local, "left_anti").unionByName(merged)
+    return local, met.select(user, F.when(F.col("versions") > attempts, "busy").otherwise("synced").alias("outcome"))
+
+
 def parse_entries(raw: DataFrame, books: str = "books", as_of: str = "") -> DataFrame:
     """Valid entries of libraries with a ``books`` map: a known status, a safe id, whole ratings from 1 to 5."""
     one = raw.select(*[c for c in raw.columns if c != books], F.explode(books).alias("id", "e"))

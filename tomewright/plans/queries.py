@@ -7,35 +7,18 @@ addresses, conversations ~ ordered actions.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import PER_AUTHOR, RECOMMEND_LIMIT
 from ..functions import dates, signals, text, urls
 from ..operators import accounts, catalog, coverage, health, library, reader, recommend, series
 from ..streaming import states
+from .registry import ORACLES, QUERIES, query
+from .registry import read as _read
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 AS_OF = "1998-07-01"
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # --- popularity, ranking, starters ------------------------------------------------------------------------------------
 POPULARITY = "round(((p_retailprice/500.0)*p_size + 4.2*50)/(p_size+50) * log2(2.0+p_size), 6)"
 
@@ -246,65 +229,7 @@ def q24_membership_conflict(spark, d):
     return series.membership(rows, "k", "l_suppkey", "w").select("k.*", "l_suppkey", "w")
 
 
-@query("""with m as (select l_orderkey, l_linenumber from lineitem group by 1, 2 having count(distinct l_suppkey) = 1), f as (select distinct l.l_orderkey from lineitem l join m using (l_orderkey, l_linenumber) where l_returnflag = 'R')
-select l_orderkey, count(*) n from lineitem where l_orderkey in (select l_orderkey from f) group by 1""")
-def q25_series_disclosure(spark, d):
-    rows = _lines(spark, d).select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag")
-    sure = series.membership(rows.withColumn("k", F.struct("l_orderkey", "l_linenumber")), "k", "l_orderkey", "l_suppkey").select("k.*")
-    facts = rows.where("l_returnflag = 'R'").join(sure, ["l_orderkey", "l_linenumber"], "left_semi").select("l_orderkey").distinct()
-    return rows.join(facts, "l_orderkey", "left_semi").groupBy("l_orderkey").agg(F.count("*").alias("n"))
-
-
-@query("""with w as (select l_orderkey, l_linenumber, min(l_partkey) work from lineitem where l_returnflag <> 'N' group by 1, 2), known as (select distinct l_orderkey, l_linenumber, l_partkey from lineitem where l_returnflag <> 'N')
-select distinct l.l_orderkey, l.l_linenumber, l.l_partkey, w.work from lineitem l join w using (l_orderkey, l_linenumber) where l.l_returnflag = 'N' and not exists (select 1 from known k where k.l_orderkey = l.l_orderkey and k.l_linenumber = l.l_linenumber and k.l_partkey = l.l_partkey)""")
-def q26_reconcile_orphans(spark, d):
-    rows = _lines(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
-    known = rows.where("l_returnflag <> 'N'")
-    works = known.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("work"))
-    return rows.where("l_returnflag = 'N'").drop("l_returnflag").distinct().join(known, ["l_orderkey", "l_linenumber", "l_partkey"], "left_anti").join(works, ["l_orderkey", "l_linenumber"])
-
-
-@query("""with e as (select user_id, event_id, ts, event_id % 50 hint, event_id % 70 made, event_id % 90 cat from events where event_type <> 'error'), t as (select distinct o_custkey k from orders)
-select user_id, target, arg_max(event_id, struct_pack(a := ts, b := event_id)) event_id from (select user_id, event_id, ts, coalesce(case when hint % 2 = 0 then a.k end, b.k, c.k) target from e left join t a on a.k = hint left join t b on b.k = made left join t c on c.k = cat) where target is not null group by 1, 2""")
-def q27_rehome_precedence(spark, d):
-    e = _read(spark, d, "events").where("event_type <> 'error'").select("user_id", "event_id", "ts", *[(F.col("event_id") % n).alias(c) for c, n in (("hint", 50), ("made", 70), ("cat", 90))])
-    t = _read(spark, d, "orders").select(F.col("o_custkey").alias("k")).distinct()
-    met = e
-    for c in ("hint", "made", "cat"):
-        met = met.join(t.select(F.col("k").alias(f"k_{c}")), F.col(c) == F.col(f"k_{c}"), "left")
-    met = met.withColumn("target", F.coalesce(F.when(F.col("hint") % 2 == 0, F.col("k_hint")), "k_made", "k_cat")).where("target is not null")
-    return library.latest(met, ["user_id", "target"], [F.col("ts"), F.col("event_id")], ["event_id"])
-
-
 # --- progress ---------------------------------------------------------------------------------------------------------
-@query(f"""with m as (select l_orderkey, l_linenumber, l_returnflag, strftime(l_shipdate, '%Y-%m-%d') d from {LINES} where rn = 1),
-c as (select o_orderkey, count(l_linenumber) filter (where d <= '{AS_OF}') total, count(l_linenumber) filter (where d <= '{AS_OF}' and l_returnflag = 'R') n_read, count(l_linenumber) filter (where d > '{AS_OF}') upcoming from orders left join m on o_orderkey = l_orderkey group by 1)
-select o_orderkey, cast(n_read as bigint) n_read, cast(total as bigint) total, cast(total - n_read as bigint) remaining, cast(upcoming as bigint) upcoming, case when total > 0 and n_read = total then 'caught-up-partial' when n_read > 0 then 'in-progress' else 'not-started' end state from c""")
-def q28_progress_counts(spark, d):
-    main = _mainline(spark, d).withColumn("state", coverage.row_release(F.date_format("l_shipdate", "yyyy-MM-dd"), AS_OF))
-    o = _read(spark, d, "orders").select("o_orderkey").join(main, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    released, read = F.col("state") == "released", F.col("l_returnflag") == "R"
-    c = o.groupBy("o_orderkey").agg(F.count_if(released & read).alias("n_read"), F.count_if(released).alias("total"), F.count_if(F.col("state") == "scheduled").alias("upcoming"))
-    state = F.when((F.col("total") > 0) & (F.col("n_read") == F.col("total")), "caught-up-partial").when(F.col("n_read") > 0, "in-progress").otherwise("not-started")
-    return c.select("o_orderkey", "n_read", "total", (F.col("total") - F.col("n_read")).alias("remaining"), "upcoming", state.alias("state"))
-
-
-@query(f"""select l_orderkey, min(l_linenumber) next_line, arg_min(d, l_linenumber) date from (select l_orderkey, l_linenumber, strftime(l_shipdate, '%Y-%m-%d') d from {LINES} where rn = 1 and l_returnflag <> 'R' and strftime(l_shipdate, '%Y-%m-%d') <= '{AS_OF}') group by 1""")
-def q29_next_unread(spark, d):
-    m = _mainline(spark, d).select("l_orderkey", "l_linenumber", "l_returnflag", F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"))
-    return m.where((F.col("l_returnflag") != "R") & (F.col("date") <= AS_OF)).groupBy("l_orderkey").agg(F.min("l_linenumber").alias("next_line"), F.min_by("date", "l_linenumber").alias("date"))
-
-
-@query(f"""with m as (select l_orderkey, l_linenumber, l_returnflag, row_number() over (partition by l_orderkey order by l_linenumber) rk from {LINES} where rn = 1), c as (select l_orderkey, max(rk) - 1 cut from m group by 1)
-select m.l_orderkey, m.l_linenumber from m join c using (l_orderkey) where rk <= cut and l_returnflag <> 'R'""")
-def q30_read_through_prefix(spark, d):
-    from pyspark.sql import Window
-
-    m = _mainline(spark, d).withColumn("rk", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")))
-    whole = Window.partitionBy("l_orderkey")
-    return m.withColumn("cut", F.max("rk").over(whole) - 1).where("rk <= cut and l_returnflag <> 'R'").select("l_orderkey", "l_linenumber")
-
-
 # --- similarity -------------------------------------------------------------------------------------------------------
 @query("""with g as (select p_brand, list(distinct p_type || '-' || p_size) types from part group by 1)
 select a.p_brand brand, b.p_brand other, round(len(list_intersect(a.types, b.types)) / greatest(len(list_distinct(list_concat(a.types, b.types))), 1), 6) jaccard from g a, g b where a.p_brand = 'Brand#11' and b.p_brand <> a.p_brand""")
@@ -357,30 +282,6 @@ def _pairs(spark, d):
     return met.withColumn("terms", F.array_compact(F.array(*terms)))
 
 
-@query(
-    _taste_sql()
-    + f""", q as (select vec_id, label, n >= 3 and w > 0 and s > 0 semantic, d, w, case when label = seed_label then 1.0 else 0.0 end g from p),
-r as (select vec_id, label, round(least(1.0, (case when semantic then (1 - d / w) * 0.85 + g * 0.15 else g * 0.65 * (1 - d / (1 + w)) end) * 0.96), 6) score, case when semantic then 'taste' else 'genres' end "method" from q where semantic or g > 0)
-select vec_id, score, "method" from (select *, row_number() over (partition by label order by score desc, vec_id) rn from r) where rn <= {PER_AUTHOR} order by score desc, vec_id limit {RECOMMEND_LIMIT}"""
-)
-def q33_recommend(spark, d):
-    rows = _pairs(spark, d)
-    total = lambda f: F.aggregate("terms", F.lit(0.0), lambda acc, t: acc + t[f])
-    rows = rows.withColumn("d", total("d")).withColumn("w", total("w")).withColumn("g", F.when(F.col("label") == F.col("s_label"), 1.0).otherwise(0.0))
-    rows = rows.withColumn("semantic", (F.size("terms") >= 3) & (F.col("w") > 0) & F.exists("terms", lambda t: t["s"].isNotNull())).where("semantic or g > 0")
-    fit = F.when(F.col("semantic"), (1 - F.col("d") / F.nullif("w", F.lit(0.0))) * 0.85 + F.col("g") * 0.15).otherwise(F.col("g") * 0.65 * (1 - F.col("d") / (1 + F.col("w"))))
-    rows = rows.select("vec_id", "label", F.round(F.least(F.lit(1.0), fit * 0.96), 6).alias("score"), F.when(F.col("semantic"), "taste").otherwise("genres").alias("method"))
-    return catalog.capped_ranking(rows, F.col("label"), [F.desc("score"), F.col("vec_id")], PER_AUTHOR, RECOMMEND_LIMIT).select("vec_id", "score", "method")
-
-
-@query("""with s as (select * from (select l_orderkey, l_partkey, l_returnflag, row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, l_extendedprice) rn from lineitem where l_linenumber = 1) where l_returnflag <> 'R')
-select l_orderkey, l_partkey from (select *, row_number() over (partition by l_orderkey order by p_size desc, l_partkey) k from s join part on l_partkey = p_partkey) where k = 1""")
-def q34_eligible_entry(spark, d):
-    first = _lines(spark, d).where("l_linenumber = 1 and l_returnflag <> 'R'").select("l_orderkey", "l_partkey")
-    met = first.join(_read(spark, d, "part").select("p_partkey", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
-    return catalog.first_of_group(met, ["l_orderkey"], [F.desc("p_size"), F.col("l_partkey")]).select("l_orderkey", "l_partkey")
-
-
 # --- health -----------------------------------------------------------------------------------------------------------
 STATUS = "case event_type when 'error' then 'missing' when 'purchase' then 'stale' when 'signup' then 'unknown' else 'present' end"
 
@@ -392,17 +293,6 @@ def q35_severity_rollup(spark, d):
     return health.worst_status(e, ["user_id", "day"], status)
 
 
-@query("""select o_orderkey, coalesce(bool_or(l_returnflag = 'R'), false) missing, coalesce(bool_or(l_returnflag = 'A'), false) review, cast(count(*) filter (where l_returnflag <> 'N') as bigint) attention,
-case when count(l_orderkey) = 0 or bool_or(l_linestatus = 'O') then null else min(strftime(l_shipdate, '%Y-%m-%d')) end oldest from orders left join lineitem on o_orderkey = l_orderkey group by 1""")
-def q36_series_attention(spark, d):
-    met = _read(spark, d, "orders").select("o_orderkey").join(_lines(spark, d), F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    flag = F.col("l_returnflag")
-    return met.groupBy("o_orderkey").agg(
-        F.coalesce(F.bool_or(flag == "R"), F.lit(False)).alias("missing"), F.coalesce(F.bool_or(flag == "A"), F.lit(False)).alias("review"), F.count_if(flag != "N").alias("attention"),
-        F.when((F.count("l_orderkey") > 0) & ~F.coalesce(F.bool_or(F.col("l_linestatus") == "O"), F.lit(False)), F.min(F.date_format("l_shipdate", "yyyy-MM-dd"))).alias("oldest"),
-    )
-
-
 @query("""select 'order' subject, cast(o_orderkey as bigint) id from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey) union all
 select 'line', cast(l_orderkey as bigint) from lineitem where not exists (select 1 from orders where l_orderkey = o_orderkey) union all
 select 'customer', cast(o_custkey as bigint) from orders where not exists (select 1 from customer where c_custkey = o_custkey) union all
@@ -464,21 +354,6 @@ def q42_bullets_distinct(spark, d):
     return found.where(F.size("bullets") > 0)
 
 
-@query("""select user_id, event_type, n from (select *, row_number() over (partition by user_id order by n desc, event_type) rn from (select user_id, event_type, count(*) n from events group by 1, 2)) where rn <= 4""")
-def q43_top_traits(spark, d):
-    n = _read(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    return catalog.top_per_group(n, ["user_id"], [F.desc("n"), F.col("event_type")], 4)
-
-
-@query()
-def q44_fold_actions(spark, d):
-    """An ordered fold over each conversation's turns; no SQL form, tested against a plain reducer."""
-    names = F.array(*[F.lit(a) for a in ("hover-in", "hover-out", "focus-in", "focus-out", "press", "click", "escape")])
-    c = _read(spark, d, "conversations").select("conv_id", "turn", F.get(names, (F.length("text") % 7).cast("int")).alias("a"))
-    one = c.groupBy("conv_id").agg(reader.fold_actions(F.transform(F.sort_array(F.collect_list(F.struct("turn", "a"))), lambda x: x["a"])).alias("s"))
-    return one.select("conv_id", "s.*", reader.is_open(F.col("s")).alias("open"))
-
-
 # --- coverage ---------------------------------------------------------------------------------------------------------
 NOW = "1998-07-01T12:00:00.000Z"
 
@@ -579,12 +454,6 @@ def q52_display_date(spark, d):
     return _read(spark, d, "orders").select("o_orderkey", dates.display_date(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("shown"))
 
 
-@query("""select page_id, coalesce(nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), ''), '') as page_no, case when url like '%?%' then true else false end has_query from pages""")
-def q53_view_state(spark, d):
-    p = _read(spark, d, "pages")
-    return p.select("page_id", F.coalesce(F.try_parse_url("url", F.lit("QUERY"), F.lit("page")), F.lit("")).alias("page_no"), F.col("url").contains("?").alias("has_query"))
-
-
 @query(f"""select s_suppkey, greatest(0.0, coalesce(max({POPULARITY}), 0.0)) popularity from supplier left join (select distinct l_suppkey, l_partkey from lineitem) on s_suppkey = l_suppkey left join part on l_partkey = p_partkey group by 1""")
 def q54_series_popularity(spark, d):
     li = _lines(spark, d).select("l_suppkey", "l_partkey").distinct()
@@ -621,7 +490,7 @@ def q58_group_coverage(spark, d):
 @query("select l_orderkey, l_linenumber, l_partkey from lineitem group by all having count(*) = 1")
 def q59_edition_multiplicity(spark, d):
     key = ["l_orderkey", "l_linenumber", "l_partkey"]
-    return _lines(spark, d).groupBy(*key).agg(F.count("*").alias("n")).where("n = 1").select(*key)
+    return coverage.singles(_lines(spark, d), key, key).select(*key)
 
 
 @query("""select c_custkey, case c_custkey % 5 when 0 then false when 1 then false when 2 then true when 3 then false else true end safe from customer""")
@@ -700,7 +569,6 @@ def q69_percent_read(spark, d):
     return c.select("o_orderkey", library.percent_read(F.col("k"), F.col("n")).alias("percent"))
 
 
-@query("select user_id, count(*) filter (where event_type = 'error') > 0 missing, count(*) filter (where event_type in ('purchase', 'signup')) > 0 review from events group by 1")
-def q70_attention_flags(spark, d):
-    e = _read(spark, d, "events")
-    return e.groupBy("user_id").agg(F.bool_or(F.col("event_type") == "error").alias("missing"), F.bool_or(F.col("event_type").isin("purchase", "signup")).alias("review"))
+from . import adapted_queries as _adapted  # noqa: E402  registers its queries too
+
+__all__ = ["ORACLES", "QUERIES", "_adapted"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -83,16 +84,34 @@ def windowed_counts(events: DataFrame, at: str = "ts", by: tuple[str, ...] = (),
     return timed.groupBy(F.window(at, width).alias("w"), *by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), *by, "n")
 
 
-def upsert_sink(path: str, key: list[str], order: list[str], values: list[str]):
-    """A foreachBatch function that folds each batch into a Parquet table of latest rows, written aside and read by version."""
+def upsert_sink(path: str, key: list[str], order: list[str], values: list[str], buckets: int = 64):
+    """A foreachBatch function that folds each batch into a Parquet table of latest rows, partitioned by buckets of the key.
+
+    Only the buckets that a batch touches are read and written again, and their old files go when the new ones are there. A
+    batch that is run again leaves the table as it is.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = batch.select(*key, *order, *values)
-        before = f"{path}/v={number - 1}"
-        if number:
-            new = spark.read.parquet(before).unionByName(new)
-        pick = new.groupBy(*key).agg(F.max_by(F.struct(*order, *values), F.struct(*order)).alias("r")).select(*key, "r.*")
-        pick.write.mode("overwrite").parquet(f"{path}/v={number}")
+        new = batch.select(*key, *order, *values, F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int").alias("bucket"))
+        touched = [r[0] for r in new.select("bucket").distinct().collect()]  # numbers, as many as buckets at most
+        if not touched:
+            return
+        try:
+            new = spark.read.schema(new.schema).parquet(path).where(F.col("bucket").isin(touched)).unionByName(new)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+        pick = new.groupBy("bucket", *key).agg(F.max_by(F.struct(*order, *values), F.struct(*order)).alias("r")).select(*key, "r.*", "bucket")
+        pick.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
     return write
+
+
+#: Seconds between two polls of the account store, between two looks at the clock, and from an edit to its sync.
+POLL, TICK, SETTLE = 60, 300, 0.4
+
+
+def every(stream: DataFrame, write, seconds: float, checkpoint: str):
+    """A running query that hands each batch of ``stream`` to ``write``, one at a time, every so many seconds."""
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=f"{round(seconds * 1000)} milliseconds").start()
