@@ -36,16 +36,19 @@ _CLASS = np.zeros((256, len(CLASSES)))
 for _k, _c in enumerate(CLASSES):
     _CLASS[list(_c), _k] = 1
 DENSE = 2 * len(CLASSES) + 13
-_BUCKET: dict[bytes, int] = {}
 
 
-def _bucket(word: bytes) -> int:
-    at = _BUCKET.get(word)
-    if at is None:
-        if len(_BUCKET) > 150_000:
-            _BUCKET.clear()
-        at = _BUCKET[word] = xxhash.xxh64_intdigest(word.strip(b".,!?;:\"'"), 3) % WORDS
-    return at
+class _Buckets(dict):
+    """Words and their buckets, as many as fit; a word that is missing is hashed."""
+
+    def __missing__(self, word: bytes) -> int:
+        at = xxhash.xxh64_intdigest(word.strip(b".,!?;:\"'"), 3) % WORDS
+        if len(self) < 200_000 and len(word) < 40:
+            self[word] = at
+        return at
+
+
+_BUCKETS = _Buckets()
 
 
 def text_view(text: str) -> tuple[np.ndarray, np.ndarray] | None:
@@ -65,7 +68,7 @@ def text_view(text: str) -> tuple[np.ndarray, np.ndarray] | None:
         1.0, size / 5, len(kinds) / n, len(kinds) / n * size / 5, pairs / max(1, n - 1), len(set(lines)) / len(lines), len(set(sentences)) / max(1, len(sentences)),
         min(len(raw) / n, 30) / 10, np.log1p(n / len(lines)) / 5, np.log1p(n / max(1, len(sentences))) / 5, max(map(len, kinds)) > 40, n < 5, min(1.0, 3 * sum(map(eq, words, words[1:])) / n),
     )
-    return np.concatenate([share, np.minimum(share * 40, 1), rest]), np.unique(np.fromiter(map(_bucket, kinds), np.int32, len(kinds)))
+    return np.concatenate([share, np.minimum(share * 40, 1), rest]), np.unique(np.fromiter(map(_BUCKETS.__getitem__, kinds), np.int32, len(kinds)))
 
 
 def meta_view(values: tuple, size: int | None) -> np.ndarray:
@@ -107,11 +110,11 @@ class Batch:
 
     @classmethod
     def read(cls, batch: pa.RecordBatch) -> Batch:
-        def lists(name):
-            c = batch.column(name)
-            return np.repeat(np.arange(len(c)), np.diff(c.offsets.to_numpy())), c.flatten().to_numpy().astype(np.int64)
+        def lists(name, kind):
+            texts = batch.column(name).to_pylist()
+            return np.repeat(np.arange(len(texts)), [len(t) // 2 for t in texts]), np.frombuffer(b"".join(texts), kind).astype(np.int64)
 
-        return cls(batch.column("dense").flatten().to_numpy().astype(np.float64).reshape(-1, DENSE), lists("words"), lists("meta"))
+        return cls(np.frombuffer(b"".join(batch.column("dense").to_pylist()), np.float32).astype(np.float64).reshape(-1, DENSE), lists("words", np.uint16), lists("meta", np.uint16))
 
 
 def mean_ratio(buckets: tuple[np.ndarray, np.ndarray], ratios: np.ndarray, n: int) -> np.ndarray:
@@ -235,11 +238,11 @@ def cuts_of(steps: dict[int, int], share: float) -> tuple[int, int]:
     return int(at[np.searchsorted(up, want)]), int(at[len(at) - 1 - np.searchsorted(np.cumsum(n[::-1]), want)])
 
 
-VIEWS_DDL = "h long, y int, held boolean, dense array<float>, words array<int>, meta array<int>"
-
-
 def _views(docs: DataFrame, labels: DataFrame, id: str, text: str, meta: tuple[str, ...], size: str, label: str) -> DataFrame:
-    """The views of each document that has a word, with its label and whether it is held out. Null ids have no label."""
+    """The views of each document that has a word, packed as bytes, with its label and whether it is held out.
+
+    Null ids have no label. Labels grow with the documents, so the join is by a shuffle at every size, never a broadcast.
+    """
     marked = labels.where(F.col(id).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(id).cast("long").alias("id")).agg(F.min(label).cast("int").alias("y"))
 
     def run(batches):
@@ -249,13 +252,13 @@ def _views(docs: DataFrame, labels: DataFrame, id: str, text: str, meta: tuple[s
                 found = [text_view(t) for t in texts_of(part.column("text"))]
                 metas = [meta_view(m, s) for m, s in zip(zip(*[part.column(f"m{k}").to_pylist() for k in range(len(meta))]), part.column("size").to_pylist())]
                 some = [k for k, v in enumerate(found) if v is not None]
-                columns = [[found[k][0].astype(np.float32) for k in some], [found[k][1] for k in some], [metas[k] for k in some]]
-                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(some, pa.int64())), pa.array(columns[0], pa.list_(pa.float32())), pa.array(columns[1], pa.list_(pa.int32())), pa.array(columns[2], pa.list_(pa.int32()))], names=["id", "dense", "words", "meta"])
+                packed = [[x.astype(kind).tobytes() for x in column] for kind, column in ((np.float32, [found[k][0] for k in some]), (np.uint16, [found[k][1] for k in some]), (np.uint16, [metas[k] for k in some]))]
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(some, pa.int64())), *(pa.array(column, pa.binary()) for column in packed)], names=["id", "dense", "words", "meta"])
 
     source = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), *[F.col(m).cast("string").alias(f"m{k}") for k, m in enumerate(meta)], F.col(size).cast("long").alias("size"))
-    views = arrow_map(source, run, "id long, dense array<float>, words array<int>, meta array<int>")
+    views = arrow_map(source, run, "id long, dense binary, words binary, meta binary")
     h = F.xxhash64("id", F.lit(8))
-    known = views.join(marked, "id", "left").select(h.alias("h"), F.coalesce("y", F.lit(-1)).alias("y"), (F.col("y").isNotNull() & (F.pmod(h, F.lit(10)) < HELD)).alias("held"), "dense", "words", "meta")
+    known = views.join(marked.hint("merge"), "id", "left").select(h.alias("h"), F.coalesce("y", F.lit(-1)).alias("y"), (F.col("y").isNotNull() & (F.pmod(h, F.lit(10)) < HELD)).alias("held"), "dense", "words", "meta")
     return materialize(known, "quality-views")
 
 
