@@ -14,7 +14,19 @@ def read_catalog(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
     A document of another version, or without a list of books, gives no rows; ``catalog_problem`` tells which.
     """
-    raw = _document(spark, path, f"version int, books array<struct<{_struct(schemas.BOOK)}>>, series array<struct<{_struct(schemas.SERIES)}>>")
+    return _catalog(_document(spark, path, _catalog_ddl()))
+
+
+def parse_catalog(rows: DataFrame, json: str) -> tuple[DataFrame, DataFrame]:
+    """(books, series) of catalog documents that stand in a column of text."""
+    return _catalog(rows.select(F.from_json(json, _catalog_ddl()).alias("d")).select("d.*"))
+
+
+def _catalog_ddl() -> str:
+    return f"version int, books array<struct<{_struct(schemas.BOOK)}>>, series array<struct<{_struct(schemas.SERIES)}>>"
+
+
+def _catalog(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     good = raw.where("version in (1, 2) and books is not null")
     return _rows(good, "books"), _rows(good, "series")
 
@@ -55,7 +67,19 @@ def write_by_year(books: DataFrame, path: str) -> None:
 
 def read_health(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(head, series, works) of a health snapshot of schema version 1."""
-    raw = _document(spark, path, f"schemaVersion int, generatedAt string, series array<struct<{_struct(schemas.HEALTH_SERIES)}>>, works array<struct<{_struct(schemas.HEALTH_WORK)}>>")
+    return _health(_document(spark, path, _health_ddl()))
+
+
+def parse_health(rows: DataFrame, json: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(head, series, works) of health snapshots that stand in a column of text."""
+    return _health(rows.select(F.from_json(json, _health_ddl()).alias("d")).select("d.*"))
+
+
+def _health_ddl() -> str:
+    return f"schemaVersion int, generatedAt string, series array<struct<{_struct(schemas.HEALTH_SERIES)}>>, works array<struct<{_struct(schemas.HEALTH_WORK)}>>"
+
+
+def _health(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     good = raw.where("schemaVersion = 1 and generatedAt is not null")
     return good.select("schemaVersion", "generatedAt"), _rows(good, "series"), _rows(good, "works")
 
@@ -88,7 +112,12 @@ def body_fits(body: Column, content_type: Column, most: int = MAX_BODY) -> Colum
 def log_tail(spark: SparkSession, path: str, size: int = LOG_TAIL) -> DataFrame:
     """(file, tail): the last bytes of each log, as text; only that much of a file goes on."""
     raw = spark.read.format("binaryFile").load(path)
-    return raw.select(F.col("path").alias("file"), F.decode(F.substring("content", -size, size), "UTF-8").alias("tail"))
+    return raw.select(F.col("path").alias("file"), tail_of(F.col("content"), size).alias("tail"))
+
+
+def tail_of(content: Column, size: int = LOG_TAIL) -> Column:
+    """The last bytes of a binary column, as text."""
+    return F.decode(F.substring(content, -size, size), "UTF-8")
 
 
 def write_libraries(rows: DataFrame, path: str) -> None:

@@ -11,6 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
+def _keyed(rows: DataFrame, key: str):
+    """``rows`` by key; on a table instead of a stream the endpoint that keeps track of states has to be started first."""
+    if not rows.isStreaming:
+        rows.sparkSession.streams.active  # noqa: B018
+    return rows.groupBy(key)
+
+
 class Revisions(StatefulProcessor):
     """Per user a revision and a document: an edit that names the current revision is accepted, another gets what there is."""
 
@@ -37,7 +44,7 @@ def compare_and_set(edits: DataFrame) -> DataFrame:
 
     Needs the RocksDB state store. Edits of one user within a batch are taken in the order of seq.
     """
-    return edits.groupBy("user_id").transformWithStateInPandas(Revisions(), "user_id string, seq long, accepted boolean, revision long, document string", "update", "none")
+    return _keyed(edits, "user_id").transformWithStateInPandas(Revisions(), "user_id string, seq long, accepted boolean, revision long, document string", "update", "none")
 
 
 class OneTime(StatefulProcessor):
@@ -67,7 +74,7 @@ class OneTime(StatefulProcessor):
 
 def one_time(events: DataFrame, seconds: int) -> DataFrame:
     """(token, seq, payload) for each claim in a stream of events (token, seq, kind issue or claim, payload)."""
-    return events.groupBy("token").transformWithStateInPandas(OneTime(seconds), "token string, seq long, payload string", "update", "processingtime")
+    return _keyed(events, "token").transformWithStateInPandas(OneTime(seconds), "token string, seq long, payload string", "update", "processingtime")
 
 
 def latest_wins(events: DataFrame, key: list[str], order: list[str], values: list[str]) -> DataFrame:
