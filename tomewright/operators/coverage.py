@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import FRESH_COMPLETE_DAYS, FRESH_ONGOING_DAYS
@@ -65,7 +65,7 @@ def assess_coverage(series: DataFrame, manifests: DataFrame, works: DataFrame, e
     """(series_id, coverage) for each row of ``series`` (series_id): its reviewed list held against works and editions.
 
     Gates come in order, and the first that fails leaves the status unknown. Then each expected number becomes a released
-    or scheduled work, or an issue; all of it is joins and aggregates, so a series with many works is no single task.
+    or scheduled work, or an issue: one wide aggregate for each number of a series, and one for each series.
     ``manifests`` have seriesId as the key they are looked up by under lookup_id, which is seriesId if absent.
     """
     at = F.to_timestamp(F.lit(now))
@@ -92,47 +92,51 @@ def assess_coverage(series: DataFrame, manifests: DataFrame, works: DataFrame, e
     m = m.withColumn("expected", F.when(F.col("gate").isNull() | F.col("gate").isin("missing-final-list-evidence", "invalid-evidence"), F.array_sort(numbers)))
 
     open_ = m.where("gate is null").select("series_id", "expected", F.col("m.language").alias("language"), F.transform("m.marketplaces", _key).alias("places"))
-    canon = works.where(F.coalesce(F.col("role") != "supplement", F.lit(True))).select(F.col("seriesId").alias("series_id"), F.col("id").alias("work_id"), "number", F.monotonically_increasing_id().alias("ordinal") if "ordinal" not in works.columns else F.col("ordinal"))
-    canon = canon.join(open_.select("series_id", "expected"), "series_id")
-    unlisted = canon.where(~F.array_contains("expected", F.col("number")) | F.col("number").isNull()).select("series_id", F.struct(F.lit(0).alias("step"), F.lit(0.0).alias("n"), "ordinal").alias("k"), _issue("unlisted-work", F.col("number"), F.col("work_id")).alias("issue"))
-    shared = canon.groupBy("series_id", "work_id").agg(F.count("*").alias("same_id"))
-    per = canon.join(shared, ["series_id", "work_id"]).groupBy("series_id", "number").agg(F.count("*").alias("matches"), F.min_by(F.struct("work_id", "same_id"), "ordinal").alias("w"))
-    rows = open_.select("series_id", "language", "places", F.explode("expected").alias("number")).join(per, ["series_id", "number"], "left")
-    rows = rows.withColumn("work_id", F.col("w.work_id")).withColumn("single", (F.col("matches") == 1) & (trim(F.col("work_id")) != "") & (F.col("w.same_id") == 1))
-
-    once = singles(editions, ["id"], ["workId", "format", "verification"]).select(F.col("id").alias("edition_id"), F.col("workId").alias("work_id"), "format", F.col("verification").alias("proof"))
+    # one row for each expected number, and one for each work; together they make one row for each number of a series
+    expected = open_.select("series_id", F.explode("expected").alias("number"), F.struct("language", "places").alias("want"), *[F.lit(None).cast(t).alias(c) for c, t in (("work", "struct<work_id:string,same_id:bigint>"), ("ordinal", "bigint"))], F.lit(True).alias("listed"))
+    canon = works.where(F.coalesce(F.col("role") != "supplement", F.lit(True))).select(F.col("seriesId").alias("series_id"), F.col("id").alias("work_id"), "number", (F.monotonically_increasing_id() if "ordinal" not in works.columns else F.col("ordinal")).alias("ordinal"))
+    canon = canon.join(open_.select("series_id", "expected"), "series_id").withColumn("same_id", F.count("*").over(Window.partitionBy("series_id", "work_id")))
+    canon = canon.select("series_id", "number", F.lit(None).cast(expected.schema["want"].dataType).alias("want"), F.struct("work_id", "same_id").alias("work"), "ordinal", F.coalesce(F.array_contains("expected", F.col("number")), F.lit(False)).alias("listed"))
+    unlisted = F.struct(F.struct(F.lit(0).alias("step"), F.lit(0.0).alias("n"), "ordinal").alias("k"), _issue("unlisted-work", F.col("number"), F.col("work.work_id")).alias("issue"))
+    rows = expected.unionByName(canon).groupBy("series_id", "number").agg(
+        F.max("want").alias("want"), F.count("ordinal").alias("matches"), F.min_by("work", "ordinal").alias("w"), F.collect_list(F.when(~F.col("listed"), unlisted)).alias("unlisted"),
+    )
+    rows = rows.withColumn("work_id", F.col("w.work_id")).withColumn("single", F.coalesce((F.col("matches") == 1) & (trim(F.col("work_id")) != "") & (F.col("w.same_id") == 1) & F.col("want").isNotNull(), F.lit(False)))
+
+    once = singles(editions, ["id"], ["workId", "format", "verification"]).select(F.col("id").alias("edition_id"), F.col("workId").alias("proven_id"), "format", F.col("verification").alias("proof"))
     p = F.col("proof")
     method = ((p["method"] == "exact-retailer-product") & (p["evidence"]["sourceType"] == "retailer")) | ((p["method"] == "primary-audio-product") & (p["evidence"]["sourceType"] != "retailer"))
-    proven = rows.where("single").join(once, "work_id").where(
+    proven = F.coalesce(
         (trim(F.col("edition_id")) != "") & (F.col("format") == "audiobook") & (p["workId"] == F.col("work_id")) & (p["seriesId"] == F.col("series_id")) & (p["number"] == F.col("number"))
-        & (p["format"] == "unabridged") & (_key(p["language"]) == _key(F.col("language"))) & F.array_contains("places", _key(p["marketplace"])) & valid_evidence(p["evidence"], at) & method
+        & (p["format"] == "unabridged") & (_key(p["language"]) == _key(F.col("want.language"))) & F.array_contains("want.places", _key(p["marketplace"])) & valid_evidence(p["evidence"], at) & method, F.lit(False),
     )
     date = exact_date(p["audioReleaseDate"])
     seen = p["evidence"]["observedAt"]
     out = F.coalesce((date <= today) & (date <= F.substring(seen, 1, 10)), F.lit(False))
-    audio = proven.groupBy("series_id", "number").agg(
-        F.min(F.when(out, date)).alias("released"), F.array_sort(F.collect_list(F.when(out, F.col("edition_id")))).alias("released_ids"), F.bool_or(date.isNull()).alias("undated"),
-        F.bool_or(F.coalesce(date <= today, F.lit(False))).alias("arrived"), F.min(date).alias("next"), F.array_sort(F.collect_list("edition_id")).alias("ids"), F.min(instant(seen)).alias("seen"),
-    )
-    rows = rows.join(audio, ["series_id", "number"], "left")
+    met = rows.join(once, F.when(F.col("single"), F.col("work_id")) == F.col("proven_id"), "left").withColumn("proven", proven)
+    ok = lambda x: F.when(F.col("proven"), x)
+    rows = met.groupBy("series_id", "number").agg(
+        F.first(F.struct("want", "matches", "work_id", "single", "unlisted")).alias("r"), F.min(ok(F.when(out, date))).alias("released"), F.array_sort(F.collect_list(ok(F.when(out, F.col("edition_id"))))).alias("released_ids"),
+        F.bool_or(ok(date.isNull())).alias("undated"), F.bool_or(ok(F.coalesce(date <= today, F.lit(False)))).alias("arrived"), F.min(ok(date)).alias("next"), F.array_sort(F.collect_list(ok(F.col("edition_id")))).alias("ids"), F.min(ok(instant(seen))).alias("seen"),
+    ).select("series_id", "number", "r.*", "released", "released_ids", "undated", "arrived", "next", "ids", "seen")
     code = (
-        F.when(F.col("matches").isNull(), "missing-work").when(~F.coalesce("single", F.lit(False)), "ambiguous-work").when(F.col("ids").isNull(), "missing-verified-audio")
+        F.when(F.col("matches") == 0, "missing-work").when(~F.col("single"), "ambiguous-work").when(F.size("ids") == 0, "missing-verified-audio")
         .when(F.col("released").isNotNull(), F.lit(None)).when(F.col("undated"), "unknown-audio-date").when(F.col("arrived"), "release-not-reconfirmed")
     )
-    rows = rows.withColumn("code", code)
-    scheduled = F.col("code").isNull() & F.col("released").isNull()
+    wanted = F.col("want").isNotNull()
+    rows = rows.withColumn("code", F.when(wanted, code))
+    scheduled = wanted & F.col("code").isNull() & F.col("released").isNull()
     rows = rows.withColumn("expiry", F.when(scheduled, plus_days(F.col("seen"), FRESH_ONGOING_DAYS))).withColumn("code", F.coalesce("code", F.when(F.col("expiry") <= at, "expired-audio-schedule")))
     texts = F.create_map(*[F.lit(v) for item in MESSAGES.items() for v in item])
-    worked = F.col("released").isNotNull() & F.col("ids").isNotNull() & F.col("single")
-    rows = rows.withColumn("state", F.when(worked, "released").when(F.col("expiry").isNotNull(), "scheduled"))
+    rows = rows.withColumn("state", F.when(F.col("released").isNotNull(), "released").when(F.col("expiry").isNotNull(), "scheduled"))
     work = F.struct(F.col("work_id").alias("workId"), "number", "state", F.coalesce("released", "next").alias("releaseDate"), F.when(F.col("state") == "released", F.col("released_ids")).otherwise(F.col("ids")).alias("editionIds"))
-    own = rows.where("code is not null").select("series_id", F.struct(F.lit(1).alias("step"), F.col("number").alias("n"), F.lit(0).cast("long").alias("ordinal")).alias("k"), F.struct("code", texts[F.col("code")].alias("message"), "number", F.when(F.col("code") != "missing-work", F.col("work_id")).alias("workId")).alias("issue"))
-    issues = unlisted.unionByName(own).groupBy("series_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "issue"))), lambda i: i["issue"]).alias("issues"))
+    own = F.struct(F.struct(F.lit(1).alias("step"), F.col("number").alias("n"), F.lit(0).cast("long").alias("ordinal")).alias("k"), F.struct("code", texts[F.col("code")].alias("message"), "number", F.when(F.col("code") != "missing-work", F.col("work_id")).alias("workId")).alias("issue"))
+    told = F.when(F.col("code").isNotNull(), F.concat("unlisted", F.array(own))).otherwise(F.col("unlisted"))
     totals = rows.groupBy("series_id").agg(
-        F.sort_array(F.collect_list(F.when(F.col("state").isNotNull(), F.struct("number", work.alias("w"))))).alias("works"), F.count_if(F.col("state") == "released").alias("n_released"),
-        F.min(F.when(F.col("state") == "scheduled", F.to_timestamp("next"))).alias("next_release"), F.min("expiry").alias("schedule_expiry"),
+        F.transform(F.sort_array(F.flatten(F.collect_list(told))), lambda i: i["issue"]).alias("issues"), F.sort_array(F.collect_list(F.when(F.col("state").isNotNull(), F.struct("number", work.alias("w"))))).alias("works"),
+        F.count_if(F.col("state") == "released").alias("n_released"), F.min(F.when(F.col("state") == "scheduled", F.to_timestamp("next"))).alias("next_release"), F.min("expiry").alias("schedule_expiry"),
     )
-    joined = m.join(issues, "series_id", "left").join(totals, "series_id", "left")
+    joined = m.join(totals, "series_id", "left")
     base = F.coalesce("issues", F.array().cast("array<struct<code:string,message:string,number:double,workId:string>>"))
     joined = joined.withColumn("found", F.when(F.col("gate").isNull(), base).otherwise(F.array(F.struct(F.col("gate").alias("code"), texts[F.col("gate")].alias("message"), F.lit(None).cast("double").alias("number"), F.lit(None).cast("string").alias("workId")))))
     done = F.coalesce(complete, F.lit(False)) & (F.size("found") == 0) & (F.col("n_released") == F.size("expected"))

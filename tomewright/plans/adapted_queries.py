@@ -635,3 +635,33 @@ def q101_one_time_states(spark, d):
 def q102_latest_wins(spark, d):
     """The streaming aggregate, run on a table."""
     return states.latest_wins(read(spark, d, "events"), ["user_id", "event_type"], ["event_id"], ["event_id"])
+
+
+@query("""with n as (select o_orderkey, count(distinct l_linenumber) n from orders left join lineitem on l_orderkey = o_orderkey group by 1), k as (select *, o_orderkey % 13 k from n)
+select o_orderkey, case when k < 4 or n = 0 then 'unknown' when k < 10 then 'incomplete' when k < 12 then 'stale' else 'verified' end status,
+case when k = 0 then 'missing-manifest' when k = 1 or n = 0 then 'invalid-manifest' else [null, null, 'missing-final-list-evidence', 'invalid-evidence', 'unlisted-work', 'missing-work', 'ambiguous-work', 'missing-verified-audio', 'unknown-audio-date', 'release-not-reconfirmed', 'expired-audio-schedule', 'expired-evidence', null][k + 1] end code,
+cast(case when k < 4 or n = 0 then 1 when k in (4, 5, 11) then 1 when k = 12 then 0 else n end as int) n_issues from k""")
+def q103_coverage_codes(spark, d):
+    """Each of the twelve things that can be wrong with coverage, and series without a fault."""
+    o, li = read(spark, d, "orders").select("o_orderkey"), read(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").cast("double").alias("number")).distinct()
+    k, sid = F.col("o_orderkey") % 13, _string("o_orderkey")
+    proof = lambda at, kind: F.struct(F.lit("doc").alias("documentId"), F.lit("https://example.org/list").alias("url"), at.alias("observedAt"), kind.alias("sourceType"))
+    listed = li.groupBy("o_orderkey").agg(F.sort_array(F.collect_list("number")).alias("n"))
+    expected = F.when(k == 5, F.array_append("n", F.lit(50.0))).otherwise(F.col("n"))
+    seen = proof(F.when(k == 11, "1998-06-01T00:00:00Z").otherwise("1998-07-01T00:00:00Z"), F.when(k == 3, "retailer").otherwise("publisher"))
+    manifests = o.where(k != 0).join(listed, "o_orderkey", "left").select(
+        F.concat(F.lit("m"), sid).alias("id"), sid.alias("seriesId"), F.when(k == 1, "all").otherwise("numbered-mainline").alias("scope"), F.lit("en").alias("language"), F.array(F.lit("US")).alias("marketplaces"), F.coalesce(expected, F.array().cast("array<double>")).alias("expectedNumbers"),
+        F.lit("1998-06-30T00:00:00Z").alias("reviewedAt"), F.when(k == 2, "complete").otherwise("ongoing").alias("audioCatalogState"), F.array(seen).alias("bibliography"), F.lit(None).cast("struct<documentId:string,url:string,observedAt:string,sourceType:string>").alias("finalListEvidence"),
+    )
+    work = F.concat_ws("-", sid, F.col("number").cast("int").cast("string"))
+    numbers = li.unionByName(li.where(k == 4).select("o_orderkey").distinct().withColumn("number", F.lit(99.0)))
+    made = numbers.select(work.alias("id"), sid.alias("seriesId"), "number", F.lit("mainline").alias("role")).unionByName(li.where(k == 6).select(F.concat(work, F.lit("x")), sid, "number", F.lit("mainline")).toDF("id", "seriesId", "number", "role"))
+    date = F.when(k == 8, F.lit(None).cast("string")).when(k == 9, "1998-07-01").when(k == 10, "1999-01-01").otherwise("1995-05-05")
+    shop = proof(F.when(k.isin(9, 10), "1998-06-20T00:00:00Z").otherwise("1998-07-01T00:00:00Z"), F.lit("retailer"))
+    editions = li.where(k != 7).select(
+        F.concat(F.lit("e"), work).alias("id"), work.alias("workId"), F.lit("audiobook").alias("format"),
+        F.struct(F.lit("exact-retailer-product").alias("method"), shop.alias("evidence"), work.alias("workId"), sid.alias("seriesId"), "number", F.lit("en").alias("language"), F.lit("US").alias("marketplace"), F.lit("unabridged").alias("format"), date.alias("audioReleaseDate")).alias("verification"),
+    )
+    c = F.col("coverage")
+    found = coverage.assess_coverage(o.select(sid.alias("series_id")), manifests, made, editions, NOW)
+    return found.select(F.col("series_id").cast("long").alias("o_orderkey"), c["status"].alias("status"), F.get(c["issues"], F.lit(0))["code"].alias("code"), F.size(c["issues"]).alias("n_issues"))
