@@ -95,6 +95,41 @@ def test_large_family_against_brute_force(spark):
     assert {r["doc_id"]: r["component_id"] for r in op.near_duplicates(df).collect()} == want
 
 
+def similar_groups(sets, least=0.8):
+    """Components by overlaps counted over the documents of each shingle, all pairs compared."""
+    where, n = {}, len(sets)
+    for i, s in enumerate(sets):
+        for x in s:
+            where.setdefault(x, []).append(i)
+    where, sizes, near = {x: np.array(v) for x, v in where.items()}, np.array([len(s) for s in sets]), []
+    for i, s in enumerate(sets):
+        both = np.bincount(np.concatenate([where[x] for x in s]), minlength=n)
+        near.append(np.flatnonzero(both >= least * (sizes[i] + sizes - both)))
+    forest = bitslice.Forest(n)
+    for i, found in enumerate(near):
+        forest.join(np.full(len(found), i), found)
+    return forest.roots(np.arange(n)).tolist()
+
+
+@pytest.mark.parametrize("size", [33, 300, 3000])
+def test_families_against_brute_force(spark, size):
+    """Families of edited copies, two of them and some strangers: exactly the groups that comparing all pairs gives."""
+    rng = np.random.default_rng(size)
+    texts = [" ".join(f"s{x}" for x in rng.integers(0, 1 << 30, 100)) for _ in range(20)]
+    for family in range(2 if size < 3000 else 1):
+        words = [f"f{family}w{x}" for x in rng.integers(0, 5000, 240)]
+        texts.append(" ".join(words))
+        for k in range(size - 1):
+            copy = list(words)
+            for at in rng.choice(240, 4 + k % 4, replace=False):
+                copy[at] = f"edit{rng.integers(0, 1 << 30)}"
+            texts.append(" ".join(copy))
+    texts = [texts[i] for i in rng.permutation(len(texts))]
+    want = similar_groups([shingle_set(t) for t in texts])
+    got = {r["doc_id"]: r["component_id"] for r in op.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == want and len(set(want)) < len(texts) * 0.6
+
+
 def test_large_family_in_tiles(spark, monkeypatch):
     monkeypatch.setattr(op, "TILE", 32)
     test_large_family_against_brute_force(spark)
