@@ -146,3 +146,41 @@ def test_links_block_a_host(spark):
     got = [(r["page_id"], r["host"], r["verdict"]) for r in urls.judge_urls(df).orderBy("page_id").collect()]
     assert got == [(1, "bad.com", "block"), (2, "shady.net", "block"), (3, "fine.net", "allow"), (4, "good.org", "allow"), (4, "good.org", "allow")]
     assert urls.judge_urls(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_articles_without_their_marks(spark):
+    """The same articles come from pages of which classes, ids and the article element are taken away."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    bare = pages.selectExpr("page_id", "url", r"""regexp_replace(regexp_replace(html, ' (class|id)=("[^"]*"|[^ >]+)', ''), '<(/?)article>', '<$1div>') html""")
+    want = {r["page_id"]: r["text"] for r in extract.extract_pages(pages).collect()}
+    got = {r["page_id"]: r["text"] for r in extract.extract_pages(bare).collect()}
+    assert sum(got[i] == want[i] for i in want) / len(want) >= 0.95
+
+
+def foreign_page(rng, k):
+    """A page of a make that the training pages don't have: its own class names, tables for layout, and other orders of parts."""
+    say = lambda n: " ".join("".join(rng.choice(list("abdefgilmnoprstu"), rng.integers(2, 9))) for _ in range(n)).capitalize() + "."
+    links = lambda n: "".join(f"<li><a href='/{i}'>{say(2)[:-1]}</a></li>" for i in range(n))
+    story = [say(rng.integers(25, 70)) + " " + say(rng.integers(10, 40)) for _ in range(rng.integers(3, 8))]
+    body = "".join(f"<p>{p}</p>" for p in story)
+    title = say(6)[:-1]
+    top, side, foot = f"<div class=q1><ul>{links(7)}</ul></div>", f"<div class=w9><ul>{links(9)}</ul></div>", f"<div class=zz><p><a href=/a>{say(2)}</a> | <a href=/b>{say(2)}</a> | 2024</p></div>"
+    talk = "<div class=k4>" + "".join(f"<div class=u2><b>{say(1)[:-1]}</b> <i>3 days ago</i><p>{say(rng.integers(4, 12))}</p><a href=#>{say(1)[:-1]}</a></div>" for _ in range(4)) + "</div>"
+    pages = (
+        f"<body>{top}<table><tr><td>{side}<td><h1>{title}</h1>{body}</table>{foot}</body>", f"<body><div class=m>{top}<div class=n><h1>{title}</h1>{body}</div>{talk}</div>{foot}</body>",
+        f"<body>{side}{top}<section><h2>{title}</h2>{body}</section><form><input><button>{say(1)[:-1]}</button></form>{foot}</body>",
+    )
+    return pages[k % 3], [title, *story]
+
+
+def test_foreign_templates(spark):
+    """Most of what is kept is story, and most of the story is kept, on templates that share no class word with the training pages."""
+    rng = np.random.default_rng(8)
+    made = [foreign_page(rng, k) for k in range(60)]
+    got = {r["page_id"]: r["text"] for r in extract.extract_pages(spark.createDataFrame([(i, "u", h) for i, (h, _) in enumerate(made)], PAGES)).collect()}
+    kept = shown = told = 0
+    for i, (_, story) in enumerate(made):
+        inside = [p for p in story if p in got[i]]
+        kept, told, shown = kept + sum(map(len, inside)), told + sum(map(len, story)), shown + len(got[i])
+    print("story kept", kept / told, "of what is shown", kept / shown)
+    assert kept / told >= 0.9 and kept / shown >= 0.9
