@@ -8,10 +8,14 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Where intermediate tables go if the session names no shared folder (single-machine use and tests).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/tomewright"
 
+#: Bits that tell which rows may have a partner: 16 MB of them at most, whatever the number of rows.
+MARKS = 1 << 27
+
 #: Most characters of text that one output batch of a Python operator is built from.
 BATCH_CHARS = 2_000_000
 #: Rows and bytes that go to a Python worker at a time, so that neither side holds more of a partition than this.
@@ -56,6 +60,23 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def set_aside(rows: DataFrame, key: list[str], wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(some, rest) of ``rows``: none of ``rest`` has its key in ``wanted`` (the columns of the key, of equal types).
+
+    ``wanted`` is read once, into a bit for each hash of a key; the bits, ``MARKS`` at most, go to all rows. So where few
+    rows have a partner the others need no shuffle, and what decides is still the join of ``some`` that follows. With very
+    many keys all bits are set, and all rows are in ``some``.
+    """
+    group, bits = fresh(rows, "__group", "__bits")
+    slot = F.pmod(F.xxhash64(*key), F.lit(MARKS)) + 1
+    marks = wanted.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias(group)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias(bits))
+    met = rows.withColumn(group, F.bitmap_bucket_number(slot)).join(F.broadcast(marks), group, "left")  # MARKS / 32768 rows of 4 KB at most
+    at = F.bitmap_bit_position(slot).cast("int")
+    byte = F.conv(F.hex(F.substring(bits, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    may = F.coalesce(F.call_function("shiftright", byte, at % 8).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    return met.where(may).drop(group, bits), met.where(~may).drop(group, bits)
+
+
 def arrow_map(df: DataFrame, function, schema) -> DataFrame:
     """``mapInArrow`` with batches of bounded rows and bytes; the bounds are set for the session, lower ones stay."""
     conf = df.sparkSession.conf

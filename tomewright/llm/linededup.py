@@ -5,15 +5,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, fresh, materialize, slices, text_lengths, texts_of
+from .common import arrow_map, fresh, materialize, set_aside, slices, text_lengths, texts_of
 
 #: Words from which a repeated run of lines is deleted.
 MIN_WORDS = 50
-#: Bits that mark which documents may have a repeated run: 16 MB at most, whatever the number of documents.
-MARKS = 1 << 27
 
 ANCHORS = pa.schema([("doc", pa.int64()), ("th", pa.int64()), ("fp", pa.int64()), ("lines", pa.list_(pa.int64())), ("at", pa.list_(pa.int32())), ("shortest", pa.list_(pa.int32())), ("longest", pa.list_(pa.int32()))])
 ANCHORS_DDL = "doc long, th long, fp long, lines array<long>, at array<int>, shortest array<int>, longest array<int>"
@@ -103,23 +101,6 @@ def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_
     return runs.join(heads, "run").where(elsewhere).groupBy("doc", "th").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
 
-def marks_of(keys: DataFrame) -> DataFrame:
-    """(group, bits) of the ``slot`` of each row of ``keys``: maps of 32768 bits, ``MARKS`` / 32768 of them at most."""
-    at = F.col("slot") + 1
-    return keys.groupBy(F.bitmap_bucket_number(at).alias("group")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
-
-
-def slot_of(*key: str) -> Column:
-    return F.pmod(F.xxhash64(*key), F.lit(MARKS))
-
-
-def marked(slot: Column, bits: Column) -> Column:
-    """Whether the bit of a slot is set in its map."""
-    at = F.bitmap_bit_position(slot + 1).cast("int")
-    byte = F.conv(F.hex(F.substring(bits, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.call_function("shiftright", byte, at % 8).bitwiseAND(F.lit(1)) == 1, F.lit(False))
-
-
 def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, removed: str = "removed_lines", drop_emptied: bool = False) -> DataFrame:
     """``docs`` with the repeated runs cut out of ``text``, and ``removed``, the number of lines that went.
 
@@ -130,14 +111,12 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_wor
     a column of ``docs`` named like ``removed`` is replaced.
     """
     spans = materialize(repeated_lines(docs.select(F.col(id), F.col(text)), id, text, min_words), "line-spans")
-    doc, th, found, group, bits = fresh(docs, "__doc", "__th", "__spans", "__group", "__bits")
+    doc, th, found = fresh(docs, "__doc", "__th", "__spans")
     keyed = docs.drop(removed).withColumn(th, F.xxhash64(text)).withColumn(doc, F.col(id).cast("long"))
-    # documents without a mark have no repeated run: they stay where they are, and only the others are sent to their spans
-    marks = marks_of(spans.select(slot_of("doc", "th").alias("slot"))).select(F.col("group").alias(group), F.col("bits").alias(bits))
-    met = keyed.withColumn(group, F.bitmap_bucket_number(slot_of(doc, th) + 1)).join(F.broadcast(marks), group, "left")  # 16 MB at most
-    may = marked(slot_of(doc, th), F.col(bits))
-    clean = met.where(~may).withColumn(removed, F.lit(0))
-    both = met.where(may).drop(group, bits).join(spans.select(F.col("doc").alias(doc), F.col("th").alias(th), F.col("spans").alias(found)), [doc, th], "left")
+    keys = spans.select(F.col("doc").alias(doc), F.col("th").alias(th))
+    some, clean = set_aside(keyed, [doc, th], keys)  # the others have no repeated run and stay where they are
+    clean = clean.withColumn(removed, F.lit(0))
+    both = some.join(spans.select(F.col("doc").alias(doc), F.col("th").alias(th), F.col("spans").alias(found)), [doc, th], "left")
     lines = F.split(F.col(text), "\n", -1)
     merged = F.aggregate(  # sorted spans become few that do not overlap
         found,

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bitslice import Forest, linked_pairs
-from .common import arrow_map, materialize, slices, text_lengths, texts_of
+from .common import arrow_map, fresh, materialize, set_aside, slices, text_lengths, texts_of
 from .graph import connected_components
 
 SEED = 42
@@ -198,7 +198,8 @@ def shingle_sets(docs: DataFrame, need: DataFrame, width: int) -> DataFrame:
                 ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*lists, np.empty(0, np.int64)])))], names=["id", "set"])
 
-    picked = docs.join(need, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    need = materialize(need, "shingle-ids")
+    picked = set_aside(docs, ["id"], need)[0].join(need, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
     return materialize(arrow_map(picked, sets, "id long, set array<long>"), "shingle-sets")
 
 
@@ -353,5 +354,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
 
 def keep_first(docs: DataFrame, groups: DataFrame, id: str = "doc_id") -> DataFrame:
     """Of each group the document with the smallest id, all columns kept; rows with a null id all stay."""
-    gone = groups.where(F.col(id) != F.col("component_id")).select(id).distinct()
-    return docs.join(gone, id, "left_anti").select(*docs.columns)
+    (key,) = fresh(docs, "__key")
+    gone = materialize(groups.where(F.col(id) != F.col("component_id")).select(F.col(id).cast("long").alias(key)).distinct(), "near-copies")
+    some, rest = set_aside(docs.withColumn(key, F.col(id).cast("long")), [key], gone)
+    return rest.select(*docs.columns).unionByName(some.join(gone, key, "left_anti").select(*docs.columns))
