@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomewright.llm import linededup, mixing, pieces, quality, simhash
-from tomewright.llm.common import materialize
+from tomewright.llm.common import materialize, set_aside
 from tomewright.llm.queries import LEVELS, SEED, WEIGHTS
 
 #: Share of the tokens left that the mixture asks for; a document is taken once at most.
@@ -55,8 +55,10 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null and empty texts and rows with a null id take no part and go. Null languages and sources are the level "". Repeated
     rows count each, and all rows of an id stay if any of them is taken; documents of equal rank are taken by id.
     """
-    taken = mixing.mix(docs, LEVELS, WEIGHTS, FRACTION, seed=SEED, max_epochs=1).select("doc_id").distinct()
-    return docs.join(taken, "doc_id", "left_semi").select(*docs.columns)
+    taken = materialize(mixing.mix(docs, LEVELS, WEIGHTS, FRACTION, seed=SEED, max_epochs=1).select("doc_id").distinct(), "mix-taken")
+    left = materialize(docs.select("doc_id").join(taken, "doc_id", "left_anti").distinct(), "mix-left")
+    some, rest = set_aside(docs, ["doc_id"], left)  # most documents are taken: they stay where they are
+    return rest.select(*docs.columns).unionByName(some.join(taken, "doc_id", "left_semi").select(*docs.columns))
 
 
 def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
