@@ -65,10 +65,13 @@ def q74_audio_states(spark, d):
     return catalog.full_audio(books(spark, d)).select("id", coverage.audio_state(F.col("releaseDate"), has, AS_OF).alias("state"))
 
 
-@query(f"""with {BOOKS_SQL}, {KEPT_SQL},
+GROUPED_SQL = f"""{BOOKS_SQL}, {KEPT_SQL},
 audio as (select *, coalesce("seriesKey", id) sid, id not in (select id from kept) gone, coalesce("seriesKey", id) || case when "seriesNumber" is null then '-' || id || '-' else '-' || cast("seriesNumber" as int) || '-' end || left({IDENTITY_SQL.format('title')}, 70) wid from keyed where edition = 'audiobook'),
 g as (select sid, 'work-legacy-' || wid work_id, arg_min(struct_pack(id := id, title := title, number := "seriesNumber", series := series, author := author), struct_pack(a := gone, b := -popularity, c := "coverUrl" = '', d := id)) best,
-case when bool_and(gone) then min("releaseDate") else min("releaseDate") filter (where not gone) end date, list(id order by ordinal) ids, min(ordinal) ordinal from audio group by 1, 2),
+case when bool_and(gone) then min("releaseDate") else min("releaseDate") filter (where not gone) end date, list(id order by ordinal) ids, min(ordinal) ordinal from audio group by 1, 2)"""
+
+
+@query(f"""with {GROUPED_SQL},
 s as (select sid, list(struct_pack(n := coalesce(best.number, 9999), d := coalesce(date, ''), t := best.title, o := ordinal, b := best, w := work_id, i := ids) order by coalesce(best.number, 9999), coalesce(date, ''), best.title, ordinal) works from g group by 1),
 gen as (select sid, list(struct_pack(o := ordinal, p := p, g := gg) order by ordinal, p) gs from (select sid, ordinal, generate_subscripts(subgenres, 1) p, unnest(subgenres) gg from audio) group by 1)
 select sid id, coalesce(nullif(works[1].b.series, ''), works[1].b.title) title, works[1].b.author author, works[1].b.id cover_book_id, list_transform(works, lambda x: x.w) work_ids, list_transform(works, lambda x: array_to_string(x.i, ' ')) editions,
@@ -79,6 +82,33 @@ def q75_group_series(spark, d):
     return found.select("id", "title", "author", "cover_book_id", F.col("works.work_id").alias("work_ids"), F.transform("works", lambda w: F.array_join(w["edition_ids"], " ")).alias("editions"), "genres")
 
 
+@query(f"""with {GROUPED_SQL}, known as (select *, best.number is not distinct from 1 has from g),
+s as (select sid, list(struct_pack(b := best, w := work_id, t := case when has then 'Canon ' || sid else best.title end, i := case when has then list_concat(['extra'], ids) else ids end, v := has) order by coalesce(best.number, 9999), coalesce(date, ''), case when has then 'Canon ' || sid else best.title end, ordinal) works from known group by 1),
+o as (select *, cast(nullif(regexp_extract(sid, 'Brand#(\\d+)', 1), '') as int) n from s)
+select sid id, case when n % 2 = 0 then 'Known ' || n else coalesce(nullif(works[1].b.series, ''), works[1].b.title) end title, case when n is null then works[1].b.author when n % 3 = 0 then '' else 'Reviewed' end author, case when n is null then 'unknown' else 'complete' end status,
+list_transform(works, lambda x: x.t || '|' || array_to_string(x.i, ' ') || case when x.v then '!' else '' end) works from o""")
+def q105_canonical_series(spark, d):
+    """Reviewed facts of series, a blank title counting as none and a blank author as one, and canonical works."""
+    rows = books(spark, d)
+    first = series.group_works(rows).where("number = 1")
+    canonical = first.select("work_id", F.concat(F.lit("Canon "), "series_id").alias("title"), F.lit(1.0).alias("number"), F.array(F.lit("extra")).alias("edition_ids"), F.lit(True).alias("verified"))
+    n = F.regexp_extract("id", r"(\d+)", 1).cast("int")
+    overrides = rows.where("series <> ''").select(F.col("series").alias("id")).distinct().select(
+        "id", F.when(n % 2 == 0, F.concat(F.lit("Known "), n.cast("string"))).otherwise("").alias("title"), F.when(n % 3 == 0, "").otherwise("Reviewed").alias("author"), F.lit(None).cast("array<string>").alias("genres"), F.lit("complete").alias("status"))
+    found = series.group_series(rows, overrides, canonical)
+    shown = F.transform("works", lambda w: F.concat(w["title"], F.lit("|"), F.array_join(w["edition_ids"], " "), F.when(w["verified"], "!").otherwise("")))
+    return found.select("id", "title", "author", "status", shown.alias("works"))
+
+
+@query(f"""with {BOOKS_SQL}, {SHELF_SQL}, f as (select series_id, arg_min(book_id, number) first_id from sh group by 1)
+select f.series_id id, case regexp_extract(f.series_id, '(\\d+)', 1)::int % 3 when 0 then 'The ' || f.series_id else b.title end title, first_id starter_id from f join b on b.id = first_id""")
+def q106_display_titles(spark, d):
+    """The series' own title, else that of its first mainline book."""
+    rows = books(spark, d)
+    shelves = _shelves(rows).withColumn("title", F.when(F.regexp_extract("id", r"(\d+)", 1).cast("int") % 3 == 0, F.col("title")).otherwise(" "))
+    return series.display_titles(shelves, rows)
+
+
 @query(f"""with {BOOKS_SQL}, {SHELF_SQL}, t as (select series_id, lower(concat_ws(' ', 'The ' || series_id, 'Credit ' || regexp_extract(series_id, '(\\d+)', 1), 'alias' || regexp_extract(series_id, '(\\d+)', 1), 'litrpg', string_agg(concat_ws(' ', sh.title, narrator), ' '))) hay from sh left join b on b.id = sh.book_id group by series_id)
 select series_id id from t where contains(hay, 'ned 2') and contains(hay, 'litrpg') and contains(hay, 'alias')""")
 def q76_search_series(spark, d):
@@ -103,12 +133,14 @@ def _score_sql() -> str:
     return f"{add(d)} d, {add(w)} w, {' + '.join(n)} n, {' + '.join(s)} st"
 
 
-RECOMMEND_SQL = f"""{BOOKS_SQL}, {KEPT_SQL},
-r as (select *, case when taxonomy = '1' then coalesce(features, cast([] as varchar[])) end rf, row_number() over (partition by case when series <> '' then "seriesKey" else id end order by edition <> 'audiobook', coalesce("seriesNumber", 9999), popularity desc, id) rn from keyed),
-p as (select c.*, s.rf srf, s.subgenres sg, {_score_sql().replace('s.features', 's.rf')} from r c, (select * from r where id = 'p8') s where c.rn = 1 and c.id <> s.id and (c."seriesKey" = s."seriesKey") is not true),
+#: The score of candidates ``r`` against edition p8, and the ranking with its cap per author.
+RANKED_SQL = f"""seed as (select *, case when taxonomy = '1' then coalesce(features, cast([] as varchar[])) end rf from keyed where id = 'p8'),
+p as (select c.*, s.rf srf, s.subgenres sg, {_score_sql().replace('s.features', 's.rf')} from r c, seed s where c.id <> s.id and (c."seriesKey" = s."seriesKey") is not true),
 q as (select *, n >= 3 and w > 0 and st > 0 semantic, len(list_intersect(subgenres, sg)) / greatest(len(list_distinct(list_concat(subgenres, sg))), 1) g, least(2, coalesce(len(list_intersect(rf, srf)), 0)) mech from p),
 scored as (select id, author, round(least(1.0, (case when semantic then (1 - d / w) * 0.85 + g * 0.15 else g * 0.65 * (1 - d / (1 + w)) end) * 0.96 + least(popularity / 100, 1.0) * 0.04 + mech * 0.02), 6) score, case when semantic then 'taste' else 'genres' end "method" from q where semantic or g > 0),
 top as (select id, score, "method" from (select *, row_number() over (partition by {IDENTITY_SQL.format('author')} order by score desc, id) rn from scored) where rn <= {PER_AUTHOR} order by score desc, id limit {RECOMMEND_LIMIT})"""
+RECOMMEND_SQL = f"""{BOOKS_SQL}, {KEPT_SQL},
+r0 as (select *, case when taxonomy = '1' then coalesce(features, cast([] as varchar[])) end rf, row_number() over (partition by case when series <> '' then "seriesKey" else id end order by edition <> 'audiobook', coalesce("seriesNumber", 9999), popularity desc, id) rn from keyed), r as (select * from r0 where rn = 1), {RANKED_SQL}"""
 
 
 def _recommended(spark, d):
@@ -138,18 +170,29 @@ def q25_series_disclosure(spark, d):
     return series.content_index(_shelves(rows), rows)
 
 
-@query(f"""with {CLAIMS_SQL}, start as (select * from sh where number = 1 and has_audio),
+ELIGIBLE_SQL = f"""{CLAIMS_SQL}, start as (select * from sh where number = 1 and has_audio),
 met as (select start.series_id, start.work_id, start.book_id own, x.* from (select series_id, work_id, book_id, unnest(list_distinct(list_concat([book_id], edition_ids))) eid from start) start join keyed x on x.id = start.eid where edition = 'audiobook'),
 rich as (select distinct series_id, listing from met where not (thin or votes = 0)),
 left_ as (select * from met where not (thin or votes = 0) or (series_id, listing) not in (select (series_id, listing) from rich)),
 ok as (select l.* from left_ l left join (select distinct members.id from members join facts using (series_id)) f using (id)
-where scope = 'indexed' and not {PRESENT_SQL.format(s='harem')} and not {PRESENT_SQL.format(s='sexualized')} and not {PRESENT_SQL.format(s='explicit')} and (f.id is null or (harem_verdict = 'absent' and harem_confidence >= 0.8)))
-select series_id, work_id, id book_id from (select *, row_number() over (partition by series_id order by id <> own, popularity desc, "coverUrl" = '', id) rn from ok) where rn = 1""")
+where scope = 'indexed' and not {PRESENT_SQL.format(s='harem')} and not {PRESENT_SQL.format(s='sexualized')} and not {PRESENT_SQL.format(s='explicit')} and (f.id is null or (harem_verdict = 'absent' and harem_confidence >= 0.8))),
+entry as (select * from (select *, row_number() over (partition by series_id order by id <> own, popularity desc, "coverUrl" = '', id) rn from ok) where rn = 1)"""
+
+
+@query(f"with {ELIGIBLE_SQL} select series_id, work_id, id book_id from entry")
 def q34_eligible_entry(spark, d):
     rows = books(spark, d)
     return recommend.eligible_entries(_shelves(rows), rows)
 
 
+@query(f"""with {ELIGIBLE_SQL}, r as (select k.* replace (entry.series_id as "seriesKey", 'Credit ' || regexp_extract(entry.series_id, '(\\d+)', 1) as author), case when k.taxonomy = '1' then coalesce(k.features, cast([] as varchar[])) end rf from entry join keyed k using (id)), {RANKED_SQL}
+select series_id, work_id, top.id book_id, score, "method" from top join entry on entry.id = top.id""")
+def q104_recommend_series(spark, d):
+    """Entry points of other series, an author holding two places at most."""
+    rows = books(spark, d)
+    return recommend.recommend_series(rows.where("id = 'p8'"), _shelves(rows), rows).select("series_id", "work_id", "book_id", "score", "method")
+
+
 @query("select o_orderkey, cast((o_orderkey % 2 = 0)::int + (o_orderkey % 3 = 0)::int + 1 as int) n from orders")
 def q78_preference_count(spark, d):
     k = F.col("o_orderkey")
@@ -262,6 +305,23 @@ def q27_rehome_precedence(spark, d):
     return library.rehome(lost.unionByName(own), rows, shelves).select("user_id", "id", "status", "updated_at")
 
 
+@query(f"""with {WORKS_SQL}, s as (select distinct series_id from w), f as (select 'u' || o_custkey user_id, case when o_orderkey % 2 = 0 then 'once-' else '' end || 'o' || o_orderkey % 900 series_id, strftime(o_orderdate, '%Y-%m-%d') d from orders)
+select user_id, case when 'o' || id in (select series_id from s) then 'o' || id else f.series_id end series_id, min(d) followed_at from (select *, regexp_extract(series_id, 'o(\\d+)$', 1) id from f) f group by 1, 2""")
+def q107_migrate_follows(spark, d):
+    """Follows of former names move to the series, the earliest stamp staying."""
+    shelves = works(spark, d).select(F.col("series_id").alias("id"), F.col("series_ordinal").alias("ordinal")).distinct().withColumn("aliases", F.array(F.concat(F.lit("once-"), "id")))
+    k = F.col("o_orderkey")
+    name = F.concat(F.when(k % 2 == 0, "once-").otherwise(""), F.lit("o"), (k % 900).cast("string"))
+    follows = read(spark, d, "orders").select(F.concat(F.lit("u"), _string("o_custkey")).alias("user_id"), name.alias("series_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("followed_at"))
+    return library.migrate_follows(follows, shelves)
+
+
+@query(f"""with {WORKS_SQL}, {ENTRIES_SQL} select user_id, series_id, min(updated_at) followed_at from e group by 1, 2""")
+def q108_implied_follows(spark, d):
+    rows = _aliased(works(spark, d))
+    return library.implied_follows(_entries(spark, d, rows), rows)
+
+
 @query("""with b as (select user_id, event_type, max(event_id) v from events where event_id % 3 <> 1 group by 1, 2), l as (select user_id, event_type, max(event_id) v from events where event_id % 3 <> 2 and event_id % 5 <> 0 group by 1, 2),
 r0 as (select user_id, event_type, max(event_id) v from events where event_id % 4 <> 3 group by 1, 2), r1 as (select user_id, event_type, max(event_id) v from events where event_id % 4 <> 2 group by 1, 2),
 met as (select distinct user_id, cast(user_id % 3 * 2 + 1 as bigint) versions from events), k as (select distinct user_id, event_type from events),
@@ -665,3 +725,24 @@ def q103_coverage_codes(spark, d):
     c = F.col("coverage")
     found = coverage.assess_coverage(o.select(sid.alias("series_id")), manifests, made, editions, NOW)
     return found.select(F.col("series_id").cast("long").alias("o_orderkey"), c["status"].alias("status"), F.get(c["issues"], F.lit(0))["code"].alias("code"), F.size(c["issues"]).alias("n_issues"))
+
+
+@query("""select c_custkey, c_custkey % 2 = 0 harem, c_custkey % 2 = 0 unknown_, c_custkey % 3 = 0 adult, case when c_custkey % 5 = 0 then null else 2 end::int version from customer""")
+def q109_stored_values(spark, d):
+    """A reader's library, filters and consent from stored values, of which the last ones count."""
+    c = read(spark, d, "customer").select("c_custkey")
+    k = F.col("c_custkey")
+    put = lambda key, json, seq: c.select(k.alias("user_id"), F.lit(key).alias("key"), json.alias("json"), F.lit(seq).alias("seq"))
+    rows = put("filters", F.lit('{"hideHarem": false}'), 1).unionByName(put("filters", F.when(k % 2 == 0, '{"hideHarem": true, "hideUnknown": true}').otherwise('{"hideHarem": false, "hideUnknown": "x"}'), 2))
+    rows = rows.unionByName(put("consent", F.when(k % 3 == 0, '{"birthDate": "1970-02-03", "attestedAt": "1998-01-01", "allowAdult": true}').when(k % 3 == 1, '{"birthDate": "1990-02-03", "allowAdult": true}').otherwise('{"allowAdult": true}'), 3))
+    rows = rows.unionByName(put("library", F.when(k % 5 == 0, "no library").otherwise('{"version":2,"series":{},"books":{}}'), 4))
+    found = sources.stored(rows, NOW)
+    return found.select(F.col("user_id").alias("c_custkey"), F.col("filters.hideHarem").alias("harem"), F.col("filters.hideUnknown").alias("unknown_"), F.col("consent.allowAdult").alias("adult"), F.col("library.version").alias("version"))
+
+
+@query("""select c_custkey, case when c_custkey % 2 = 0 then ['Cover is odd', 'No runtime'] else ['No runtime'] end issues from customer""")
+def q110_reader_issues(spark, d):
+    """Issues of a listing, without work still to do and internal tooling."""
+    k = F.col("c_custkey")
+    raw = F.array(F.when(k % 2 == 0, " Cover is odd").otherwise("Cover needs review"), F.lit("No runtime"), F.lit("robo failed"), F.lit("No runtime "), F.lit(None).cast("string"))
+    return read(spark, d, "customer").select("c_custkey", reader.reader_issues(raw, ("robo",)).alias("issues"))

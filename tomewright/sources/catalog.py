@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..constants import LOG_TAIL, MAX_BODY, MAX_IMPORT
+from ..functions import signals
 
 
 def read_catalog(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -100,6 +101,18 @@ def parse_library(json: Column, most: int = MAX_IMPORT) -> Column:
     return F.when(F.octet_length(json) <= most, lib)
 
 
+def stored(rows: DataFrame, as_of: str) -> DataFrame:
+    """(user_id, library, filters, consent) from a table of stored values (user_id, key, json, seq): the last one of each key.
+
+    A library that does not parse is null, filters keep their defaults where they say nothing, and the unlock of a consent is
+    worked out anew from the birth date.
+    """
+    last = rows.groupBy("user_id").agg(*[F.max_by("json", F.when(F.col("key") == k, F.col("seq"))).alias(k) for k in ("library", "filters", "consent")])
+    c = F.from_json("consent", "birthDate string, attestedAt string, allowAdult boolean")
+    filters = F.struct(*[v.alias(k) for k, v in signals.parse_filters(F.col("filters")).items()])
+    return last.select("user_id", parse_library(F.col("library")).alias("library"), filters.alias("filters"), signals.consent(c["birthDate"], c["attestedAt"], c["allowAdult"], as_of).alias("consent"))
+
+
 def _books_type() -> str:
     return "map<string,struct<status:string,rating:double,updatedAt:string,work:struct<series:string,number:double>>>"
 
