@@ -229,7 +229,6 @@ def q24_membership_conflict(spark, d):
     return series.membership(rows, "k", "l_suppkey", "w").select("k.*", "l_suppkey", "w")
 
 
-# --- progress ---------------------------------------------------------------------------------------------------------
 # --- similarity -------------------------------------------------------------------------------------------------------
 @query("""with g as (select p_brand, list(distinct p_type || '-' || p_size) types from part group by 1)
 select a.p_brand brand, b.p_brand other, round(len(list_intersect(a.types, b.types)) / greatest(len(list_distinct(list_concat(a.types, b.types))), 1), 6) jaccard from g a, g b where a.p_brand = 'Brand#11' and b.p_brand <> a.p_brand""")
