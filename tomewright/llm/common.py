@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 #: Where intermediate tables go if the session names no shared folder (single-machine use and tests).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/tomewright"
 
-#: Bits that tell which rows may have a partner: 16 MB of them at most, whatever the number of rows.
-MARKS = 1 << 27
+#: Bits that tell which rows may have a partner: 4 MB of them at most, whatever the number of rows.
+MARKS = 1 << 25
 
 #: Most characters of text that one output batch of a Python operator is built from.
 BATCH_CHARS = 2_000_000
