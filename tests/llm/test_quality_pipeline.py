@@ -165,7 +165,15 @@ def test_run_gives_the_same(spark):
 
 
 def test_pipeline_of_odd_documents(spark, tables, odd, none):
-    plain = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    """Every stage on nulls, empty and very long texts, repeated rows and ids: what its docstring says."""
+    plain, got = odd.select("doc_id", "text", "lang", "source", "n_chars"), {}
+    more = tables[0].where("doc_id > 7").select(plain.columns).unionByName(plain)  # for the classifier to learn from
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, SF).count() == 0
-        stage(spark, plain, SF).collect()
+        got[name] = stage(spark, more if name == "quality_classifier" else plain, SF).collect()
+    ids = {name: [r["doc_id"] for r in rows] for name, rows in got.items()}
+    assert not {2, 3, 4} & set(ids["quality_classifier"]) and ids["quality_classifier"].count(1) in (0, 2)
+    assert sorted(map(str, ids["line_dedup"])) == sorted(str(r["doc_id"]) for r in plain.collect())
+    assert set(ids["simhash_near_dedup"]) == {1, 2, None, 5, 6, 7} and ids["simhash_near_dedup"].count(1) == ids["simhash_near_dedup"].count(6) == 2
+    assert not {None, 2, 3} & set(ids["mixing_sources"]) and set(ids["mixing_sources"]) <= {1, 4, 5, 6, 7} and ids["mixing_sources"].count(1) in (0, 2)
+    assert len(ids["sentencepiece_encoding"]) == plain.count() and all(len(r["ids"]) == 1 and r["decoded"] == "" for r in got["sentencepiece_encoding"] if r["doc_id"] in (2, 3))
