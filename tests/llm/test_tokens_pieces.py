@@ -4,7 +4,7 @@ import random
 import numpy as np
 import public_tokenizers
 import sentencepiece
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from tomewright.llm import pieces, queries, tokens
@@ -28,6 +28,9 @@ def test_encodes_likely_pieces(text):
 
 @settings(max_examples=400, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 31_999), st.integers(0, 262)), max_size=12))
+@example([197, 1, 131])
+@example([197, 2, 131])
+@example([1, 197, 131, 2])
 def test_decodes_any_ids(ids):
     assert OWN.decode(ids) == LIB.decode(ids)
 

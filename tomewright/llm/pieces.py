@@ -161,9 +161,9 @@ class PieceModel:
         return [*ids, self.eos] if eos else ids
 
     def decode(self, ids) -> str:
-        raw = b"".join(map(self.raw.__getitem__, ids))
+        raw = list(map(self.raw.__getitem__, ids))
         try:
-            text = raw.decode()
+            text = b"".join(raw).decode() if b"" not in raw[:-1] else self._repair(ids)  # bytes don't join across a control id
         except UnicodeDecodeError:
             text = self._repair(ids)
         return text[1:] if text.startswith(" ") and self._leads(ids) else text
