@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import urls
+from . import spelling, urls
 
 
 def near_vectors_sql(cosine: float) -> str:
@@ -69,3 +69,49 @@ union all select k, good, a, sum(x) r from (select r.k + 1 k, good, m.b a, r.r *
         "f as (select page_id, host, path, rule, told, round(coalesce(trust, 0), 6)::double trust, round(coalesce(distrust, 0), 6)::double distrust from j left join t using (host))",
     ]
     return f"""with recursive {', '.join(ctes)} select page_id, host, path, rule, coalesce(told, case when distrust >= {urls.LEAST_DISTRUST} and distrust > {urls.RATIO} * trust then 'block' else 'allow' end) verdict, trust, distrust from f"""
+
+
+def top_products_sql(k: int) -> str:
+    return f"""with v as (select vec_id, list_transform(cast(embedding as double[]), lambda x: floor(1024 * x)) e from embeddings where vec_id is not null and embedding is not null and len(embedding) > 0
+and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id query_id, v.vec_id, cast(list_dot_product(q.e, v.e) as bigint) score from v q join v on len(q.e) = len(v.e) and q.vec_id <> v.vec_id where q.vec_id % 100 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s)
+select query_id, cast(rank as int) rank, vec_id, score from r where rank <= {k}"""
+
+
+def spelling_sql() -> str:
+    """CRC-32 is spelled out: a fold over the bytes with the remainder of each byte worked out beforehand."""
+    shifted = "range(256)"
+    for _ in range(8):
+        shifted = f"list_transform({shifted}, lambda x: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)"
+    runs = f"[{spelling.LETTERS}]{{{spelling.LEAST_LENGTH},}}"
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""with recursive t as (select {shifted} tab),
+r as (select coalesce(cast(doc_id as varchar), '') doc, translate(unnest(regexp_extract_all(text, '{runs}')), '{upper}', '{lower}') w from documents),
+d as (select doc, w, count(*) n from r group by all),
+h as (select *, hex(encode(doc || ':' || w)) x from d),
+c as (select w, n, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(len(x) // 2), lambda i: cast('0x' || substr(x, 2 * i::int + 1, 2) as bigint))), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) crc from h, t),
+k as (select case when crc % {spelling.DAMAGE} = 0 then substr(w, 1, (crc % length(w))::int) || substr(w, (crc % length(w))::int + 2) else w end word, n from c),
+v as (select word, sum(n)::bigint n from k where length(word) >= {spelling.LEAST_LENGTH} group by 1 having sum(n) >= {spelling.LEAST_COUNT}),
+e as (select word, n, i, substr(word, 1, i::int - 1) || substr(word, i::int + 1) rest from (select word, n, unnest(range(1, length(word) + 1)) i from v)),
+p as (select distinct a.word, a.n, b.word t, b.n tn from e a join e b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+union select e.word, e.n, v.word, v.n from e join v on e.rest = v.word union select v.word, v.n, e.word, e.n from e join v on e.rest = v.word),
+g as (select word, count(*) n_near, arg_min(t, (-tn, t)) t, max(tn) tn from p group by 1),
+f as (select v.word, v.n, coalesce(n_near, 0) n_near, case when tn >= {spelling.RATIO} * v.n then t end form, case when tn >= {spelling.RATIO} * v.n then tn end form_n from v left join g using (word)),
+o as (select word, word here, 0 k from f union all select o.word, f.form, k + 1 from o join f on f.word = o.here where f.form is not null)
+select word, form, root, n, n_near, form_n from f join (select word, arg_max(here, k) root from o group by 1) using (word)"""
+
+
+def audit_sql() -> str:
+    """Each order is added up from the mask cells; the fixed conditions are those of ``audit.text_filters``."""
+    return """with recursive d as (select doc_id, coalesce(source, '') part, coalesce(text, '') t from documents),
+w as (select *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') words, min(doc_id) over (partition by t) least from d),
+l as (select doc_id, max(case when quality = 1 then 1 else 0 end) good, max(case when toxic = 1 then 1 else 0 end) toxic from labels group by 1),
+m as (select part, coalesce(good, 0) good, coalesce(toxic, 0) toxic, case when len(words) < 200 then 1 else 0 end + case when 100 * len(list_distinct(words)) < 50 * len(words) then 2 else 0 end
++ case when 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t) then 4 else 0 end + case when regexp_matches(t, '[#$%&*|]') then 8 else 0 end + case when doc_id > least then 16 else 0 end mask from w left join l using (doc_id)),
+c as (select part, mask, count(*) n, sum(good) good, sum(toxic) toxic from m group by 1, 2),
+o as (select '' o union all select o || x from o, (select unnest(['A', 'B', 'C', 'D', 'E']) x) where not contains(o, x)),
+s as (select o filter_order, step, (1 << (strpos('ABCDE', substr(o, step, 1)) - 1)::int) bit, coalesce(list_sum(list_transform(range(1, step), lambda k: 1 << (strpos('ABCDE', substr(o, k::int, 1)) - 1)::int)), 0)::int before from (select o, unnest(range(1, 6))::int step from o where length(o) = 5)),
+a as (select part, filter_order, step, bit, coalesce(sum(n) filter (mask & (before | bit) = 0), 0) kept, coalesce(sum(n) filter (mask & before = 0 and mask & bit > 0), 0) removed, coalesce(sum(n) filter (mask & before > 0 and mask & bit > 0), 0) redundant,
+coalesce(sum(n) filter (mask = bit), 0) unique_fails, coalesce(sum(good) filter (mask & before = 0 and mask & bit > 0), 0) good_lost, coalesce(sum(toxic) filter (mask & before = 0 and mask & bit > 0), 0) toxic_lost from c cross join s group by 1, 2, 3, 4)
+select part, filter_order, step::int step, kept::bigint kept, removed::bigint removed, redundant::bigint redundant, unique_fails::bigint unique_fails, good_lost::bigint good_lost, toxic_lost::bigint toxic_lost, sum(removed) over (partition by part, bit)::bigint shapley from a"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extract, linededup, mixing, oracles, pieces, quality, simhash, tokens, urls, vectors
+from . import audit, extract, linededup, mixing, mtree, oracles, pieces, quality, simhash, spelling, tokens, urls, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,11 +64,23 @@ def op10_url_filters(spark, sf_dir):
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_exact_top_k(spark, sf_dir):
+    return mtree.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op12_spelling_variants(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark, sf_dir):
+    return audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup, op2_token_counts, op3_embedding_near_dedup, op4_sentencepiece, op5_mixing, op6_html_extraction, op7_line_dedup, op8_quality_classifier,
-        op9_nearest_neighbours, op10_url_filters,
+        op9_nearest_neighbours, op10_url_filters, op11_exact_top_k, op12_spelling_variants, op13_filter_audit,
     )
 }
 #: The others have no SQL form: hashes, encodings, trained models, or approximate search.
@@ -76,4 +88,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_embedding_near_dedup": oracles.near_vectors_sql(0.93),
     "op5_mixing": oracles.mix_sql(LEVELS, WEIGHTS, FRACTION, SEED, EPOCHS),
     "op10_url_filters": oracles.urls_sql(urls.RULES),
+    "op11_exact_top_k": oracles.top_products_sql(10),
+    "op12_spelling_variants": oracles.spelling_sql(),
+    "op13_filter_audit": oracles.audit_sql(),
 }
