@@ -120,3 +120,50 @@ def deployment_allowed(now: Column, event: Column, override: Column, reserve_min
     minute = F.hour(now) * 60 + F.minute(now) + F.second(now) / 60
     inside = (F.hour(now) >= 2) & (minute + reserve_minutes <= 22 * 60)
     return F.coalesce(event.isin("schedule", "workflow_dispatch") & (inside | ((event == "workflow_dispatch") & override)), F.lit(False))
+
+
+#: Which column of a table names the key of which other one, and that rows go with what they name: the stores of accounts.
+REFERENCES = (("sessions", "user_id", "users", "id"), ("libraries", "user_id", "users", "id"))
+
+
+def delete_order(root: str, references: tuple[tuple[str, str, str, str], ...]) -> list[str]:
+    """Tables that a delete from ``root`` may reach, each after all that it depends on; a circle is refused."""
+    reach, todo = {root}, [root]
+    while todo:
+        parent = todo.pop()
+        more = {child for child, _, p, _ in references if p == parent} - reach
+        reach |= more
+        todo += sorted(more)
+    order: list[str] = []
+    while len(order) < len(reach):
+        free = sorted(t for t in reach if t not in order and all(p in order or p not in reach for c, _, p, _ in references if c == t))
+        if not free:
+            raise ValueError(f"references in a circle: {sorted(reach - set(order))}")
+        order += free
+    return order
+
+
+def delete_cascade(tables: dict[str, DataFrame], root: str, doomed: Column, references: tuple[tuple[str, str, str, str], ...] = REFERENCES) -> dict[str, DataFrame]:
+    """``tables`` without the rows of ``root`` that ``doomed`` selects and without all that names them, at any distance.
+
+    Along each (child, column, parent, key) the rows of the child whose column is the key of a row that goes go too, whichever
+    of several references leads there. A null column names nothing, and a key that is null or still has a row that stays keeps its
+    children. One semi join for each reference, in dependency order; tables that are not reached stay as they are.
+    """
+    gone: dict[str, DataFrame] = {}
+    left = dict(tables)
+    for name in delete_order(root, references):
+        table, hit = tables[name], "__gone"
+        if name == root:
+            marked = table.withColumn(hit, F.coalesce(doomed, F.lit(False)))
+        else:
+            marked = table.withColumn(hit, F.lit(False))
+        for k, (child, column, parent, key) in enumerate(references):
+            if child == name and parent in gone:
+                lost = gone[parent].where(F.col(key).isNotNull()).select(F.col(key).alias(f"__key{k}")).distinct()
+                kept = left[parent].select(F.col(key).alias(f"__key{k}")).distinct()
+                lost = lost.join(kept, f"__key{k}", "left_anti").withColumn(f"__hit{k}", F.lit(True))
+                marked = marked.join(lost, F.col(column) == F.col(f"__key{k}"), "left").withColumn(hit, F.col(hit) | F.coalesce(f"__hit{k}", F.lit(False))).drop(f"__key{k}", f"__hit{k}")
+        gone[name] = marked.where(hit).select(*table.columns)
+        left[name] = marked.where(~F.col(hit)).select(*table.columns)
+    return left

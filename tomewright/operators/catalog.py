@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import GENRES, PRIOR_RATING, PRIOR_VOTES, SEARCH_LIMIT, UNNUMBERED
 from ..functions.signals import book_signals, passes_filters
 from ..functions.text import edition_kind, matches_all, normalize_identity, number_text
+from ..sources.search_index import build_index
 
 
 def popularity(rating: Column, votes: Column) -> Column:
@@ -74,10 +75,20 @@ def genre_labels(genres: Column) -> Column:
     return F.transform(F.coalesce(genres, F.array()), lambda g: F.coalesce(labels[g], g))
 
 
-def search_books(books: DataFrame, query: str) -> DataFrame:
-    """Books of which every term of the query is somewhere in title, series, credits, subtitle or genre labels."""
+def book_text() -> Column:
+    """What a search of books looks through: title, series, credits, subtitle and genre labels."""
     parts = [F.coalesce(c, F.lit("")) for c in ("title", "series", "author", "narrator", "subtitle")]
-    return books.where(matches_all(F.concat_ws(" ", *parts, F.array_join(genre_labels(F.col("subgenres")), " ")), query))
+    return F.concat_ws(" ", *parts, F.array_join(genre_labels(F.col("subgenres")), " "))
+
+
+def search_books(books: DataFrame, query: str) -> DataFrame:
+    """Books of which every term of the query is somewhere in the text of the book; a scan of all."""
+    return books.where(matches_all(book_text(), query))
+
+
+def index_books(books: DataFrame, path: str) -> None:
+    """An index with which ``search_index`` finds the ids that ``search_books`` finds, without scanning all texts."""
+    build_index(books.select("id", book_text().alias("text")), path)
 
 
 def matching_audiobooks(books: DataFrame, query: str, genre: str = "all", limit: int = SEARCH_LIMIT) -> DataFrame:

@@ -569,5 +569,6 @@ def q69_percent_read(spark, d):
 
 
 from . import adapted_queries as _adapted  # noqa: E402  registers its queries too
+from . import store_queries as _stores  # noqa: E402
 
-__all__ = ["ORACLES", "QUERIES", "_adapted"]
+__all__ = ["ORACLES", "QUERIES", "_adapted", "_stores"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..constants import LOG_TAIL, MAX_BODY, MAX_IMPORT
 from ..functions import signals
+from .tails import TailSource
 
 
 def read_catalog(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -54,9 +55,12 @@ def _rows(raw: DataFrame, name: str) -> DataFrame:
 
 
 def read_years(spark: SparkSession, folder: str) -> DataFrame:
-    """Books of files named by year, with ``year`` from the name; a filter on it skips files only after listing."""
+    """Books of files named by year, with ``year`` from the name.
+
+    The year comes from the files' metadata, so that a filter on it is decided by names: only files of these years are opened.
+    """
     raw = _document(spark, f"{folder}/[0-9][0-9][0-9][0-9].json", f"books array<struct<{_struct(schemas.BOOK)}>>")
-    one = raw.select(F.regexp_extract(F.input_file_name(), r"(\d{4})\.json", 1).cast("int").alias("year"), F.posexplode("books").alias("ordinal", "r"))
+    one = raw.select(F.substring("_metadata.file_name", 1, 4).cast("int").alias("year"), F.posexplode("books").alias("ordinal", "r"))
     return one.select("year", F.col("ordinal").cast("long").alias("ordinal"), "r.*")
 
 
@@ -123,14 +127,18 @@ def body_fits(body: Column, content_type: Column, most: int = MAX_BODY) -> Colum
 
 
 def log_tail(spark: SparkSession, path: str, size: int = LOG_TAIL) -> DataFrame:
-    """(file, tail): the last bytes of each log, as text; only that much of a file goes on."""
-    raw = spark.read.format("binaryFile").load(path)
-    return raw.select(F.col("path").alias("file"), tail_of(F.col("content"), size).alias("tail"))
+    """(file, tail): the last bytes of each log, as text. Readers seek, so that no more than that is read of a file of any size.
+
+    ``path`` is a folder, a file or a pattern, in a store that pyarrow can open.
+    """
+    spark.dataSource.register(TailSource)
+    raw = spark.read.format("tails").option("size", str(size)).load(path)
+    return raw.select("file", tail_of(F.col("content"), size).alias("tail"))
 
 
 def tail_of(content: Column, size: int = LOG_TAIL) -> Column:
-    """The last bytes of a binary column, as text."""
-    return F.decode(F.substring(content, -size, size), "UTF-8")
+    """The last bytes of a binary column, as text; of a character that is cut, each byte becomes U+FFFD."""
+    return F.make_valid_utf8(F.substring(content, -size, size).cast("string"))
 
 
 def write_libraries(rows: DataFrame, path: str) -> None:
