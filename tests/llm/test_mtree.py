@@ -65,8 +65,8 @@ def test_bounds_save_products():
             far = mtree._between(y, up, x[order][node["center"]], mtree.lifted(x[order][[node["center"]]], most)[0])
             assert far.max() <= node["radius"] + 1e-6 and np.allclose(far, parents[node["lo"] : node["hi"]])
     page = mtree.Page({"dim": 32, "data": x[order].tobytes(), "ids": order.tolist(), "nodes": nodes.tobytes(), "parents": parents.tobytes()}, most)
-    for i in range(0, 4000, 100):
-        scores, ids = page.best(x[i], i, 10, None)
+    asked = np.arange(0, 4000, 100)
+    for i, (scores, ids) in zip(asked.tolist(), page.best(x[asked], asked, 10, np.full(len(asked), mtree.NONE))):
         s = x @ x[i]
         want = [j for j in np.lexsort((np.arange(4000), -s)).tolist() if j != i][:10]
         assert ids.tolist() == want and scores.tolist() == s[want].tolist()

@@ -20,8 +20,8 @@ SAMPLE, TOP = 2048, 32
 PAGE_ROWS, PAGE_BYTES, FANOUT, LEAF = 8192, 4 << 20, 16, 64
 #: Rounding that bounds allow for, as a part of the lengths involved.
 SLACK = 1e-7
-#: Longest squared length whose products are exact in floating point.
-EXACT = 1 << 53
+#: Longest squared length whose products are exact in floating point; a score that every row reaches.
+EXACT, NONE = 1 << 53, -(1 << 63)
 
 NODE = np.dtype([("center", "<i4"), ("lo", "<i4"), ("hi", "<i4"), ("leaf", "<i4"), ("radius", "<f8"), ("parent", "<f8")])
 
@@ -87,7 +87,7 @@ def grow(x: np.ndarray, up: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 class Page:
-    """A stored tree: ``best`` searches it for one query, nearest node first."""
+    """A stored tree: ``best`` searches it for a block of queries, nearest node first."""
 
     def __init__(self, row: dict, most: float):
         self.x = np.frombuffer(row["data"], np.int64).reshape(-1, row["dim"])
@@ -96,51 +96,65 @@ class Page:
         self.exact = self.x.astype(np.float64)
         self.computed = 0
 
-    def products(self, rows, q: np.ndarray, whole: bool) -> np.ndarray:
-        self.computed += len(rows) if isinstance(rows, np.ndarray) else rows.stop - rows.start
-        return (self.exact[rows] @ q.astype(np.float64)).astype(np.int64) if whole else self.x[rows] @ q
+    def _products(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Exact whole products, a row for each query; ``q`` is floating where all of them are exact so."""
+        self.computed += len(rows) * len(q)
+        return (q @ self.exact[rows].T).astype(np.int64) if q.dtype == np.float64 else q @ self.x[rows].T
 
-    def best(self, q: np.ndarray, own: int, k: int, least: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """Scores and ids of the ``k`` largest products, ties to smaller ids, that reach ``least``; rows with id ``own`` don't count.
+    def best(self, q: np.ndarray, own: np.ndarray, k: int, least: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query scores and ids of the ``k`` largest products, ties to smaller ids, that reach ``least`` (``NONE``: all).
 
-        The node with the smallest possible distance comes next. A child or row is passed over, before its own distance is computed,
-        if the stored distance to its parent's center proves by the triangle inequality that it is too far.
+        Rows with id ``own`` don't count. The node comes next that has the smallest possible distance to any of the queries that still
+        need it, and is compared with those only. A child or row is passed over, before its own distances are computed, where the
+        stored distance to its parent's center proves by the triangle inequality that it is too far for all of them.
         """
-        size = int(q @ q)
-        whole = self.most * size < EXACT * float(EXACT)
-        slack = SLACK * (np.sqrt(self.most) + np.sqrt(float(size)))
-        distance = lambda s: np.sqrt(np.maximum(0.0, size + self.most - 2.0 * s))
-        limit = lambda s: np.inf if s is None else float(distance(float(s))) + slack
-        far, scores, ids = limit(least), np.empty(0, np.int64), np.empty(0, np.int64)
-        d = float(distance(self.products(self.nodes["center"][:1], q, whole))[0])
-        heap = [(max(0.0, d - self.nodes["radius"][0]), 0, d)]
+        sizes = (q * q).sum(1).astype(np.float64)
+        if self.most * float(sizes.max(initial=0)) < EXACT * float(EXACT):
+            q = q.astype(np.float64)
+        slack = SLACK * (np.sqrt(self.most) + np.sqrt(sizes))
+        least = least.copy()
+        distance = lambda i, s: np.sqrt(np.maximum(0.0, (sizes[i] + self.most)[:, None] - 2.0 * s))
+        far = np.where(least == NONE, np.inf, distance(np.arange(len(q)), least[:, None].astype(np.float64))[:, 0] + slack)
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(q)
+        every = np.arange(len(q))
+        d = distance(every, self._products(self.nodes["center"][:1], q))[:, 0]
+        heap = [(0.0, 0, every, d)]
         while heap:
-            bound, at, d = heapq.heappop(heap)
-            if bound > far:
+            bound, at, who, d = heapq.heappop(heap)
+            if bound > far.max():
                 break
+            near = d - self.nodes["radius"][at] <= far[who]  # the bounds may have fallen since
+            who, d = who[near], d[near]
             lo, hi = int(self.nodes["lo"][at]), int(self.nodes["hi"][at])
-            if self.nodes["leaf"][at]:
-                rows = lo + np.flatnonzero((np.abs(d - self.parents[lo:hi]) <= far) & (self.ids[lo:hi] != own))
-                if not len(rows):
-                    continue
-                got = self.products(rows, q, whole)
-                if least is not None:
-                    rows, got = rows[got >= least], got[got >= least]
-                scores, ids = np.r_[scores, got], np.r_[ids, self.ids[rows]]
-                if len(scores) > k:
+            leaf = self.nodes["leaf"][at]
+            away = self.parents[lo:hi] if leaf else self.nodes["parent"][lo:hi]
+            reach = np.abs(d[:, None] - away) - (0 if leaf else self.nodes["radius"][lo:hi]) <= far[who, None]
+            some = reach.any(1)
+            who, reach = who[some], reach[some]
+            at = np.flatnonzero(reach.any(0))
+            if not len(at):
+                continue
+            if leaf:
+                rows = lo + at
+                got = self._products(rows, q[who])
+                good = (got >= least[who, None]) & (self.ids[rows] != own[who, None])
+                for i in np.flatnonzero(good.any(1)).tolist():
+                    to = np.flatnonzero(good[i])
+                    scores, ids = np.r_[found[who[i]][0], got[i, to]], np.r_[found[who[i]][1], self.ids[rows[to]]]
                     first = np.lexsort((ids, -scores))[:k]
-                    scores, ids = scores[first], ids[first]
-                if len(scores) == k:
-                    least = int(scores.min())
-                    far = limit(least)
+                    found[who[i]] = scores[first], ids[first]
+                    if len(first) == k:
+                        least[who[i]] = scores[first[-1]]
+                        far[who[i]] = distance(who[i : i + 1], np.array([[float(least[who[i]])]]))[0, 0] + slack[who[i]]
             else:
-                c = lo + np.flatnonzero(np.abs(d - self.nodes["parent"][lo:hi]) - self.nodes["radius"][lo:hi] <= far)
-                to = distance(self.products(self.nodes["center"][c], q, whole).astype(np.float64))
-                low = np.maximum(0.0, to - self.nodes["radius"][c])
-                for i in np.flatnonzero(low <= far).tolist():
-                    heapq.heappush(heap, (float(low[i]), int(c[i]), float(to[i])))
-        first = np.lexsort((ids, -scores))
-        return scores[first], ids[first]
+                children = lo + at
+                to = distance(who, self._products(self.nodes["center"][children], q[who]).astype(np.float64))
+                low = np.maximum(0.0, to - self.nodes["radius"][children])
+                need = reach[:, at] & (low <= far[who, None])
+                for j in np.flatnonzero(need.any(0)).tolist():
+                    mine = need[:, j]
+                    heapq.heappush(heap, (float(low[mine, j].min()), int(children[j]), who[mine], to[mine, j]))
+        return found
 
 
 PAGES = pa.schema([("dim", pa.int32()), ("page", pa.int64()), ("ids", pa.list_(pa.int64())), ("asked", pa.list_(pa.int32())), ("data", pa.binary()), ("nodes", pa.binary()), ("parents", pa.binary())])
@@ -196,9 +210,9 @@ def _at_home(most: float, k: int):
             for row in batch.to_pylist():
                 page = Page(row, most)
                 for lo in range(0, len(row["asked"]), QUERY_ROWS):
-                    out = {c: [] for c in FOUND.names}
-                    for place in row["asked"][lo : lo + QUERY_ROWS]:
-                        scores, ids = page.best(page.x[place], page.ids[place], k, None)
+                    places = np.array(row["asked"][lo : lo + QUERY_ROWS], np.int64)
+                    own, out = page.ids[places], {c: [] for c in FOUND.names}
+                    for place, (scores, ids) in zip(places.tolist(), page.best(page.x[places], own, k, np.full(len(places), NONE))):
                         n = max(1, len(ids))  # without a result a row tells of the query
                         for name, v in (("query_id", [int(page.ids[place])] * n), ("page", [row["page"]] * n), ("place", [place] * n), ("id", ids.tolist() or [None]), ("score", scores.tolist() or [None])):
                             out[name] += v
@@ -239,19 +253,19 @@ def _elsewhere(most: float, k: int):
                 page, block = Page(row, most), row["block"]
                 q = np.frombuffer(row["q_data"], np.int64).reshape(-1, row["dim"])
                 if block not in best:
-                    empty = np.empty(0, np.int64)
-                    best[block] = [row["q_page"], row["q_place"], row["q_ids"], list(row["q_least"]), [(empty, empty)] * len(q)]
+                    empty, least = np.empty(0, np.int64), np.array([NONE if v is None else v for v in row["q_least"]], np.int64)
+                    best[block] = [np.array(row["q_page"], np.int64), row["q_place"], np.array(row["q_ids"], np.int64), least, [(empty, empty)] * len(q)]
                 pages, _, own, least, known = best[block]
-                for i in range(len(q)):
-                    if pages[i] == row["page"]:
-                        continue
-                    scores, ids = page.best(q[i], own[i], k, least[i])
+                others = np.flatnonzero(pages != row["page"])
+                if not len(others):
+                    continue
+                for i, (scores, ids) in zip(others.tolist(), page.best(q[others], own[others], k, least[others])):
                     if len(ids):
                         scores, ids = np.r_[known[i][0], scores], np.r_[known[i][1], ids]
                         first = np.lexsort((ids, -scores))[:k]
                         known[i] = scores[first], ids[first]
                         if len(first) == k:
-                            least[i] = int(scores[first[-1]])
+                            least[i] = max(least[i], scores[first[-1]])
         for pages, places, own, _, known in best.values():
             sizes = [len(ids) for _, ids in known]
             columns = [np.repeat(np.array(v, np.int64), sizes) for v in (own, pages, places)]
