@@ -78,7 +78,8 @@ def test_scratch_needs_a_shared_folder(spark):
 TEXTS = [(1, "The Dungeon of Ash"), (2, "dungeons & dragons"), (3, None), (4, ""), (5, "aé日本 ash"), (6, "x" * 5000 + " ash dungeon"), (7, "ab")]
 
 
-def test_index_finds_what_a_scan_finds(spark, tmp_path):
+def test_index_finds_what_a_scan_finds(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(search_index, "CHARS", 40)  # lists of several slices
     path = str(tmp_path / "index")
     rows = spark.createDataFrame(TEXTS, "id long, text string").selectExpr("*", "'n' as n", "1 as gram", "2 as folder", "3 as home")
     search_index.build_index(rows, path)

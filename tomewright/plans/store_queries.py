@@ -22,10 +22,10 @@ def q111_indexed_search(spark, d):
     """Words of benchmark items, looked up in an index of all turns."""
     turns = read(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("id"), "text")
     path = scratch(spark, "search-index")
-    search_index.build_index(turns.select(F.to_json("id").alias("id"), "text"), path)
+    search_index.build_index(turns, path)
     words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, 2)
     asked = read(spark, d, "benchmark").select("item_id", F.array_join(words, " ").alias("query"))
-    found = search_index.search_many(spark, path, asked, "item_id").withColumn("id", F.from_json("id", "conv_id long, turn long"))
+    found = search_index.search_many(spark, path, asked, "item_id")
     return found.select(F.col("query_id").alias("item_id"), "id.conv_id", "id.turn")
 
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,26 +14,36 @@ from ..functions.text import matches_all, terms_of
 
 #: Characters of a gram. Terms that are shorter are looked up as they stand, so shorter grams are posted too.
 SIZE = 3
-#: Folders by a hash of the gram, slices of each by a hash of the record, and folders of the texts.
-GRAM_FOLDERS, SLICES, TEXT_FOLDERS = 32, 8, 64
+#: Folders by a hash of the gram, and of the texts by a hash of the record; characters of text in a slice.
+GRAM_FOLDERS, TEXT_FOLDERS, CHARS = 32, 64, 1_000_000
 #: Posting lists that are intersected for one query: the shortest ones. The texts decide on what is left.
 LISTS = 4
 
 
-def grams(text: Column, sizes: tuple[int, ...]) -> Column:
-    """The different runs of so many characters in a text."""
-    chars = F.split(text, "")  # single characters, since the n-th one of a text is found by walking there
-
-    def runs(n: int) -> Column:
-        of = F.transform(F.sequence(F.lit(1), F.size(chars) - n + 1), lambda i: F.array_join(F.slice(chars, i, n), ""))
-        return F.when(F.char_length(text) >= n, of).otherwise(F.array().cast("array<string>"))
-
-    return F.array_distinct(F.flatten(F.array(*map(runs, sizes))))
+def _lists(batches):
+    """Posting lists (gram, ids) of each slice of rows (id, text): short lists of many rows, so that little is shuffled."""
+    for batch in batches:
+        texts, lo = batch.column(1).to_pylist(), 0
+        while lo < len(texts):
+            hi, chars = lo, 0
+            while hi < len(texts) and (hi == lo or chars + len(texts[hi]) <= CHARS):
+                chars += len(texts[hi])
+                hi += 1
+            rows: dict[str, list[int]] = defaultdict(list)
+            for i in range(lo, hi):
+                text = texts[i]
+                for gram in {text[k : k + n] for n in range(1, SIZE + 1) for k in range(len(text) - n + 1)}:
+                    rows[gram].append(i)
+            ends = np.cumsum([0, *map(len, rows.values())], dtype=np.int32)
+            flat = pa.array(list(chain.from_iterable(rows.values())), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.string()), pa.ListArray.from_arrays(pa.array(ends), batch.column(0).take(flat))], names=["gram", "ids"])
+            lo = hi
 
 
 def term_grams(term: Column) -> Column:
-    """The grams that a text has if it has the term: its runs of ``SIZE``, or the whole of a shorter term."""
-    return F.when(F.char_length(term) < SIZE, F.array(term)).otherwise(grams(term, (SIZE,)))
+    """The grams that a text has if it has the term: its runs of ``SIZE`` characters, or the whole of a shorter term."""
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(term) - SIZE + 1, F.lit(1))), lambda i: F.substring(term, i, F.lit(SIZE)))
+    return F.array_distinct(runs)
 
 
 def _folder(gram: Column) -> Column:
@@ -42,23 +57,23 @@ def _home(id: Column) -> Column:
 def _stored(spark: SparkSession, path: str, name: str) -> DataFrame:
     """The postings, counts or texts of an index."""
     kind = spark.read.parquet(f"{path}/kind").schema["id"].dataType.simpleString()
-    schemas = {"postings": f"id {kind}, gram string, folder int", "counts": "gram string, n long", "texts": f"id {kind}, text string, home int"}
+    schemas = {"postings": f"gram string, ids array<{kind}>, folder int", "counts": "gram string, n long", "texts": f"id {kind}, text string, home int"}
     return spark.read.schema(schemas[name]).parquet(f"{path}/{name}")
 
 
 def build_index(rows: DataFrame, path: str, id: str = "id", text: str = "text") -> None:
     """Write the index of ``rows``, whose ids differ, to a folder: postings, counts of grams, and lower-case texts.
 
-    Postings lie in folders by gram and are sorted by it, so that a lookup opens a few row groups. The list of a gram that
-    is everywhere is dealt out in ``SLICES``. Null texts are empty: only the empty query finds them.
+    Postings lie in folders by gram and are sorted by it, so that a lookup opens a few row groups. Each is a list of the ids
+    of one slice of rows, ``CHARS`` characters at most, so that no list grows with the table. Null texts are empty: only the empty
+    query finds them.
     """
     low = rows.select(F.col(id).alias("id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
     low.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{path}/kind")  # tells the type of the ids, even of an empty index
-    posted = low.select("id", F.explode(grams(F.col("text"), tuple(range(1, SIZE + 1)))).alias("gram"))
-    posted = posted.withColumn("folder", _folder(F.col("gram")))
-    dealt = posted.repartition(GRAM_FOLDERS * SLICES, "folder", F.pmod(F.xxhash64("id"), F.lit(SLICES)))
-    dealt.sortWithinPartitions("folder", "gram", "id").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings")
-    listed = _stored(rows.sparkSession, path, "postings").groupBy("gram").agg(F.count("*").alias("n"))
+    kind = low.schema["id"].dataType.simpleString()
+    posted = low.mapInArrow(_lists, f"gram string, ids array<{kind}>").withColumn("folder", _folder(F.col("gram")))
+    posted.repartition(GRAM_FOLDERS, "folder").sortWithinPartitions("folder", "gram").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings")
+    listed = _stored(rows.sparkSession, path, "postings").groupBy("gram").agg(F.sum(F.size("ids")).alias("n"))
     listed.coalesce(1).write.mode("overwrite").parquet(f"{path}/counts")
     texts = low.withColumn("home", _home(F.col("id")))
     texts.repartition(TEXT_FOLDERS, "home").sortWithinPartitions("home", "id").write.mode("overwrite").partitionBy("home").parquet(f"{path}/texts")
@@ -79,7 +94,7 @@ def search_index(spark: SparkSession, path: str, query: str) -> DataFrame:
         return texts.limit(0).select("id")
     used = known[:LISTS]
     lists = _stored(spark, path, "postings").where(F.col("folder").isin(sorted({r["folder"] for r in used})) & F.col("gram").isin([r["gram"] for r in used]))
-    met = lists.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") == len(used)).select("id")
+    met = lists.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") == len(used)).select("id")
     if used[0]["n"] < TEXT_FOLDERS:  # too few to be in every folder
         texts = texts.where(F.col("home").isin([r[0] for r in met.select(_home(F.col("id"))).distinct().collect()]))
     found = texts.join(met.withColumn("home", _home(F.col("id"))), ["home", "id"], "left_semi")
@@ -100,7 +115,7 @@ def search_many(spark: SparkSession, path: str, queries: DataFrame, query_id: st
     used = known.withColumn("rank", rank).where(F.col("rank") <= LISTS).select("query_id", "gram", _folder(F.col("gram")).alias("folder"))
     need = used.groupBy("query_id").agg(F.count("*").alias("need"))
     lists = _stored(spark, path, "postings")
-    met = used.join(lists, ["folder", "gram"]).groupBy("query_id", "id").agg(F.count("*").alias("n")).join(need, "query_id").where("n = need")
+    met = used.join(lists, ["folder", "gram"]).select("query_id", F.explode("ids").alias("id")).groupBy("query_id", "id").agg(F.count("*").alias("n")).join(need, "query_id").where("n = need")
     texts = _stored(spark, path, "texts")
     near = met.select("query_id", "id", _home(F.col("id")).alias("home")).join(texts, ["home", "id"]).join(asked, "query_id")
     return near.where(F.forall("terms", lambda t: F.col("text").contains(t))).select("query_id", "id")
