@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import numpy as np
 import pytest
@@ -184,3 +185,45 @@ def test_foreign_templates(spark):
         kept, told, shown = kept + sum(map(len, inside)), told + sum(map(len, story)), shown + len(got[i])
     print("story kept", kept / told, "of what is shown", kept / shown)
     assert kept / told >= 0.9 and kept / shown >= 0.9
+
+
+ARTICLE = "<article><p>A first paragraph, of some words. And one more sentence, to be sure of it.</p>{}<p>A second paragraph, of some words. It ends here, and is long enough, too.</p></article>"
+
+
+@pytest.mark.parametrize(
+    ("between", "shown", "hidden"),
+    [
+        ("<template><template>x</template>LEAK</template>", "second", "LEAK"), ("<svg><svg><path d=x></svg>LEAK</svg>", "second", "LEAK"), ("<svg><path d=x>", "second", "path"), ("<svg viewBox='0 0 1 1'/>", "second", "svg"),
+        ("<math><mi>LEAK", "second", "LEAK"), ("<object><p>LEAK</p></object>", "second", "LEAK"), ("<template>kept without an end", "second", "<"),
+    ],
+)
+def test_hidden_elements_nested_and_without_an_end(between, shown, hidden):
+    text = extract.extract_texts([ARTICLE.format(between)], extract.default_model())[0]
+    assert "first paragraph" in text and shown in text and hidden not in text
+
+
+def _shape(part, n=400_000):
+    return (part * (n // len(part) + 1))[:n]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<b>" * 60_000 + "</i>" * 60_000, _shape("<div>"), _shape("<svg>"), _shape("<math><p>q"), _shape("<template>") + "</template>", "<p><button>" + _shape("<div>"), "<ul>" + _shape("<li>a<ul>"), _shape("<a '\">x"), _shape('<a "'),
+        _shape("<table><tr><td>x"), _shape("</p>x"), _shape("<object>x</object>"), _shape("<span class='ad'>z"), _shape("&amp;&#x"),
+    ],
+    ids=["wrong ends", "deep", "svg", "math", "template", "stops", "lists", "quotes", "quote", "tables", "ends", "objects", "inline", "references"],
+)
+def test_time_follows_the_length_of_a_page(page):
+    began = time.process_time()
+    dom.read(page[: len(page) // 4])
+    quarter = time.process_time() - began
+    began = time.process_time()
+    extract.extract_texts([page], extract.default_model())
+    assert time.process_time() - began < 4 + 16 * quarter  # the square would be minutes
+
+
+def test_deep_text_is_kept():
+    depth = 3 * dom.DEEPEST
+    parent, _, _, blocks = dom.read("<div>" * depth + "deep" + "</div>" * depth + "after")
+    assert [t for _, t, _ in blocks] == ["deep", "after"] and len(parent) == depth + 1

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from functools import lru_cache
 from html import unescape
 
@@ -43,6 +44,11 @@ _LIST, _TABLE = frozenset(("ul", "ol", "menu")), frozenset(("table",))
 CLOSES = {"li": (frozenset(("li",)), _LIST), "dt": (frozenset(("dt", "dd")), frozenset(("dl",))), "dd": (frozenset(("dt", "dd")), frozenset(("dl",))), "option": (frozenset(("option",)), frozenset(("select",))), "tr": (frozenset(("tr", "td", "th")), _TABLE), "td": (frozenset(("td", "th")), frozenset(("tr", "table"))), "th": (frozenset(("td", "th")), frozenset(("tr", "table")))}
 CLOSES |= {t: (frozenset(("tr", "td", "th", "thead", "tbody", "tfoot")), _TABLE) for t in ("tbody", "thead", "tfoot")}
 _P = (frozenset(("p",)), frozenset(("td", "th", "button", "table", "object", "caption")))
+#: Start tags that end an svg or math element which has no end tag of its own.
+_LEAVES = re.compile(r"<(?:article|aside|blockquote|body|center|dd|div|dl|dt|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|ul)(?=[\s/>])", re.I)
+_FOREIGN = frozenset(("svg", "math"))
+#: Nodes below this depth become siblings of the one that is there, as in browsers.
+DEEPEST = 512
 
 
 @lru_cache(50_000)
@@ -69,18 +75,34 @@ def hints(attributes: str) -> int:
 APART = sum(1 << k for k, (n, _) in enumerate(HINTS) if n in ("ad", "notice", "comment", "hidden"))
 
 
+def _ends(html: str, tag: str) -> dict[int, int]:
+    """Where each element of a hidden kind ends, by the end of its start tag: nested ones are counted, those without an end left out."""
+    found, open_ = {}, []
+    for m in re.finditer(rf"<(/?){tag}(?=[\s/>])[^>]*>?", html, re.I):
+        if not m[1]:
+            if not (tag in _FOREIGN and m[0].endswith("/>")):
+                open_.append(m.end())
+        elif open_:
+            found[open_.pop()] = m.end()
+    return found
+
+
 def read(html: str, marks: list[str] | None = None) -> tuple[list[int], list[int], list[int], list[tuple[int, str, int]]]:
     """Parents, tag groups and hint bits of the nodes (node 0 is the page), and blocks (node, text, linked characters).
 
     Inline elements belong to the node around them. A block is the text of one node between two other nodes, with
     character references decoded and white space as it stands. ``marks`` gets
-    the data-mark of each node but the page.
+    the data-mark of each node but the page. Where an element stands is known by its tag, so that a page of any shape costs
+    time in proportion to its length.
     """
-    parent, group, bits = [-1], [0], [0]
+    parent, group, bits, depth = [-1], [0], [0], [0]
+    places: dict[str, list[int]] = {}  # of the open elements, by tag
+    hidden: dict[str, dict[int, int]] = {}
     blocks: list[tuple[int, str, int]] = []
     stack: list[tuple[str, int]] = [("", 0)]  # open elements and the node each belongs to
     text: list[str] = []
     linked, links, at, size = 0, 0, 0, len(html)
+    leave = -1  # where the next element stands that no svg holds
 
     def end_block():
         nonlocal linked
@@ -100,6 +122,13 @@ def read(html: str, marks: list[str] | None = None) -> tuple[list[int], list[int
                 end_block()
             links -= tag == "a"
             stack.pop()
+            places[tag].pop()
+
+    def open_element(tag: str, node: int):
+        nonlocal links
+        places.setdefault(tag, []).append(len(stack))
+        stack.append((tag, node))
+        links += tag == "a"
 
     while at < size:
         m = _TAG.search(html, at)
@@ -118,10 +147,8 @@ def read(html: str, marks: list[str] | None = None) -> tuple[list[int], list[int
             continue
         tag = tag.lower()
         if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
+            if places.get(tag):
+                close(places[tag][-1])
             continue
         if tag in RAW:
             end = _END[tag].search(html, at)
@@ -131,35 +158,42 @@ def read(html: str, marks: list[str] | None = None) -> tuple[list[int], list[int
         if tag in VOID or tag in HIDDEN:
             if tag == "br" or tag == "hr":
                 text.append(" ")
-            elif tag in HIDDEN and tag != "head":  # skip to its end; the head only holds what is hidden anyway
-                end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at)
-                at = end.end() if end else at
+            elif tag in HIDDEN and tag != "head" and not (tag in _FOREIGN and m[0].endswith("/>")):  # skip to its end; the head only holds what is hidden anyway
+                if tag not in hidden:
+                    hidden[tag] = _ends(html, tag)
+                if at in hidden[tag]:
+                    at = hidden[tag][at]
+                elif tag in _FOREIGN:
+                    if leave < at:
+                        found_leave = _LEAVES.search(html, at)
+                        leave = found_leave.start() if found_leave else size
+                    at = leave if leave < size else at
             continue
         found = hints(m[3] or m[6] or "") if m[3] or m[6] else 0
         if tag in INLINE and not found & APART:
-            stack.append((tag, stack[-1][1]))
-            links += tag == "a"
+            open_element(tag, stack[-1][1])
             continue
         for ended, stops in (*((CLOSES[tag],) if tag in CLOSES else ()), *((_P,) if tag not in INLINE else ())):
-            k = len(stack) - 1
-            lowest = 0
-            while k > 0 and stack[k][0] not in stops:
-                if stack[k][0] in ended:
-                    lowest = k
-                k -= 1
-            if lowest:
-                close(lowest)
+            have = [p for t in ended if (p := places.get(t))]
+            if have:
+                stop = max((p[-1] for t in stops if (p := places.get(t))), default=0)
+                lowest = min((p[k] for p in have if (k := bisect_right(p, stop)) < len(p)), default=0)
+                if lowest:
+                    close(lowest)
         end_block()
         if tag == "textarea":
             continue
-        parent.append(stack[-1][1])
+        around = stack[-1][1]
+        if depth[around] >= DEEPEST:
+            around = parent[around]
+        parent.append(around)
+        depth.append(depth[around] + 1)
         group.append(GROUP.get(tag, OTHER))
         bits.append(found)
         if marks is not None:
             mark = re.search(r'data-mark="(\w+)"', m[3] or m[6] or "")
             marks.append(mark[1] if mark else "")
-        stack.append((tag, len(parent) - 1))
-        links += tag == "a"
+        open_element(tag, len(parent) - 1)
     close(1)
     end_block()
     return parent, group, bits, blocks
