@@ -164,3 +164,22 @@ def test_odd_mixing(spark, odd, none):
     assert Counter(r["doc_id"] for r in got.collect()) == {1: 2, 4: 1, 5: 1, 6: 2, 7: 1}
     assert mixing.mix(none, queries.LEVELS, {}, 1.0).count() == 0 and mixing.mix(odd, queries.LEVELS, {}, 0.0).count() == 0
     assert mixing.mix(odd, queries.LEVELS, {"web": 0, "books": 0}, 1.0).count() == 0
+
+
+def test_short_lines_come_in_bounded_batches(spark, monkeypatch):
+    """A text of very many one-word lines: rows go on in small batches, and the result is that of one large batch."""
+    made = linededup._anchor_batch
+    rows = list(linededup.anchors("a\n" * 20_000, 50))
+    assert len(rows) == 20_000 - 50 + 1 and max(len(r[1]) for r in rows) <= 51
+    batches, part = [], []
+    for row in rows:
+        part.append((1, 1, *row))
+        if sum(len(r[3]) for r in part) > linededup.ENTRIES // 50:
+            batches.append(made(part))
+            part = []
+    seen = [b.nbytes for b in batches]
+    assert len(seen) > 10 and max(seen) < 1_000_000
+    want = sorted(tuple(r) for r in linededup.dedup_lines(spark.createDataFrame([(1, "a\n" * 300), (2, "b c\n" * 60)], "doc_id long, text string")).collect())
+    monkeypatch.setattr(linededup, "ENTRIES", 100)
+    assert sorted(tuple(r) for r in linededup.dedup_lines(spark.createDataFrame([(1, "a\n" * 300), (2, "b c\n" * 60)], "doc_id long, text string")).collect()) == want
+    assert want[0][2] == 250 and want[1][2] == 35

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from array import array
+from collections import deque
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -12,14 +15,16 @@ from .common import arrow_map, fresh, materialize, set_aside, slices, text_lengt
 
 #: Words from which a repeated run of lines is deleted.
 MIN_WORDS = 50
+#: Entries of the lists that are sent on at a time, about.
+ENTRIES = 250_000
 
 ANCHORS = pa.schema([("doc", pa.int64()), ("th", pa.int64()), ("fp", pa.int64()), ("lines", pa.list_(pa.int64())), ("at", pa.list_(pa.int32())), ("shortest", pa.list_(pa.int32())), ("longest", pa.list_(pa.int32()))])
 ANCHORS_DDL = "doc long, th long, fp long, lines array<long>, at array<int>, shortest array<int>, longest array<int>"
 RUNS_DDL = "doc long, th long, run long, start int, end int"
 
 
-def anchors(text: str, min_words: int) -> list[tuple]:
-    """(fp, lines, at, shortest, longest) for each line of a text that winnowing selects.
+def anchors(text: str, min_words: int):
+    """(fp, lines, at, shortest, longest), as arrays, for each line of a text that winnowing selects, one after the other.
 
     A window is the shortest run of lines from some line on that has ``min_words`` words, and selects the least line hash in
     it, of equals the last. So any run of that many words that two texts share holds a window, and both select the same line
@@ -28,31 +33,48 @@ def anchors(text: str, min_words: int) -> list[tuple]:
     selects it starts at ``lines[k]`` and, written as numbers of lines, has ``shortest[k]``; a match that starts there may
     have up to ``longest[k]`` before the next window takes over. Lines without a word are passed over.
     """
-    hashes, counts, at = [], [], []
+    hashes, counts, at = array("q"), array("q"), array("i")
     for i, line in enumerate(text.split("\n")):
         n = len(line.split())
         if n:
             hashes.append(xxhash.xxh64_intdigest(line.strip().encode("utf-8", "surrogatepass")) - (1 << 63))
             counts.append(n)
             at.append(i)
-    ends = np.cumsum(counts)
-    if not counts or ends[-1] < min_words:
-        return []
+    hashes, at, ends = np.array(hashes, np.int64), np.array(at, np.int32), np.cumsum(np.array(counts, np.int64))
+    if not len(ends) or ends[-1] < min_words:
+        return
     last = np.searchsorted(ends, np.r_[0, ends[:-1]] + min_words)  # the line with which each window has enough words
-    last = last[last < len(hashes)].tolist()
-    reach = [max(j + 1, k) for j, k in zip(last, [*last[1:], len(hashes)])]
-    picks = [min(range(j, i - 1, -1), key=hashes.__getitem__) for i, j in enumerate(last)]
-    out, first = [], 0
-    for i in range(1, len(picks) + 1):
-        if i == len(picks) or picks[i] != picks[first]:
-            hi = max(reach[first:i])
-            shortest = [last[k] + 1 - k for k in range(first, i)]
-            longest = [reach[k] - k for k in range(first, i)]
-            out.append((hashes[picks[first]], hashes[first:hi], at[first:hi], shortest, longest))
-            first = i
+    last = last[last < len(hashes)]
+    reach = np.maximum(last + 1, np.r_[last[1:], len(hashes)])
+    picks = _window_minima(hashes, last)
+    cuts = np.r_[0, np.flatnonzero(np.diff(picks)) + 1, len(picks)]
+    for first, end in zip(map(int, cuts[:-1]), map(int, cuts[1:])):
+        hi, starts = int(reach[first:end].max()), np.arange(first, end)
+        yield int(hashes[picks[first]]), hashes[first:hi], at[first:hi], (last[first:end] + 1 - starts).astype(np.int32), (reach[first:end] - starts).astype(np.int32)
+
+
+def _window_minima(hashes: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """For each window i to last[i] the place of its least hash, of equals the last; the ends never go back."""
+    out, rising, upto, values = np.empty(len(last), np.int64), deque(), 0, memoryview(hashes)
+    for i, end in enumerate(memoryview(last)):
+        while upto <= end:
+            while rising and values[rising[-1]] >= values[upto]:
+                rising.pop()
+            rising.append(upto)
+            upto += 1
+        while rising[0] < i:
+            rising.popleft()
+        out[i] = rising[0]
     return out
 
 
+def _anchor_batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows (doc, th, fp, lines, at, shortest, longest) with arrays in the last four places."""
+    columns = list(zip(*rows))
+    lists = [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in c])], pa.int32()), pa.array(np.concatenate(c))) for c in columns[3:]]
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), *lists], schema=ANCHORS)
+
+
 def runs_around(lines: np.ndarray, at: np.ndarray, shortest: np.ndarray, longest: np.ndarray):
     """(run, start, end) for each match that an anchor may have: the hash of its lines, its first and last line number."""
     packed, at = lines.tobytes(), at.tolist()
@@ -79,9 +101,16 @@ def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_
         for batch in batches:
             for lo, hi in slices(text_lengths(batch.column(2))):
                 part = batch.slice(lo, hi - lo)
-                rows = [(d, th, *w) for d, th, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts_of(part.column(2))) for w in anchors(t, min_words)]
+                rows, size = [], 0
+                for d, th, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts_of(part.column(2))):
+                    for row in anchors(t, min_words):
+                        rows.append((d, th, *row))
+                        size += len(row[1]) + 8
+                        if size > ENTRIES:  # short lines have many anchors with as many lines as a window has words
+                            yield _anchor_batch(rows)
+                            rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), ANCHORS)], schema=ANCHORS)
+                    yield _anchor_batch(rows)
 
     def extend(batches):
         for batch in batches:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import spelling, urls
+from . import linededup, spelling, urls
 
 
 def near_vectors_sql(cosine: float) -> str:
@@ -115,3 +115,22 @@ s as (select o filter_order, step, (1 << (strpos('ABCDE', substr(o, step, 1)) -
 a as (select part, filter_order, step, bit, coalesce(sum(n) filter (mask & (before | bit) = 0), 0) kept, coalesce(sum(n) filter (mask & before = 0 and mask & bit > 0), 0) removed, coalesce(sum(n) filter (mask & before > 0 and mask & bit > 0), 0) redundant,
 coalesce(sum(n) filter (mask = bit), 0) unique_fails, coalesce(sum(good) filter (mask & before = 0 and mask & bit > 0), 0) good_lost, coalesce(sum(toxic) filter (mask & before = 0 and mask & bit > 0), 0) toxic_lost from c cross join s group by 1, 2, 3, 4)
 select part, filter_order, step::int step, kept::bigint kept, removed::bigint removed, redundant::bigint redundant, unique_fails::bigint unique_fails, good_lost::bigint good_lost, toxic_lost::bigint toxic_lost, sum(removed) over (partition by part, bit)::bigint shapley from a"""
+
+
+#: White space as Python's split knows it, in a character class.
+BLANK = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+def lines_sql() -> str:
+    """All runs of lines that start a window, up to where the next window ends, compared with each other as texts."""
+    words = linededup.MIN_WORDS
+    return f"""with l as (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) - 1 i from documents where text is not null and doc_id is not null),
+v as (select doc_id, i, regexp_replace(line, '^[{BLANK}]+|[{BLANK}]+$', '', 'g') line, len(regexp_extract_all(line, '[^{BLANK}]+')) n from l),
+k as (select *, row_number() over (partition by doc_id order by i) k, sum(n) over (partition by doc_id order by i) c from v where n > 0),
+p as (select a.doc_id, a.k, a.i, b.k last from k a asof join k b on a.doc_id = b.doc_id and a.c - a.n + {words} <= b.c),
+d as (select doc_id, list(line order by k) ls, list(i order by k) places from k group by 1),
+r as (select doc_id, i start, places[e] stop, md5(array_to_string(ls[k:e], chr(10))) run from (select p.*, ls, places, unnest(range(last, greatest(last, coalesce(lead(last) over (partition by doc_id order by k) - 1, len(ls))) + 1)) e from p join d using (doc_id))),
+h as (select run, min(struct_pack(d := doc_id, s := start, e := stop)) head from r group by 1 having count(*) > 1),
+g as (select distinct doc_id, unnest(range(start, stop + 1)) i from r join h using (run) where doc_id <> head.d or start > head.e),
+t as (select doc_id, string_agg(line, chr(10) order by i) filter (where g.i is null) text, count(g.i) gone from l left join g using (doc_id, i) group by 1)
+select doc_id, case when coalesce(gone, 0) = 0 then documents.text else coalesce(t.text, '') end text, coalesce(gone, 0)::int removed_lines from documents left join t using (doc_id)"""

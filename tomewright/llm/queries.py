@@ -87,6 +87,7 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op3_embedding_near_dedup": oracles.near_vectors_sql(0.93),
     "op5_mixing": oracles.mix_sql(LEVELS, WEIGHTS, FRACTION, SEED, EPOCHS),
+    "op7_line_dedup": oracles.lines_sql(),
     "op10_url_filters": oracles.urls_sql(urls.RULES),
     "op11_exact_top_k": oracles.top_products_sql(10),
     "op12_spelling_variants": oracles.spelling_sql(),
