@@ -3,9 +3,11 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tomewright.operators import coverage
+from tomewright.storage import Snapshots
 from tomewright.streaming import clocks
 
 T0 = dt.datetime(2024, 1, 1)
@@ -79,3 +81,45 @@ def test_freshness_equals_the_batch_form_at_every_tick(spark, tmp_path):
 
 def test_no_events(spark, tmp_path):
     assert streamed(spark, tmp_path, [[]], EVENTS, lambda s: clocks.expiring_claims(s, 600)).count() == 0
+
+
+def test_a_killed_sync_goes_on_without_loss_or_repeat(spark, tmp_path, monkeypatch):
+    schema = "user_id long, seq long, document string"
+    table = Snapshots(spark, str(tmp_path / "table"), ["user_id"], ["seq"])
+    source, check = str(tmp_path / "in"), str(tmp_path / "check")
+
+    def add(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        clocks.sync(spark.readStream.schema(schema).parquet(source), table, "edits", check)
+
+    add([(1, 1, "a"), (2, 1, "b")])
+    run()
+    assert table.version().batches == {"edits": 0}
+    add([(1, 2, "c")])
+    merge = Snapshots.merge
+    with monkeypatch.context() as m:  # killed before the merge: nothing has happened
+
+        def killed(self, *a, **b):
+            raise RuntimeError("killed")
+
+        m.setattr(Snapshots, "merge", killed)
+        with pytest.raises(Exception, match="killed"):
+            run()
+    assert table.numbers() == [1]
+    with monkeypatch.context() as m:  # killed after it: the batch is there, but not in the checkpoint
+
+        def late(self, *a, **b):
+            merge(self, *a, **b)
+            raise RuntimeError("killed")
+
+        m.setattr(Snapshots, "merge", late)
+        with pytest.raises(Exception, match="killed"):
+            run()
+    assert table.numbers() == [1, 2]
+    add([(2, 2, "d"), (3, 1, "e")])
+    run()
+    run()
+    assert sorted(tuple(r) for r in table.read(schema).collect()) == [(1, 2, "c"), (2, 2, "d"), (3, 1, "e")]
+    assert table.numbers() == [1, 2, 3] and table.version().batches == {"edits": 2}

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.coverage import coverage_current
 from ..functions.dates import instant
+from ..storage import Snapshots, snapshot_sink
 
 
 def _millis(at: pd.Series) -> pd.Series:
@@ -145,3 +145,13 @@ def run_once(stream: DataFrame, path: str, checkpoint: str) -> None:
 def state_at(changes: DataFrame, key: str, value: str, at: Column) -> DataFrame:
     """(key, value) as of an instant, from changes (key, at, value): the last one at or before it."""
     return changes.where(F.col("at") <= at).groupBy(key).agg(F.max_by(value, "at").alias(value))
+
+
+def sync(stream: DataFrame, table: Snapshots, name: str, checkpoint: str) -> None:
+    """Merge all that a stream of rows has into a versioned table and stop; to be called again whenever there may be more.
+
+    A run that is killed between the merge and the note of it in ``checkpoint`` gives the same batch again, which the table knows by
+    ``name`` and number. So no row is lost, and none counts twice, whenever a run ends.
+    """
+    write = snapshot_sink(table, name, stream.columns)
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
