@@ -10,6 +10,7 @@ from ..functions import signals, text, urls
 from ..operators import accounts, catalog, coverage, health, library, reader, recommend, series
 from ..sources import catalog as sources
 from ..sources.catalog import parse_library
+from ..storage import scratch
 from ..streaming import states
 from .adapted import BOOKS_SQL, IDENTITY_SQL, KEPT_SQL, PRESENT_SQL, SHELF_SQL, TASTE_KEYS, WORKS_SQL, books, series_of, shelf, works
 from .registry import query, read
@@ -649,10 +650,7 @@ def q98_log_tails(spark, d):
 @query(f"""with {BOOKS_SQL} select id, cast(left("releaseDate", 4) as int) as "year" from b where "releaseDate" like '1997%'""")
 def q99_books_of_a_year(spark, d):
     """Books stored by release year, of which one year's files are read."""
-    import uuid
-
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/tomewright").rstrip("/")
-    path = f"{folder}/{spark.sparkContext.applicationId}/books-by-year-{uuid.uuid4().hex}"
+    path = scratch(spark, "books-by-year")
     sources.write_by_year(books(spark, d), path)
     return spark.read.parquet(path).where("year = 1997").select("id", "year")
 

@@ -9,7 +9,7 @@ from ..sources import catalog as sources
 from ..sources import search_index
 from ..storage import Snapshots, scratch
 from ..streaming import clocks
-from .adapted_queries import _fold_sql
+from .adapted_queries import _fold_sql, _with_states
 from .registry import query, read
 
 #: Words of a benchmark item that are searched for: the two first ones of at least six letters.
@@ -65,6 +65,7 @@ def _turns(spark, d):
 
 def _streamed(spark, rows, operator):
     """What a stream over a table gives that is stopped when all of it is through."""
+    _with_states(spark)
     source, out, check = (scratch(spark, f"stream-{x}") for x in ("in", "out", "check"))
     rows.write.parquet(source)
     clocks.run_once(operator(spark.readStream.schema(rows.schema).parquet(source)), out, check)
