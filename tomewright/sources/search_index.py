@@ -1,4 +1,4 @@
-"""A search index: posting lists of character grams, in folders by gram, and the texts, in folders by record."""
+"""A search index: posting lists of character grams, in folders by gram, and the texts, in folders by block."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,29 +16,43 @@ from ..functions.text import matches_all, terms_of
 
 #: Characters of a gram. Terms that are shorter are looked up as they stand, so shorter grams are posted too.
 SIZE = 3
-#: Folders by a hash of the gram, and of the texts by a hash of the record; characters of text in a slice.
+#: Folders by a hash of the gram, and of the texts by a hash of the block; characters of text in a block.
 GRAM_FOLDERS, TEXT_FOLDERS, CHARS = 32, 64, 1_000_000
 #: Posting lists that are intersected for one query: the shortest ones. The texts decide on what is left.
 LISTS = 4
 
 
+def _placed(batches):
+    """Rows (id, text) with a block, ``CHARS`` characters at most, and the place in it."""
+    block, place, chars = TaskContext.get().partitionId() << 32, 0, 0
+    for batch in batches:
+        blocks, places = [], []
+        for n in pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_pylist():
+            if place and chars + n > CHARS:
+                block, place, chars = block + 1, 0, 0
+            blocks.append(block)
+            places.append(place)
+            place, chars = place + 1, chars + n
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(blocks, pa.int64()), pa.array(places, pa.int32())], names=["id", "text", "block", "place"])
+
+
 def _lists(batches):
-    """Posting lists (gram, ids) of each slice of rows (id, text): short lists of many rows, so that little is shuffled."""
+    """Posting lists (gram, block, places) of rows (block, place, text): places instead of ids, and short lists of many rows, so that little is shuffled."""
     for batch in batches:
-        texts, lo = batch.column(1).to_pylist(), 0
+        blocks, places, texts = (c.to_pylist() for c in batch.columns)
+        lo = 0
         while lo < len(texts):
             hi, chars = lo, 0
-            while hi < len(texts) and (hi == lo or chars + len(texts[hi]) <= CHARS):
-                chars += len(texts[hi])
-                hi += 1
             rows: dict[str, list[int]] = defaultdict(list)
-            for i in range(lo, hi):
-                text = texts[i]
+            while hi < len(texts) and blocks[hi] == blocks[lo] and (hi == lo or chars + len(texts[hi]) <= CHARS):
+                text = texts[hi]
                 for gram in {text[k : k + n] for n in range(1, SIZE + 1) for k in range(len(text) - n + 1)}:
-                    rows[gram].append(i)
+                    rows[gram].append(places[hi])
+                chars += len(text)
+                hi += 1
             ends = np.cumsum([0, *map(len, rows.values())], dtype=np.int32)
             flat = pa.array(list(chain.from_iterable(rows.values())), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.string()), pa.ListArray.from_arrays(pa.array(ends), batch.column(0).take(flat))], names=["gram", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.string()), pa.array([blocks[lo]] * len(rows), pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["gram", "block", "places"])
             lo = hi
 
 
@@ -50,33 +66,33 @@ def _folder(gram: Column) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(GRAM_FOLDERS)).cast("int")
 
 
-def _home(id: Column) -> Column:
-    return F.pmod(F.xxhash64(id), F.lit(TEXT_FOLDERS)).cast("int")
+def _home(block: Column) -> Column:
+    return F.pmod(F.xxhash64(block), F.lit(TEXT_FOLDERS)).cast("int")
 
 
 def _stored(spark: SparkSession, path: str, name: str) -> DataFrame:
     """The postings, counts or texts of an index."""
     kind = spark.read.parquet(f"{path}/kind").schema["id"].dataType.simpleString()
-    schemas = {"postings": f"gram string, ids array<{kind}>, folder int", "counts": "gram string, n long", "texts": f"id {kind}, text string, home int"}
+    schemas = {"postings": "gram string, block long, places array<int>, folder int", "counts": "gram string, n long", "texts": f"id {kind}, text string, block long, place int, home int"}
     return spark.read.schema(schemas[name]).parquet(f"{path}/{name}")
 
 
 def build_index(rows: DataFrame, path: str, id: str = "id", text: str = "text") -> None:
-    """Write the index of ``rows``, whose ids differ, to a folder: postings, counts of grams, and lower-case texts.
+    """Write the index of ``rows``, whose ids differ, to a folder: lower-case texts by block, postings, and counts of grams.
 
-    Postings lie in folders by gram and are sorted by it, so that a lookup opens a few row groups. Each is a list of the ids
-    of one slice of rows, ``CHARS`` characters at most, so that no list grows with the table. Null texts are empty: only the empty
-    query finds them.
+    A block holds ``CHARS`` characters of text, and each posting list the places of one gram in one block, so that no list
+    grows with the table. Postings lie in folders by gram and are sorted by it, so that a lookup opens a few row groups; texts lie in folders by
+    block. Null texts are empty: only the empty query finds them.
     """
     low = rows.select(F.col(id).alias("id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
     low.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{path}/kind")  # tells the type of the ids, even of an empty index
     kind = low.schema["id"].dataType.simpleString()
-    posted = low.mapInArrow(_lists, f"gram string, ids array<{kind}>").withColumn("folder", _folder(F.col("gram")))
-    posted.repartition(GRAM_FOLDERS, "folder").sortWithinPartitions("folder", "gram").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings")
-    listed = _stored(rows.sparkSession, path, "postings").groupBy("gram").agg(F.sum(F.size("ids")).alias("n"))
+    texts = low.mapInArrow(_placed, f"id {kind}, text string, block long, place int").withColumn("home", _home(F.col("block")))
+    texts.write.mode("overwrite").partitionBy("home").parquet(f"{path}/texts")
+    posted = _stored(rows.sparkSession, path, "texts").select("block", "place", "text").mapInArrow(_lists, "gram string, block long, places array<int>").withColumn("folder", _folder(F.col("gram")))
+    posted.repartition(GRAM_FOLDERS, "folder").sortWithinPartitions("folder", "gram", "block").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings")
+    listed = _stored(rows.sparkSession, path, "postings").groupBy("gram").agg(F.sum(F.size("places")).alias("n"))
     listed.coalesce(1).write.mode("overwrite").parquet(f"{path}/counts")
-    texts = low.withColumn("home", _home(F.col("id")))
-    texts.repartition(TEXT_FOLDERS, "home").sortWithinPartitions("home", "id").write.mode("overwrite").partitionBy("home").parquet(f"{path}/texts")
 
 
 def search_index(spark: SparkSession, path: str, query: str) -> DataFrame:
@@ -94,10 +110,10 @@ def search_index(spark: SparkSession, path: str, query: str) -> DataFrame:
         return texts.limit(0).select("id")
     used = known[:LISTS]
     lists = _stored(spark, path, "postings").where(F.col("folder").isin(sorted({r["folder"] for r in used})) & F.col("gram").isin([r["gram"] for r in used]))
-    met = lists.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") == len(used)).select("id")
+    met = lists.select("block", F.explode("places").alias("place")).groupBy("block", "place").agg(F.count("*").alias("n")).where(F.col("n") == len(used)).select("block", "place", _home(F.col("block")).alias("home"))
     if used[0]["n"] < TEXT_FOLDERS:  # too few to be in every folder
-        texts = texts.where(F.col("home").isin([r[0] for r in met.select(_home(F.col("id"))).distinct().collect()]))
-    found = texts.join(met.withColumn("home", _home(F.col("id"))), ["home", "id"], "left_semi")
+        texts = texts.where(F.col("home").isin([r[0] for r in met.select("home").distinct().collect()]))
+    found = texts.join(met, ["home", "block", "place"], "left_semi")
     return found.where(matches_all(F.col("text"), query)).select("id")
 
 
@@ -115,7 +131,7 @@ def search_many(spark: SparkSession, path: str, queries: DataFrame, query_id: st
     used = known.withColumn("rank", rank).where(F.col("rank") <= LISTS).select("query_id", "gram", _folder(F.col("gram")).alias("folder"))
     need = used.groupBy("query_id").agg(F.count("*").alias("need"))
     lists = _stored(spark, path, "postings")
-    met = used.join(lists, ["folder", "gram"]).select("query_id", F.explode("ids").alias("id")).groupBy("query_id", "id").agg(F.count("*").alias("n")).join(need, "query_id").where("n = need")
+    met = used.join(lists, ["folder", "gram"]).select("query_id", "block", F.explode("places").alias("place")).groupBy("query_id", "block", "place").agg(F.count("*").alias("n")).join(need, "query_id").where("n = need")
     texts = _stored(spark, path, "texts")
-    near = met.select("query_id", "id", _home(F.col("id")).alias("home")).join(texts, ["home", "id"]).join(asked, "query_id")
+    near = met.select("query_id", "block", "place", _home(F.col("block")).alias("home")).join(texts, ["home", "block", "place"]).join(asked, "query_id")
     return near.where(F.forall("terms", lambda t: F.col("text").contains(t))).select("query_id", "id")
