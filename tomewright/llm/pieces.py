@@ -18,7 +18,7 @@ SPACE = "▁"
 LETTERS = r"a-zA-Z0-9\u00c0-\u024f"
 #: Characters of encoded stretches, and of token pairs, that each worker remembers, each entry counted as so many more;
 #: beyond it the older half is forgotten. A stretch of over ``KEPT`` characters is not remembered.
-STRETCHES, PAIRS, ENTRY, KEPT = 12_000_000, 5_000_000, 24, 200
+STRETCHES, PAIRS, ENTRY, KEPT = 4_000_000, 3_000_000, 24, 200
 
 
 def default_model() -> str:
