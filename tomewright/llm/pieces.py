@@ -18,7 +18,9 @@ SPACE = "▁"
 LETTERS = r"a-zA-Z0-9\u00c0-\u024f"
 #: Characters of encoded stretches, and of token pairs, that each worker remembers, each entry counted as so many more;
 #: beyond it the older half is forgotten. A stretch of over ``KEPT`` characters is not remembered.
-STRETCHES, PAIRS, ENTRY, KEPT = 4_000_000, 3_000_000, 24, 200
+CACHES, ENTRY, KEPT = (12_000_000, 5_000_000), 24, 200
+#: The same for a worker that has little memory: some 50 MB less, for half as much time again.
+LEAN = (4_000_000, 3_000_000)
 
 
 def default_model() -> str:
@@ -57,7 +59,7 @@ class PieceModel:
     entered again, since the tokens that lead to a position are unique.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, caches: tuple[int, int] = CACHES):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         model = pb.ModelProto()
@@ -76,14 +78,14 @@ class PieceModel:
         self.is_byte = [p.type == kinds.BYTE for p in model.pieces]
         self.raw = [b"" if p.type == kinds.CONTROL else b" \xe2\x81\x87 " if p.type == kinds.UNKNOWN else bytes([int(p.piece[3:5], 16)]) if p.type == kinds.BYTE else p.piece.replace(SPACE, " ").encode() for p in model.pieces]
         self.cut = re.compile(self._borders()).findall
-        self.joins = _Memo(lambda pair: self.merge(pair[0] + pair[1]) == [*pair], PAIRS)
+        self.joins = _Memo(lambda pair: self.merge(pair[0] + pair[1]) == [*pair], caches[1])
         self.find = ahocorasick.Automaton()
         for piece in self.id:
             if len(piece) == 1 or self.merge(piece) == [piece]:
                 self.find.add_word(piece, piece)
         self.find.make_automaton()
         self.shorter = {x: next((x[:n] for n in range(len(x) - 1, 0, -1) if x[:n] in self.find), None) for x in self.find}
-        self.memo = _Memo(self._stretch, STRETCHES)
+        self.memo = _Memo(self._stretch, caches[0])
 
     def _borders(self) -> str:
         """A pattern that finds the stretches of a text between places that no piece spans, so that no merge crosses them.
@@ -202,21 +204,22 @@ class PieceModel:
         return "".join(out)
 
 
-_LOADED: dict[str, PieceModel] = {}
+_LOADED: dict[tuple, PieceModel] = {}
 
 
-def load(path: str) -> PieceModel:
-    if path not in _LOADED:
-        _LOADED[path] = PieceModel(path)
-    return _LOADED[path]
+def load(path: str, caches: tuple[int, int] = CACHES) -> PieceModel:
+    if (path, caches) not in _LOADED:
+        _LOADED[path, caches] = PieceModel(path, caches)
+    return _LOADED[path, caches]
 
 
-def encode_pieces(docs: DataFrame, text: str = "text", ids: str = "ids", decoded: str | None = "decoded", model: str | None = None, eos: bool = True) -> DataFrame:
+def encode_pieces(docs: DataFrame, text: str = "text", ids: str = "ids", decoded: str | None = "decoded", model: str | None = None, eos: bool = True, caches: tuple[int, int] = CACHES) -> DataFrame:
     """``docs`` without ``text`` and with ``ids`` (array of int) and, if named, ``decoded``: the text decoded from ids.
 
     Encoding is exact for the whole text, however long; null and empty texts have only the end id and decode to the
     empty text. Rows are independent: no shuffle, repeated rows stay, all other columns pass through unchanged. Columns
-    of ``docs`` named like the results are replaced. An empty table gives an empty result.
+    of ``docs`` named like the results are replaced. An empty table gives an empty result. ``caches`` bounds what each worker
+    remembers; it changes time and memory only.
     """
     path = model or default_model()
     kept = [f for f in docs.schema.fields if f.name not in (text, ids, decoded)]
@@ -224,7 +227,7 @@ def encode_pieces(docs: DataFrame, text: str = "text", ids: str = "ids", decoded
     schema = T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType(), False)), *([T.StructField(decoded, T.StringType())] if decoded else [])])
 
     def run(batches):
-        pieces = load(path)
+        pieces = load(path, caches)
         for batch in batches:
             for lo, hi in slices(text_lengths(batch.column(len(names)))):
                 part = batch.slice(lo, hi - lo)
