@@ -66,7 +66,7 @@ def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     Null and empty texts have the end id only and decode to the empty text. Every row is encoded on its own, however long.
     """
-    return pieces.encode_pieces(docs)
+    return pieces.encode_pieces(docs, caches=pieces.LEAN)
 
 
 STAGES = [
