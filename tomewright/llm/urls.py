@@ -21,7 +21,7 @@ ROUNDS = math.ceil(math.log(TOLERANCE * (1 - DAMPING)) / math.log(DAMPING))
 LEAST_DISTRUST, RATIO = 0.5, 2.0
 #: A link to another host: an href with a scheme or a double slash; its host is the group.
 HREF = r"""(?i)\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"'\s>]+)"""
-#: Links written out at a time between two written tables, so that no plan grows with the rounds.
+#: Rounds between two written tables, so that no plan grows with the rounds.
 CUT = 5
 
 
@@ -48,26 +48,34 @@ def ranks(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     ``seeds`` (host, trust, distrust) hold what each host starts with, ``edges`` (src, dst, n) how often hosts link. Each
     round a host passes ``DAMPING`` of what it got last to the hosts it links to, in proportion to the links; distrust goes
     to the hosts that link to it. The rank is the sum of all rounds, up to ``TOLERANCE``; it ends as soon as nothing moves.
-    Links are summed per pair of hosts before they are joined, and what arrives at a host is combined before the shuffle,
-    so hubs stay small.
+
+    Each linked host is one row for trust and one for distrust, with what it got last and its sum so far. A move to itself
+    carries the sum over, so a round reads the state once and is one join and one aggregate, on the same key. Both are
+    written every ``CUT`` rounds, so no plan is longer than that; hosts without links never enter the rounds. Links are
+    summed per pair of hosts before they are joined, and what arrives at a host is combined before the shuffle, so hubs
+    stay small.
     """
     both = edges.select(F.lit(True).alias("good"), F.col("src").alias("a"), F.col("dst").alias("b"), "n").union(edges.select(F.lit(False), "dst", "src", "n"))
     out = both.groupBy("good", "a").agg(F.sum("n").alias("all"))
-    moves = materialize(both.join(out, ["good", "a"]).select("good", "a", "b", (F.lit(DAMPING) * F.col("n") / F.col("all")).alias("p")), "host-moves")
-    start = seeds.select(F.lit(True).alias("good"), F.col("host").alias("a"), F.col("trust").alias("r")).union(seeds.select(F.lit(False), "host", "distrust")).where("r > 0")
-    parts = [start]
-    now = start
-    for k in range(ROUNDS if not moves.isEmpty() else 0):
-        now = now.join(moves, ["good", "a"]).groupBy("good", F.col("b").alias("a")).agg(F.sum(F.col("r") * F.col("p")).alias("r"))
+    stay = both.select("good", "a").union(both.select("good", "b")).distinct().select("good", "a", F.col("a").alias("b"), F.lit(0.0).alias("p"), F.lit(1.0).alias("kept"))
+    go = both.join(out, ["good", "a"]).select("good", "a", "b", (F.lit(DAMPING) * F.col("n") / F.col("all")).alias("p"), F.lit(0.0).alias("kept"))
+    moves = materialize(go.union(stay), "host-moves")
+    if moves.isEmpty():
+        return seeds.select("host", "trust", "distrust").where("trust > 0 or distrust > 0")
+    start = seeds.select(F.lit(True).alias("good"), F.col("host").alias("a"), F.col("trust").alias("r")).union(seeds.select(F.lit(False), "host", "distrust"))
+    now = moves.where("kept > 0").select("good", "a").join(start.where("r > 0"), ["good", "a"]).select("good", "a", "r", F.col("r").alias("total"))
+    for k in range(ROUNDS):
+        moved = now.join(moves, ["good", "a"]).select("good", F.col("b").alias("a"), (F.col("r") * F.col("p")).alias("r"), (F.col("total") * F.col("kept")).alias("total"))
+        now = moved.groupBy("good", "a").agg(F.sum("r").alias("r"), (F.sum("total") + F.sum("r")).alias("total"))
         if k % CUT == CUT - 1:
             now = materialize(now, "host-ranks")
-            if now.isEmpty():
+            if now.where("r > 0").isEmpty():
                 break
-        parts.append(now)
-    total = parts[0]
-    for p in parts[1:]:
-        total = total.unionByName(p)
-    return total.groupBy(F.col("a").alias("host")).agg(F.sum(F.when(F.col("good"), F.col("r")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("good"), 0.0).otherwise(F.col("r"))).alias("distrust"))
+    total = lambda good: F.sum(F.when(F.col("good") == F.lit(good), F.col("total")).otherwise(0.0))
+    linked = now.groupBy(F.col("a").alias("host")).agg(total(True).alias("t"), total(False).alias("d"))
+    # what a linked host starts with is in its sum already; a linked host without a row in one of the two has nothing there
+    found = seeds.join(linked, "host", "full").select("host", F.coalesce("t", "trust").alias("trust"), F.coalesce("d", "distrust").alias("distrust"))
+    return found.where("trust > 0 or distrust > 0")
 
 
 def judge_urls(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html", rules=RULES) -> DataFrame:
