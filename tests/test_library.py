@@ -50,6 +50,41 @@ def test_edits(spark):
     assert got == [("b2", "reading", 4, "2026-01-01T00:00:00Z", None), ("other", "want", None, "2026-01-01T00:00:00Z", None), ("w1", "read", 4, "2026-02-01", 1.0), ("w3", "read", 5, "2026-02-01", 3.0)]
 
 
+EDIT = "user_id string, series_id string, follow boolean, at string"
+
+
+def test_follow_and_unfollow(spark):
+    have = follows(spark, ("u", "kept", "2026-01-01"), ("u", "gone", "2026-01-01"), ("u", "again", "2026-01-01"), ("u", "idle", "2026-01-01"))
+    edits = [
+        ("u", "kept", True, "2026-03-01"), ("u", "gone", False, "2026-03-01"), ("u", "again", True, "2026-03-05"), ("u", "again", False, "2026-03-02"), ("u", "again", True, "2026-03-01"), ("u", "again", True, "2026-03-04"),
+        ("u", "new", True, "2026-03-02"), ("u", "new", True, "2026-03-01"), ("u", "tie", True, "2026-03-01"), ("u", "tie", False, "2026-03-01"), ("u", "never", False, "2026-03-01"),
+        ("u", "idle", False, "not a date"), ("u", "idle", False, None), ("u", "idle", None, "2026-03-01"), (None, "x", True, "2026-03-01"), ("u", None, True, "2026-03-01"),
+    ]
+    got = rows(library.change_follows(have, spark.createDataFrame(edits + edits[:4], EDIT)))
+    assert got == [("u", "again", "2026-03-04"), ("u", "idle", "2026-01-01"), ("u", "kept", "2026-01-01"), ("u", "new", "2026-03-01"), ("u", "tie", "2026-03-01")]
+    assert library.change_follows(have.limit(0), spark.createDataFrame([], EDIT)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_follow_edits_match_a_plain_model(spark, seed):
+    rng = random.Random(seed)
+    day = lambda: f"2026-01-{rng.randint(1, 28):02d}"
+    state = {(u, s): day() for u in "uvw" for s in "abcdef" if rng.random() < 0.4}
+    have = follows(spark, *[(*k, at) for k, at in state.items()])
+    edits = [(rng.choice("uvw"), rng.choice("abcdef"), rng.random() < 0.6, day()) for _ in range(120)]
+    for u, s, follow, at in sorted(edits, key=lambda e: (e[3], e[2])):
+        if follow:
+            state.setdefault((u, s), at)
+        else:
+            state.pop((u, s), None)
+    assert rows(library.change_follows(have, spark.createDataFrame(edits, EDIT))) == sorted((*k, at) for k, at in state.items())
+
+
+def test_work_edits_follow(spark):
+    edits = spark.createDataFrame([("u", "s", "w", "read", None, "2026-01-02"), ("u", "t", "w", None, 4, "2026-01-03"), ("u", "z", "w", None, None, "2026-01-04")], "user_id string, series_id string, work_id string, status string, rating int, at string")
+    assert rows(library.edit_follows(edits)) == [("u", "s", True, "2026-01-02"), ("u", "t", True, "2026-01-03")]
+
+
 def test_read_through(spark):
     _, w = _works(spark, serie("s", [work("w1"), work("w2", 2.0), work("w3", 3.0), work("w4", 4.0)]))
     main = library.reading_rank(series.mainline(w)).withColumn("state", F.when(F.col("number") == 2, "scheduled").otherwise("released"))

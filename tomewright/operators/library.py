@@ -154,6 +154,32 @@ def rehome(entries: DataFrame, works: DataFrame, series: DataFrame, books: DataF
     return latest(both, ["user_id", "id"], [stamp(F.col("updated_at")), (F.col("__from") != "").cast("int"), F.col("__from")], list(ENTRY))
 
 
+def change_follows(follows: DataFrame, edits: DataFrame) -> DataFrame:
+    """(user_id, series_id, followed_at) after ``edits`` (user_id, series_id, follow, at), whatever order they come in.
+
+    Following again keeps the date since when a series is followed; unfollowing drops the row, and nothing but it: entries
+    stay. So only what came after a reader's last unfollowing of a series counts, and of that the first. Of edits at one
+    instant the unfollowing comes first. Edits with a null user, series or follow, or an ``at`` that is no instant, do nothing.
+
+    The edits of a reader to a series meet in one window, whose last unfollowing is all that it keeps; the aggregate that
+    follows and the join have the same key, so edits are shuffled once. Several rows of ``follows`` for a key become the
+    earliest.
+    """
+    key = ["user_id", "series_id"]
+    e = edits.select(*key, "follow", "at", stamp(F.col("at")).alias("__at")).where("user_id is not null and series_id is not null and follow is not null and __at is not null")
+    e = e.withColumn("__un", F.max(F.when(~F.col("follow"), F.col("__at"))).over(Window.partitionBy(*key)))
+    counts = F.col("follow") & (F.col("__un").isNull() | (F.col("__at") >= F.col("__un")))
+    told = e.groupBy(*key).agg(F.min_by(F.when(counts, F.col("at")), F.when(counts, F.struct("__at", "at"))).alias("__since"), F.bool_or(~F.col("follow")).alias("__dropped"))
+    have = follows.groupBy(*key).agg(F.min("followed_at").alias("followed_at"))
+    kept = F.when(F.coalesce("__dropped", F.lit(False)), F.col("__since")).otherwise(F.coalesce("followed_at", "__since"))
+    return have.join(told, key, "full").select(*key, kept.alias("followed_at")).where("followed_at is not null")
+
+
+def edit_follows(edits: DataFrame) -> DataFrame:
+    """The follow edits that edits of works (see ``apply_edits``) imply: a status or a rating follows the series, clearing changes nothing."""
+    return edits.where("status is not null or rating is not null").select("user_id", "series_id", F.lit(True).alias("follow"), "at")
+
+
 def apply_edits(entries: DataFrame, edits: DataFrame, works: DataFrame) -> DataFrame:
     """``entries`` after ``edits`` (user_id, series_id, work_id, status, rating, at), one per user and work.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import accounts, reader
+from ..operators import accounts, library, reader
 from ..sources import catalog as sources
 from ..sources import search_index
 from ..storage import Snapshots, scratch
@@ -140,3 +140,16 @@ def q118_delete_cascade(spark, d):
     shown = {"sources": F.lit(0), "documents": F.col("doc_id"), "labels": F.col("doc_id"), "embeddings": F.col("vec_id")}
     parts = [left[t].agg(F.count("*").alias("n"), F.coalesce(F.sum(c), F.lit(0)).cast("long").alias("ids")).select(F.lit(t).alias("table"), "n", "ids") for t, c in shown.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query("""with o as (select cast(o_custkey as varchar) user_id, o_orderpriority series_id, o_orderstatus s, strftime(o_orderdate, '%Y-%m-%d') "at" from orders where o_custkey is not null and o_orderpriority is not null and o_orderdate is not null),
+h as (select user_id, series_id, min("at") followed_at from o where s = 'P' group by 1, 2),
+u as (select *, max("at") filter (where s = 'F') over (partition by user_id, series_id) un from o where s in ('O', 'F')),
+e as (select user_id, series_id, min("at") filter (where s = 'O' and (un is null or "at" >= un)) since, bool_or(s = 'F') dropped from u group by 1, 2)
+select user_id, series_id, case when dropped then since else coalesce(followed_at, since) end followed_at from h full join e using (user_id, series_id) where case when dropped then since else coalesce(followed_at, since) end is not null""")
+def q119_follow_changes(spark, d):
+    """Open orders follow a priority, finished ones unfollow it, pending ones are what was followed before."""
+    rows = read(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("user_id"), F.col("o_orderpriority").alias("series_id"), "o_orderstatus", F.date_format("o_orderdate", "yyyy-MM-dd").alias("at"))
+    have = rows.where("o_orderstatus = 'P' and user_id is not null and series_id is not null and at is not null").select("user_id", "series_id", F.col("at").alias("followed_at"))
+    edits = rows.where("o_orderstatus in ('O', 'F')").select("user_id", "series_id", (F.col("o_orderstatus") == "O").alias("follow"), "at")
+    return library.change_follows(have, edits)
