@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..constants import PAGE, PER_AUTHOR, RECOMMEND_LIMIT, SEARCH_LIMIT
 from ..functions import signals, text, urls
-from ..operators import accounts, catalog, coverage, health, library, reader, recommend, series
+from ..operators import accounts, catalog, coverage, health, library, reader, recommend, series, similar
 from ..sources import catalog as sources
 from ..sources.catalog import parse_library
 from ..storage import scratch
@@ -159,6 +159,24 @@ def q77_semantic_count(spark, d):
     return recommend.semantic_count(_recommended(spark, d))
 
 
+#: As RANKED_SQL, with every starter as a seed.
+ALL_RANKED_SQL = f"""p as (select c.*, s.id seed_id, s.rf srf, s.subgenres sg, {_score_sql().replace('s.features', 's.rf')} from r c, r s where c.id <> s.id and (c."seriesKey" = s."seriesKey") is not true),
+q as (select *, n >= 3 and w > 0 and st > 0 semantic, len(list_intersect(subgenres, sg)) / greatest(len(list_distinct(list_concat(subgenres, sg))), 1) g, least(2, coalesce(len(list_intersect(rf, srf)), 0)) mech from p),
+scored as (select seed_id, id, author, round(least(1.0, (case when semantic then (1 - d / w) * 0.85 + g * 0.15 else g * 0.65 * (1 - d / (1 + w)) end) * 0.96 + least(popularity / 100, 1.0) * 0.04 + mech * 0.02), 6) score, case when semantic then 'taste' else 'genres' end "method" from q where semantic or g > 0),
+capped as (select * from (select *, row_number() over (partition by seed_id, {IDENTITY_SQL.format('author')} order by score desc, id) rn from scored) where rn <= {PER_AUTHOR}),
+top as (select seed_id, id, score, "method" from (select * exclude (rn), row_number() over (partition by seed_id order by score desc, id) place from capped) where place <= {RECOMMEND_LIMIT})"""
+
+
+@query(f"with {RECOMMEND_SQL.removesuffix(RANKED_SQL)} {ALL_RANKED_SQL} select * from top")
+def q120_recommend_all(spark, d):
+    """Each starter's recommendations, from blocks of alike starters."""
+    rows = books(spark, d)
+    path = scratch(spark, "similar")
+    similar.index_candidates(rows, path)
+    found = similar.recommend_all(catalog.series_starters(rows), path, scratch(spark, "similar-work"))
+    return found.select("seed_id", "id", "score", "method")
+
+
 CLAIMS_SQL = f"""{BOOKS_SQL}, {KEPT_SQL}, {SHELF_SQL}, claims as (select distinct series_id, work_id, unnest(list_concat([book_id], edition_ids)) id from sh),
 sure as (select id, min(series_id) series_id, min(work_id) work_id from claims group by id having count(distinct work_id) = 1),
 members as (select id, series_id from sure union all select id, "seriesKey" from b where id not in (select id from claims) and "seriesKey" in (select series_id from sh)),
