@@ -95,7 +95,7 @@ def judge_urls(pages: DataFrame, id: str = "page_id", url: str = "url", html: st
     )
     links = pages.select(host_of(F.col(url)).alias("src"), F.explode(F.regexp_extract_all(F.col(html), F.lit(HREF), F.lit(1))).alias("dst"))
     links = links.select("src", F.translate("dst", UPPER, LOWER).alias("dst")).where("src <> dst and src <> '' and dst <> ''")
-    edges = links.groupBy("src", "dst").agg(F.count("*").alias("n"))
+    edges = materialize(links.groupBy("src", "dst").agg(F.count("*").alias("n")), "host-edges")
     rank = ranks(seeds, edges)
     found = judged.join(rank, "host", "left").withColumns({c: F.round(F.coalesce(c, F.lit(0.0)), 6) for c in ("trust", "distrust")})
     method = F.when((F.col("distrust") >= LEAST_DISTRUST) & (F.col("distrust") > RATIO * F.col("trust")), "block").otherwise("allow")
