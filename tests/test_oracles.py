@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 from factories import SF
 from parity import connect, difference
@@ -48,3 +49,11 @@ def test_fold_matches_a_plain_reducer(spark):
         want[r["conv_id"]] = step(s, names[len(r["text"]) % 7])
     got = {r["conv_id"]: r.asDict() for r in QUERIES["q44_fold_actions"](spark, SF).collect()}
     assert {k: {**v, "open": is_open(v)} for k, v in want.items()} == {k: {c: v[c] for c in v if c != "conv_id"} for k, v in got.items()}
+
+
+def test_sessions_expire_within_a_second(spark, tmp_path):
+    table = str(tmp_path / "events.parquet")
+    duckdb.sql(f"""copy (select * from (values (1, timestamp '2024-01-16 00:00:00'), (2, timestamp '2024-01-16 00:00:00.000001'), (3, timestamp '2024-01-15 23:59:59.999999'), (4, timestamp '2024-01-16 00:00:01')) t(event_id, ts)) to '{table}' (format parquet)""")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{table}'")
+    assert difference(spark, con, QUERIES["q47_expire_sessions"], ORACLES["q47_expire_sessions"], str(tmp_path)) == ""

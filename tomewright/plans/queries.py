@@ -406,8 +406,8 @@ def q46_cas_revisions(spark, d):
 
 @query("select event_id from events where epoch(ts) + 30*24*3600 > epoch(timestamp '2024-02-15')")
 def q47_expire_sessions(spark, d):
-    e = _read(spark, d, "events").select("event_id", (F.unix_timestamp(F.col("ts").cast("timestamp")) + 30 * 24 * 3600).alias("expires_at"))
-    return accounts.unexpired(e, 1707955200).select("event_id")
+    e = _read(spark, d, "events").select("event_id", (F.unix_micros(F.col("ts").cast("timestamp")) + 30 * 24 * 3600 * 1000000).alias("expires_at"))  # a part of a second counts
+    return accounts.unexpired(e, 1707955200 * 1000000).select("event_id")
 
 
 @query("""with u as (select c_custkey + 100 k, c_name || '*' n, c_acctbal + 1 b from customer where c_custkey % 3 = 0)
