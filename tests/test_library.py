@@ -150,3 +150,36 @@ def test_parse_and_export(spark):
     again = library.export_library(f, e, "2026-09-18").select("user_id", parse_library(F.col("json")).alias("l")).where("user_id = 'u'").first()["l"]
     assert again["series"]["s"]["followedAt"] == "2026-01-01" and again["books"]["w"]["work"]["number"] == 0.5
     assert spark.createDataFrame([(doc,)], "j string").select(parse_library(F.col("j"), 10)).first()[0] is None
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ids_are_not_shuffled_and_edits_look_them_up_once(spark):
+    _, w = _works(spark, serie("s", [work("w1", bookId="b1", editionIds=["b1", "w1", "b2"]), work("w2", 2.0, bookId=None, editionIds=None)]))
+    ids = library.alias_ids(w)
+    assert "Exchange" not in _plan(ids)
+    assert [r[:2] for r in rows(ids.select("work_id", "id", "place").orderBy("place"))] == [("w1", "b1"), ("w1", "b2"), ("w1", "w1"), ("w2", "w2")]
+    edits = spark.createDataFrame([("u", "s", "w1", None, None, "2026-02-01"), ("u", "s", "w2", "read", None, "2026-02-01")], "user_id string, series_id string, work_id string, status string, rating double, at string")
+    found = library.apply_edits(entries(spark, entry("u", "b2"), entry("v", "b2", "paused"), entry(None, "w2", "want"), entry("u", "w2", rating=3)), edits, w)
+    assert _plan(found).count("Generate posexplode(array_distinct(") == 1
+    assert sorted((r["user_id"] or "", r["id"], r["status"], r["rating"]) for r in found.collect()) == [("", "w2", "want", None), ("u", "w2", "read", 3), ("v", "b2", "paused", None)]
+
+
+def test_places_are_those_of_mainline_and_rank(spark):
+    s = [serie("s", [work("w2", 2.0), work("w1"), work("w1b", editionIds=["x", "y"]), work("extra", None)]), serie("t", [work("z", None, title="Z"), work("a", None, title="A")], ordinal=1)]
+    _, w = _works(spark, *s)
+    main = library.reading_rank(series.mainline(w))
+    placed = library.place_works(w, series.mainline_order())
+    assert placed.count() == w.count() and rows(placed.where("is_main"), "work_id", "rank") == rows(main, "work_id", "rank")
+    assert rows(placed.where("not is_main"), "work_id", "rank") == [("extra", None), ("w1", None)]
+
+
+@pytest.mark.parametrize("name", ["q79_apply_edits", "q28_progress_counts", "q29_next_unread", "q30_read_through_prefix", "q108_implied_follows", "q27_rehome_precedence"])
+def test_lines_are_gathered_once(spark, name):
+    from factories import SF
+
+    from tomewright.plans.queries import QUERIES
+
+    assert "lineitem" not in _plan(QUERIES[name](spark, SF))

@@ -90,16 +90,20 @@ def parse_follows(raw: DataFrame, series: str = "series") -> DataFrame:
 
 
 def alias_ids(works: DataFrame) -> DataFrame:
-    """(series_id, work_id, place, id): all ids of a work, its own first."""
-    ids = F.concat(F.array("work_id", "book_id"), F.coalesce("edition_ids", F.array().cast("array<string>")))
-    return works.select("series_id", "work_id", F.posexplode(ids).alias("place", "id")).where("id is not null").groupBy("series_id", "work_id", "id").agg(F.min("place").alias("place"))
+    """(series_id, work_id, place, id): all ids of a work, each once and its own first. Each work is one row."""
+    ids = F.array_distinct(F.array_compact(F.concat(F.array("work_id", "book_id"), F.coalesce("edition_ids", F.array().cast("array<string>")))))
+    return works.select("series_id", "work_id", F.posexplode(ids).alias("place", "id"))
 
 
-def work_entries(entries: DataFrame, works: DataFrame) -> DataFrame:
-    """(user_id, series_id, work_id, entry): the latest entry over all ids of a work; of equals the work's own id, then the first."""
-    met = entries.join(alias_ids(works), "id")
-    order = [stamp(F.col("updated_at")), (F.col("id") == F.col("work_id")).cast("int"), -F.col("place")]
-    return latest(met, ["user_id", "series_id", "work_id"], order, ["id", *ENTRY])
+def work_entries(entries: DataFrame, works: DataFrame, values: tuple[str, ...] = ENTRY) -> DataFrame:
+    """(user_id, series_id, work_id, id, values): the latest entry over all ids of a work; of equals the work's own id, then the first."""
+    met = entries.select("user_id", "id", *{"updated_at": None, **dict.fromkeys(values)}).join(alias_ids(works), "id")
+    key = ["user_id", "series_id", "work_id"]  # entries of a work are few: combining them before the shuffle would only sort
+    return latest(met.repartition(*key), key, _entry_order(), ["id", *values])
+
+
+def _entry_order() -> list[Column]:
+    return [stamp(F.col("updated_at")), (F.col("id") == F.col("work_id")).cast("int"), -F.col("place")]
 
 
 def migrate_follows(follows: DataFrame, series: DataFrame) -> DataFrame:
@@ -186,17 +190,25 @@ def apply_edits(entries: DataFrame, edits: DataFrame, works: DataFrame) -> DataF
     A status writes the work's own entry and keeps the rating; a null status with a rating rates it, as read if there was no
     entry; both null clear the work: all of its ids lose their entries, so that an old one can't come back.
     """
-    have = work_entries(entries, works).select("user_id", "series_id", "work_id", F.col("status").alias("old_status"), F.col("rating").alias("old_rating"))
-    numbers = works.select("series_id", "work_id", F.col("number").alias("hint_number"))
-    e = edits.join(have, ["user_id", "series_id", "work_id"], "left").join(numbers, ["series_id", "work_id"])
+    key = ["user_id", "series_id", "work_id"]
+    met = entries.select("user_id", "id", "status", "rating", "updated_at").join(alias_ids(works), "id")
+    best = F.max_by(F.struct("status", "rating"), F.struct(*_entry_order()))
+    have = met.repartition(*key).groupBy(*key).agg(best.alias("old"), F.collect_set("id").alias("ids"))
+    asked = edits.join(works.select("series_id", "work_id", F.col("number").alias("hint_number")), ["series_id", "work_id"]).join(have, key, "left")
     rated = F.when(F.col("rating").between(1, 5), F.round("rating").cast("int"))
-    new = e.where("status is not null or rating is not null").select(
-        "user_id", F.col("work_id").alias("id"), F.coalesce("status", "old_status", F.lit("read")).alias("status"),
-        F.when(F.col("status").isNull(), rated).otherwise(F.col("old_rating")).alias("rating"), F.col("at").alias("updated_at"), F.col("series_id").alias("hint_series"), "hint_number",
-    )
-    cleared = e.where("status is null and rating is null").select("user_id", "series_id", "work_id").join(alias_ids(works), ["series_id", "work_id"]).select("user_id", "id")
-    rest = entries.join(cleared.unionByName(new.select("user_id", "id")).distinct(), ["user_id", "id"], "left_anti")
-    return rest.select("user_id", "id", *ENTRY).unionByName(new)
+    wrote = F.col("status").isNotNull() | F.col("rating").isNotNull()
+    fields = {
+        "status": F.coalesce("status", "old.status", F.lit("read")), "rating": F.when(F.col("status").isNull(), rated).otherwise(F.col("old.rating")), "updated_at": F.col("at"),
+        "hint_series": F.col("series_id"), "hint_number": F.col("hint_number"),
+    }
+    kinds = {f.name: f.dataType for f in entries.select(*ENTRY).schema}
+    made = asked.select(
+        "user_id", F.explode_outer(F.when(wrote, F.array("work_id")).otherwise(F.col("ids"))).alias("id"), *[F.when(wrote, fields[c]).cast(kinds[c]).alias(c) for c in ENTRY], F.when(wrote, 1).otherwise(2).alias("__kind"),
+    ).where("id is not null")
+    # what an edit wrote or cleared takes the place of entries; all meet once, by user and id
+    both = entries.select("user_id", "id", *ENTRY, F.lit(0).alias("__kind")).unionByName(made)
+    both = both.withColumn("__most", F.max("__kind").over(Window.partitionBy("user_id", "id")))
+    return both.where("__kind = 1 or (__kind = 0 and (__most = 0 or user_id is null))").select("user_id", "id", *ENTRY)
 
 
 def read_through_edits(entries: DataFrame, mainline: DataFrame, upto: DataFrame, at: str) -> DataFrame:
@@ -206,7 +218,7 @@ def read_through_edits(entries: DataFrame, mainline: DataFrame, upto: DataFrame,
     """
     cut = upto.join(mainline.select("series_id", "work_id", F.col("rank").alias("cut")), ["series_id", "work_id"]).select("user_id", "series_id", "cut")
     todo = mainline.join(cut, "series_id").where((F.col("rank") <= F.col("cut")) & (F.col("state") == "released"))
-    read = work_entries(entries, mainline).where("status = 'read'").select("user_id", "series_id", "work_id")
+    read = work_entries(entries, mainline, ("status",)).where("status = 'read'").select("user_id", "series_id", "work_id")
     return todo.join(read, ["user_id", "series_id", "work_id"], "left_anti").select("user_id", "series_id", "work_id", F.lit("read").alias("status"), F.lit(None).cast("int").alias("rating"), F.lit(at).alias("at"))
 
 
@@ -218,7 +230,7 @@ def progress(follows: DataFrame, works: DataFrame, entries: DataFrame, gaps: Dat
     and works that nothing vouches for are unresolved; without it gaps, undated works and unread side works are, and the
     list itself is never certain.
     """
-    read = work_entries(entries, works).select("user_id", "series_id", "work_id", F.col("status").alias("shelf"))
+    read = work_entries(entries, works, ("status",)).select("user_id", "series_id", "work_id", F.col("status").alias("shelf"))
     rows = follows.select("user_id", "series_id").join(works, "series_id").join(read, ["user_id", "series_id", "work_id"], "left").join(coverage.select("series_id", "current"), "series_id", "left")
     current = F.coalesce("current", F.lit(False))
     is_read, released = F.coalesce(F.col("shelf") == "read", F.lit(False)), F.col("state") == "released"
@@ -261,6 +273,18 @@ def reading_rank(main: DataFrame) -> DataFrame:
     return main.withColumn("rank", F.row_number().over(w))
 
 
+def place_works(works: DataFrame, order: list[Column], series: str = "series_id") -> DataFrame:
+    """``works`` with is_main, whether ``series.mainline`` has the work, and its ``reading_rank``, null for other works.
+
+    Rows are shuffled once, by series: both windows are within it.
+    """
+    numbered = F.max(F.col("number").isNotNull()).over(Window.partitionBy(series))
+    first = F.row_number().over(Window.partitionBy(series, "number").orderBy(*order)) == 1
+    marked = works.repartition(series).withColumn("is_main", F.when(F.col("number").isNotNull(), first).otherwise(~numbered))
+    w = Window.partitionBy(series).orderBy(F.desc("is_main"), F.coalesce("number", F.lit(float(UNNUMBERED))), F.collate("title", "UNICODE"), "work_id")
+    return marked.withColumn("rank", F.when(F.col("is_main"), F.row_number().over(w)))
+
+
 def up_next(progress: DataFrame, releases: DataFrame, titles: DataFrame) -> DataFrame:
     """The next unread work of each followed series, oldest release first."""
     met = progress.where("next_unread is not null").join(releases.select("series_id", F.col("work_id").alias("next_unread"), "date"), ["series_id", "next_unread"], "left").join(titles, "series_id", "left")
