@@ -1,5 +1,6 @@
 import json
 
+import pandas as pd
 import pytest
 from factories import book, rows, serie, work
 from pyspark.sql import functions as F
@@ -61,6 +62,38 @@ def test_one_time_stream(spark, tmp_path):
     assert got == [("t", 2, "p"), ("t", 3, None), ("x", 1, None)]
 
 
+def test_one_time_takes_many_tokens_in_a_call():
+    class Pending(dict):
+        calls = 0
+
+        def exists(self):
+            return bool(self)
+
+        def containsKey(self, k):
+            self.calls += 1
+            return k in self
+
+        def getValue(self, k):
+            return self[k]
+
+        def updateValue(self, k, v):
+            self.calls += 1
+            self[k] = v
+
+        def removeKey(self, k):
+            self.pop(k, None)
+
+    one = states.OneTime(600)
+    one.state = Pending()
+    batch = lambda *rows: iter([pd.DataFrame(rows[:2], columns=["token", "seq", "kind", "payload"]), pd.DataFrame(rows[2:], columns=["token", "seq", "kind", "payload"])])
+    told = lambda *rows: sorted(tuple(r) for out in one.handleInputRows((0,), batch(*rows), None) for r in out.itertuples(index=False))
+    many = [(f"m{i}", j, k, p) for i in range(500) for j, k, p in ((1, "claim", None), (0, "issue", f"p{i}"))]
+    assert told(*many) == sorted((f"m{i}", 1, f"p{i}") for i in range(500)) and one.state.calls == 0 and not one.state
+    assert told(("t", 2, "claim", None), ("t", 1, "issue", "p"), ("u", 1, "issue", "q"), ("x", 1, "claim", None), ("t", 3, "claim", None)) == [("t", 2, "p"), ("t", 3, None), ("x", 1, None)]
+    assert one.state == {("u",): ("q",)}
+    assert told(("u", 2, "claim", None), ("x", 2, "claim", None), ("u", 3, "claim", None), ("v", 1, "issue", "r")) == [("u", 2, "q"), ("u", 3, None), ("x", 2, None)] and one.state == {("v",): ("r",)}
+
+
 def test_windows_and_upserts(spark, tmp_path):
     path, schema = str(tmp_path / "in"), "id long, ts timestamp_ntz, k string"
     spark.createDataFrame([(1, "2026-01-01 01:00:00", "a"), (2, "2026-01-01 02:00:00", "a"), (3, "2026-01-02 02:00:00", "b")], "id long, ts string, k string").withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(path)

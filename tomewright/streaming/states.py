@@ -47,26 +47,38 @@ def compare_and_set(edits: DataFrame) -> DataFrame:
     return _keyed(edits, "user_id").transformWithStateInPandas(Revisions(), "user_id string, seq long, accepted boolean, revision long, document string", "update", "none")
 
 
+#: Keys that the tokens of ``one_time`` are dealt to. A call of Python costs milliseconds, so it gets the tokens of one key at once.
+BUCKETS = 4096
+
+
 class OneTime(StatefulProcessor):
-    """Per token: issued once with a lifetime, handed out on the first claim within it, and forgotten then."""
+    """Tokens, each issued with a lifetime, handed out on the first claim within it, and forgotten then.
+
+    Of a batch, only a token's first row needs what was there and only its last one changes it; a claim within the batch gets
+    what the row before it issued.
+    """
 
     def __init__(self, seconds: int):
         self.seconds = seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("pending", "payload string", ttlDurationMs=self.seconds * 1000)
+        self.state = handle.getMapState("pending", "token string", "payload string", ttlDurationMs=self.seconds * 1000)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        for row in pd.concat(list(rows)).sort_values("seq").itertuples(index=False):
-            if row.kind == "issue":
-                self.state.update((row.payload,))
-            elif self.state.exists():
-                out.append((key[0], row.seq, self.state.get()[0]))
-                self.state.clear()
-            else:
-                out.append((key[0], row.seq, None))
-        yield pd.DataFrame(out, columns=["token", "seq", "payload"])
+        e = pd.concat(list(rows), ignore_index=True)
+        e = e.assign(t=pd.factorize(e["token"], use_na_sentinel=False)[0]).sort_values(["t", "seq"], ignore_index=True)
+        issue, first = e["kind"] == "issue", e["t"].ne(e["t"].shift())
+        payload = e["payload"].shift().where(issue.shift(fill_value=False) & ~first).astype(object)
+        ends = e[e["t"].ne(e["t"].shift(-1))]
+        if self.state.exists():
+            for i in e.index[first & ~issue]:
+                if self.state.containsKey((e.at[i, "token"],)):
+                    payload[i] = self.state.getValue((e.at[i, "token"],))[0]
+            for token in ends.loc[~issue[ends.index], "token"]:
+                self.state.removeKey((token,))
+        for row in ends[issue[ends.index]].itertuples(index=False):
+            self.state.updateValue((row.token,), (row.payload,))
+        yield e.assign(payload=payload.where(payload.notna(), None))[~issue][["token", "seq", "payload"]]
 
     def close(self) -> None:
         pass
@@ -74,7 +86,8 @@ class OneTime(StatefulProcessor):
 
 def one_time(events: DataFrame, seconds: int) -> DataFrame:
     """(token, seq, payload) for each claim in a stream of events (token, seq, kind issue or claim, payload)."""
-    return _keyed(events, "token").transformWithStateInPandas(OneTime(seconds), "token string, seq long, payload string", "update", "processingtime")
+    dealt = events.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(BUCKETS)))
+    return _keyed(dealt, "bucket").transformWithStateInPandas(OneTime(seconds), "token string, seq long, payload string", "update", "processingtime")
 
 
 def latest_wins(events: DataFrame, key: list[str], order: list[str], values: list[str]) -> DataFrame:
