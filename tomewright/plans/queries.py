@@ -373,15 +373,16 @@ def q45_coverage_assess(spark, d):
     sid = F.col("o_orderkey").cast("string")
     k = F.col("o_orderkey") % 7
     proof = lambda kind: F.struct(F.lit("doc").alias("documentId"), F.lit("https://example.org/list").alias("url"), F.lit("1998-07-01T00:00:00.000Z").alias("observedAt"), F.lit(kind).alias("sourceType"))
-    numbers = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_set(F.col("l_linenumber").cast("double"))).alias("n"))
+    pairs = li.select("l_orderkey", "l_linenumber").distinct()
+    numbers = pairs.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.col("l_linenumber").cast("double"))).alias("n"))
     m = o.where(k != 0).join(numbers, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
         F.concat(F.lit("m"), sid).alias("id"), sid.alias("seriesId"), F.lit("numbered-mainline").alias("scope"), F.lit("en").alias("language"), F.array(F.lit("US")).alias("marketplaces"),
         F.when(k == 1, F.array(F.lit(-1.0))).otherwise(F.coalesce("n", F.array().cast("array<double>"))).alias("expectedNumbers"), F.lit("1998-06-30T00:00:00Z").alias("reviewedAt"), F.lit("ongoing").alias("audioCatalogState"),
         F.array(proof("publisher")).alias("bibliography"), F.lit(None).cast("struct<documentId:string,url:string,observedAt:string,sourceType:string>").alias("finalListEvidence"),
     )
     work_id = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
-    works = li.select(work_id.alias("id"), F.col("l_orderkey").cast("string").alias("seriesId"), F.col("l_linenumber").cast("double").alias("number"), F.lit("mainline").alias("role")).distinct()
-    ed = li.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.date_format("l_shipdate", "yyyy-MM-dd")).alias("d"))
+    works = pairs.select(work_id.alias("id"), F.col("l_orderkey").cast("string").alias("seriesId"), F.col("l_linenumber").cast("double").alias("number"), F.lit("mainline").alias("role"))
+    ed = li.groupBy("l_orderkey", "l_linenumber").agg(F.date_format(F.min("l_shipdate"), "yyyy-MM-dd").alias("d"))
     seen = proof("retailer").withField("observedAt", F.lit("1998-07-01T00:00:00.000Z"))
     editions = ed.select(
         F.concat(F.lit("e"), work_id).alias("id"), work_id.alias("workId"), F.lit("audiobook").alias("format"),
