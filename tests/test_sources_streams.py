@@ -132,3 +132,20 @@ def test_every_runs_batches(spark, tmp_path):
     finally:
         q.stop()
     assert sum(seen) == 3
+
+
+def test_json_is_parsed_once(spark):
+    """However many fields are asked for; a library of version 1 is a second form of it."""
+    from tomewright.operators import library
+
+    docs = ['{"version":2,"library":{"version":2,"series":{"s":{"followedAt":"1998-01-01"},"x y":{"followedAt":"1998-01-01"}},"books":{}}}', '{"version":2,"library":{"series":{}}}', '{"version":2,"series":{"t":{"followedAt":"1998-01-02"}},"books":{}}',
+            '{"version":1,"library":{"version":{"status":"read"},"b":{"status":"want"}}}', '{"version":1,"library":null}', '{"version":3,"library":{"series":{}}}', "{not", None]
+    raw = spark.createDataFrame(list(enumerate(docs)), "k int, json string").select("k", src.parse_library(F.col("json")).alias("l"))
+    assert [(r["k"], r["l"] and r["l"]["version"], r["l"] and r["l"]["books"] and sorted(r["l"]["books"])) for r in raw.orderBy("k").collect()] == [(0, 2, {}), (1, None, None), (2, 2, {}), (3, 1, ["b", "version"]), (4, None, None), (5, None, None), (6, None, None), (7, None, None)]
+    follows = library.parse_follows(raw.select("k", F.col("l.series").alias("series")))
+    assert rows(follows, "k", "series_id") == [(0, "s"), (2, "t")]
+    times = lambda df: df._jdf.queryExecution().executedPlan().toString().count("from_json(")
+    assert times(follows) == 2
+    health = spark.createDataFrame([('{"schemaVersion":1,"generatedAt":"x","works":[{"id":"a"},null]}',), ('{"schemaVersion":2,"generatedAt":"x","works":[{"id":"b"}]}',), ('{"schemaVersion":1,"works":[{"id":"c"}]}',), ('{"schemaVersion":1,"generatedAt":"x","works":[]}',)], "json string")
+    head, series, works = src.parse_health(health, "json")
+    assert head.count() == 2 and series.count() == 0 and [(r["ordinal"], r["id"]) for r in works.orderBy("ordinal").collect()] == [(0, "a"), (1, None)] and times(works.select("id", "seriesId")) == 1

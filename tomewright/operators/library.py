@@ -74,7 +74,7 @@ def sync(base: DataFrame, local: DataFrame, remotes: DataFrame, met: DataFrame,
 
 def parse_entries(raw: DataFrame, books: str = "books", as_of: str = "") -> DataFrame:
     """Valid entries of libraries with a ``books`` map: a known status, a safe id, whole ratings from 1 to 5."""
-    one = raw.select(*[c for c in raw.columns if c != books], F.explode(books).alias("id", "e"))
+    one = raw.select(*[c for c in raw.columns if c != books], F.explode_outer(books).alias("id", "e"))  # outer: else Spark parses once more to leave out empty ones
     rating = F.when((F.col("e.rating") == F.floor("e.rating")) & F.col("e.rating").between(1, 5), F.col("e.rating").cast("int"))
     hint = safe_id(F.col("e.work.series"))
     return one.where(safe_id(F.col("id")) & F.col("e.status").isin(*STATUSES)).select(
@@ -85,7 +85,7 @@ def parse_entries(raw: DataFrame, books: str = "books", as_of: str = "") -> Data
 
 
 def parse_follows(raw: DataFrame, series: str = "series") -> DataFrame:
-    one = raw.select(*[c for c in raw.columns if c != series], F.explode(series).alias("series_id", "f"))
+    one = raw.select(*[c for c in raw.columns if c != series], F.explode_outer(series).alias("series_id", "f"))  # outer as above; a row without an id is not valid
     return one.where(safe_id(F.col("series_id")) & parses(F.col("f.followedAt"))).select(*[c for c in raw.columns if c != series], "series_id", F.col("f.followedAt").alias("followed_at"))
 
 

@@ -21,7 +21,8 @@ def read_catalog(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def parse_catalog(rows: DataFrame, json: str) -> tuple[DataFrame, DataFrame]:
     """(books, series) of catalog documents that stand in a column of text."""
-    return _catalog(rows.select(F.from_json(json, _catalog_ddl()).alias("d")).select("d.*"))
+    good = rows.select(_once(F.from_json(json, _catalog_ddl()), lambda d: F.when(d["version"].isin(1, 2) & d["books"].isNotNull(), d)).alias("d"))
+    return _rows(good, "d.books"), _rows(good, "d.series")
 
 
 def _catalog_ddl() -> str:
@@ -50,8 +51,15 @@ def _struct(ddl: str) -> str:
     return ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in fields if f.name != "ordinal")
 
 
+def _once(value: Column, then) -> Column:
+    """``then`` of a value that is worked out once, however often it names it: Spark would repeat a costly expression."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _rows(raw: DataFrame, name: str) -> DataFrame:
-    return raw.select(F.posexplode(name).alias("ordinal", "r")).select(F.col("ordinal").cast("long").alias("ordinal"), "r.*")
+    """The rows of a list; exploded as outer, since otherwise Spark works the list out once more to leave out empty ones."""
+    listed = raw.select(F.posexplode_outer(name).alias("ordinal", "r")).where("ordinal is not null")
+    return listed.select(F.col("ordinal").cast("long").alias("ordinal"), "r.*")
 
 
 def read_years(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,7 +85,8 @@ def read_health(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, D
 
 def parse_health(rows: DataFrame, json: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(head, series, works) of health snapshots that stand in a column of text."""
-    return _health(rows.select(F.from_json(json, _health_ddl()).alias("d")).select("d.*"))
+    good = rows.select(_once(F.from_json(json, _health_ddl()), lambda d: F.when((d["schemaVersion"] == 1) & d["generatedAt"].isNotNull(), d)).alias("d"))
+    return good.where("d is not null").select("d.schemaVersion", "d.generatedAt"), _rows(good, "d.series"), _rows(good, "d.works")
 
 
 def _health_ddl() -> str:
@@ -96,13 +105,20 @@ def read_libraries(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_library(json: Column, most: int = MAX_IMPORT) -> Column:
     """A library struct from an export of version 1 or 2, or from a stored record; null beyond the size or if it is neither."""
-    v2 = F.from_json(json, f"struct<version:int,library:{schemas.LIBRARY}>")
-    v1 = F.from_json(json, f"struct<version:int,library:{_books_type()}>")
-    stored = F.from_json(json, schemas.LIBRARY)
-    made = lambda version, series, books: F.struct(version.alias("version"), series.alias("series"), books.alias("books"))
+    books = _books_type()
     empty = F.create_map().cast("map<string,struct<followedAt:string>>")
-    lib = F.when((v2["version"] == 2) & v2["library"]["series"].isNotNull(), v2["library"]).when((v1["version"] == 1) & v1["library"].isNotNull(), made(F.lit(1), empty, v1["library"])).when((stored["version"] == 2) & stored["series"].isNotNull() & stored["books"].isNotNull(), stored)
-    return F.when(F.octet_length(json) <= most, lib)
+    made = lambda version, series, books: F.struct(version.alias("version"), series.alias("series"), books.alias("books"))
+
+    def read(text: Column) -> Column:
+        # of a version 1 only the second parse reads the library, which is a map of books there
+        v1 = _once(F.from_json(text, f"struct<library:{books}>"), lambda d: F.when(d["library"].isNotNull(), made(F.lit(1), empty, d["library"])))
+        either = F.from_json(text, f"struct<version:int,library:{schemas.LIBRARY},series:map<string,struct<followedAt:string>>,books:{books}>")
+        return _once(either, lambda d: (
+            F.when((d["version"] == 2) & d["library"]["series"].isNotNull(), d["library"]).when(d["version"] == 1, v1)
+            .when((d["version"] == 2) & d["series"].isNotNull() & d["books"].isNotNull(), made(d["version"], d["series"], d["books"]))
+        ))
+
+    return _once(json, lambda text: F.when(F.octet_length(text) <= most, read(text)))
 
 
 def stored(rows: DataFrame, as_of: str) -> DataFrame:
