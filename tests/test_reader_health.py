@@ -111,3 +111,20 @@ def test_publication(spark):
     assert [r[0] for r in spark.createDataFrame([(s,) for s in states], schema).select(accounts.publication_valid(F.col("s"))).collect()] == [True, False, True, False, False]
     times = spark.createDataFrame([("2026-01-01 21:54:00", "schedule", False), ("2026-01-01 21:56:00", "schedule", True), ("2026-01-01 01:00:00", "workflow_dispatch", True), ("2026-01-01 05:00:00", "push", True)], "t string, e string, o boolean")
     assert [r[0] for r in times.select(accounts.deployment_allowed(F.col("t").cast("timestamp"), F.col("e"), F.col("o"))).collect()] == [True, False, True, False]
+
+
+def test_keys_are_dealt_out_in_parts_of_bounded_rows(spark):
+    """Not by bytes: anti joins, doubles and works get as many tasks as their rows ask for, and no second shuffle."""
+    from pyspark.sql import functions as F
+
+    from tomewright.operators import health
+    from tomewright.plans import registry
+
+    assert registry.tasks(spark.range(registry.ROWS * 3), spark.range(5)) == 4
+    a, b = spark.range(40).withColumnRenamed("id", "a"), spark.range(30).withColumnRenamed("id", "b")
+    lost = health.orphans(a.hint("merge"), b.unionByName(b), "a", "b", 7)
+    assert sorted(r["a"] for r in lost.collect()) == list(range(30, 40)) and lost.select(F.spark_partition_id()).distinct().count() > 1
+    plan = lost._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[0].count(", 7), REPARTITION_BY_NUM") == 2 and "ENSURE_REQUIREMENTS" not in plan.split("== Initial Plan ==")[0]
+    twice = health.duplicates(b.unionByName(b), "b", 7)
+    assert twice.count() == 30 and ", 7), REPARTITION_BY_NUM" in twice._jdf.queryExecution().executedPlan().toString()

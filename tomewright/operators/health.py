@@ -84,17 +84,23 @@ def filter_counts(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("all"), F.count_if("missing").alias("missing"), F.count_if("review").alias("review"))
 
 
-def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
+def _dealt(rows: DataFrame, key: str, parts: int | None) -> DataFrame:
+    """``rows`` in a number of parts by key; Spark would choose it by compressed bytes, of which keys take few."""
+    return rows.repartition(parts, key) if parts else rows
+
+
+def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str, parts: int | None = None) -> DataFrame:
     """Child rows whose key no parent has; a null key is one of them."""
-    return child.join(parent.select(F.col(parent_key).alias("__p")).distinct(), F.col(child_key) == F.col("__p"), "left_anti")
+    known = _dealt(parent.select(F.col(parent_key).alias("__p")), "__p", parts).distinct()
+    return _dealt(child, child_key, parts).join(known, F.col(child_key) == F.col("__p"), "left_anti")
 
 
-def duplicates(rows: DataFrame, key: str) -> DataFrame:
-    return rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+def duplicates(rows: DataFrame, key: str, parts: int | None = None) -> DataFrame:
+    return _dealt(rows.select(key), key, parts).groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def violations(series: DataFrame, works: DataFrame) -> DataFrame:
-    """(subject, id, reason) for everything that makes a snapshot unusable; a valid one has none."""
+def violations(series: DataFrame, works: DataFrame, parts: int | None = None) -> DataFrame:
+    """(subject, id, reason) for everything that makes a snapshot unusable; a valid one has none. Ids are dealt out in ``parts``."""
     statuses = list(SEVERITY)
     bad = lambda x: F.coalesce(~x, F.lit(True))
     score = lambda s: s["percent"].between(0, 100) & s["earned"].isNotNull() & s["possible"].isNotNull() & s["explanation"].isNotNull()
@@ -106,13 +112,13 @@ def violations(series: DataFrame, works: DataFrame) -> DataFrame:
         "check": checks, "issue": problems, "source": sources,
     }
     gap = F.forall("missingVolumes", lambda g: F.coalesce(g["number"].isNotNull() & g["evidence"].isin("reviewed-bibliography", "observed-numbering") & g["status"].isin("missing", "unknown", "stale") & g["explanation"].isNotNull(), F.lit(False)))
-    parts = []
+    found = []
     for name, df, more in (("series", series, {"gap": gap, "counts": F.col("knownWorks").isNotNull() & F.col("confirmedAudioWorks").isNotNull() & F.col("workIds").isNotNull()}), ("work", works, {"audio": F.col("audio.state").isin("released", "scheduled", "undated", "unverified", "none"), "formats": F.col("formats").isNotNull()})):
         reasons = F.array_compact(F.array(*[F.when(bad(ok), reason) for reason, ok in {**common, **more}.items()]))
-        parts.append(df.select(F.lit(name).alias("subject"), "id", F.explode(reasons).alias("reason")))
-        parts.append(duplicates(df, "id").select(F.lit(name).alias("subject"), "id", F.lit("duplicate").alias("reason")))
-    parts.append(orphans(works, series, "seriesId", "id").select(F.lit("work").alias("subject"), "id", F.lit("series").alias("reason")))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+        found.append(df.select(F.lit(name).alias("subject"), "id", F.explode(reasons).alias("reason")))
+        found.append(duplicates(df, "id", parts).select(F.lit(name).alias("subject"), "id", F.lit("duplicate").alias("reason")))
+    found.append(orphans(works.select("id", "seriesId"), series, "seriesId", "id", parts).select(F.lit("work").alias("subject"), "id", F.lit("series").alias("reason")))
+    return reduce(lambda a, b: a.unionByName(b), found)
 
 
 def percent(score: Column) -> Column:

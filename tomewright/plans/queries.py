@@ -15,6 +15,7 @@ from ..operators import accounts, catalog, coverage, health, library, reader, re
 from ..streaming import states
 from .registry import ORACLES, QUERIES, query
 from .registry import read as _read
+from .registry import tasks
 
 AS_OF = "1998-07-01"
 
@@ -297,11 +298,12 @@ select 'line', cast(l_orderkey as bigint) from lineitem where not exists (select
 select 'customer', cast(o_custkey as bigint) from orders where not exists (select 1 from customer where c_custkey = o_custkey) union all
 select 'duplicate', cast(o_orderkey as bigint) from orders group by o_orderkey having count(*) > 1""")
 def q37_integrity_violations(spark, d):
-    o, li, c = _read(spark, d, "orders"), _lines(spark, d), _read(spark, d, "customer")
+    o, li, c = _read(spark, d, "orders").select("o_orderkey", "o_custkey"), _lines(spark, d).select("l_orderkey"), _read(spark, d, "customer")
+    parts = tasks(o, li)
     named = lambda df, name, key: df.select(F.lit(name).alias("subject"), F.col(key).cast("long").alias("id"))
     return (
-        named(health.orphans(o, li, "o_orderkey", "l_orderkey"), "order", "o_orderkey").unionByName(named(health.orphans(li, o, "l_orderkey", "o_orderkey"), "line", "l_orderkey"))
-        .unionByName(named(health.orphans(o, c, "o_custkey", "c_custkey"), "customer", "o_custkey")).unionByName(named(health.duplicates(o, "o_orderkey"), "duplicate", "o_orderkey"))
+        named(health.orphans(o, li, "o_orderkey", "l_orderkey", parts), "order", "o_orderkey").unionByName(named(health.orphans(li, o, "l_orderkey", "o_orderkey", parts), "line", "l_orderkey"))
+        .unionByName(named(health.orphans(o, c, "o_custkey", "c_custkey", parts), "customer", "o_custkey")).unionByName(named(health.duplicates(o, "o_orderkey", parts), "duplicate", "o_orderkey"))
     )
 
 
