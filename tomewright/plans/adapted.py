@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from .. import schemas
 from ..operators import library, series
 from ..storage import scratch
-from .registry import read
+from .registry import read, tasks
 
 TASTE_KEYS = ("stats", "action", "humor", "cozy", "worldbuilding", "crafting", "politics", "teamwork")
 
@@ -162,8 +162,9 @@ def _named(li: DataFrame, *more: str) -> DataFrame:
 
 
 def works(spark, d) -> DataFrame:
-    """Works of ``lineitem`` as exploded works are, with what the tables say of them besides."""
-    return _named(_gathered(read(spark, d, "lineitem")))
+    """Works of ``lineitem`` as exploded works are, with what the tables say of them besides; dealt out once, by order."""
+    li = read(spark, d, "lineitem")
+    return _named(_gathered(li.repartition(tasks(li), "l_orderkey")))
 
 
 def stored_works(spark, d, placed: bool = False) -> DataFrame:
