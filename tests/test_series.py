@@ -104,3 +104,12 @@ def test_calendar_and_pages(spark):
     assert ids(catalog.release_calendar(b, "releaseDate", "upcoming", "2026-03-02T10:00:00Z")) == ["a"]
     assert ids(catalog.keyset_page(b, ["id"], ("b",), 1)) == ["c"]
     assert rows(catalog.distinct_names(spark.createDataFrame([("A, B",), ("B ,",)], "n string"), "n")) == [("A",), ("B",)]
+
+
+def test_members_of_one_series_go_to_many_tasks(spark):
+    """Each gets the whole lists of its series, so one task must not make all of them."""
+    b = books(spark, *[book(f"b{i}") for i in range(200)])
+    s = all_series(spark, serie("s", [work("w", bookId="b0", editionIds=[f"b{i}" for i in range(200)])]))
+    b = b.withColumn("content", F.col("content").withField("harem", F.struct(F.lit("present").alias("verdict"), F.lit(0.95).alias("confidence"), F.lit("publisher").alias("source"), F.lit(None).cast("string").alias("note"))))
+    found = series.content_index(s, b).withColumn("task", F.spark_partition_id()).collect()
+    assert len(found) == 200 and {len(r["supporting_edition_ids"]) for r in found} == {200} and len({r["task"] for r in found}) > 20
