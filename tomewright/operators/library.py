@@ -89,17 +89,22 @@ def parse_follows(raw: DataFrame, series: str = "series") -> DataFrame:
     return one.where(safe_id(F.col("series_id")) & parses(F.col("f.followedAt"))).select(*[c for c in raw.columns if c != series], "series_id", F.col("f.followedAt").alias("followed_at"))
 
 
-def alias_ids(works: DataFrame) -> DataFrame:
+#: ``within`` names columns of all tables of a call whose values are equal wherever ids, series or readers' rows meet. Tables that are
+#: dealt out by them already then meet without a shuffle, if the session does not require all keys of a join for that.
+Within = tuple[str, ...]
+
+
+def alias_ids(works: DataFrame, within: Within = ()) -> DataFrame:
     """(series_id, work_id, place, id): all ids of a work, each once and its own first. Each work is one row."""
     ids = F.array_distinct(F.array_compact(F.concat(F.array("work_id", "book_id"), F.coalesce("edition_ids", F.array().cast("array<string>")))))
-    return works.select("series_id", "work_id", F.posexplode(ids).alias("place", "id"))
+    return works.select(*within, "series_id", "work_id", F.posexplode(ids).alias("place", "id"))
 
 
-def work_entries(entries: DataFrame, works: DataFrame, values: tuple[str, ...] = ENTRY) -> DataFrame:
+def work_entries(entries: DataFrame, works: DataFrame, values: tuple[str, ...] = ENTRY, within: Within = ()) -> DataFrame:
     """(user_id, series_id, work_id, id, values): the latest entry over all ids of a work; of equals the work's own id, then the first."""
-    met = entries.select("user_id", "id", *{"updated_at": None, **dict.fromkeys(values)}).join(alias_ids(works), "id")
-    key = ["user_id", "series_id", "work_id"]  # entries of a work are few: combining them before the shuffle would only sort
-    return latest(met.repartition(*key), key, _entry_order(), ["id", *values])
+    met = entries.select(*within, "user_id", "id", *{"updated_at": None, **dict.fromkeys(values)}).join(alias_ids(works, within), [*within, "id"])
+    key = [*within, "user_id", "series_id", "work_id"]  # entries of a work are few: combining them before the shuffle would only sort
+    return latest(met if within else met.repartition(*key), key, _entry_order(), ["id", *values])
 
 
 def _entry_order() -> list[Column]:
@@ -115,12 +120,12 @@ def migrate_follows(follows: DataFrame, series: DataFrame) -> DataFrame:
     return moved.groupBy("user_id", "series_id").agg(F.min_by("followed_at", F.struct("followed_at", -F.col("moved"))).alias("followed_at"))
 
 
-def implied_follows(entries: DataFrame, works: DataFrame) -> DataFrame:
+def implied_follows(entries: DataFrame, works: DataFrame, within: Within = ()) -> DataFrame:
     """A series of which anything is tracked counts as followed since its first entry."""
-    return entries.join(alias_ids(works), "id").groupBy("user_id", "series_id").agg(F.min("updated_at").alias("followed_at"))
+    return entries.join(alias_ids(works, within), [*within, "id"]).groupBy(*within, "user_id", "series_id").agg(F.min("updated_at").alias("followed_at"))
 
 
-def rehome(entries: DataFrame, works: DataFrame, series: DataFrame, books: DataFrame | None = None) -> DataFrame:
+def rehome(entries: DataFrame, works: DataFrame, series: DataFrame, books: DataFrame | None = None, within: Within = ()) -> DataFrame:
     """Entries whose id leads nowhere, moved to the work they were about.
 
     In this order: the hint on the entry (series or former name, and number), the id that the work would have got under a
@@ -128,34 +133,34 @@ def rehome(entries: DataFrame, works: DataFrame, series: DataFrame, books: DataF
     work if it is not older. Ids that were made up go, real ones stay. Several orphans of one work: the latest, of equals the
     last in id order, is what one after the other would leave.
     """
-    known = alias_ids(works).select("id").distinct()
-    lost = entries.join(known, "id", "left_anti")
+    known = alias_ids(works, within).select(*within, "id").distinct()
+    lost = entries.join(known, [*within, "id"], "left_anti")
     # every name of a series leads to the first series that has it
-    names = series.select(F.col("id").alias("series_id"), "ordinal", F.explode(F.concat(F.array("id"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"))
-    first_name = names.groupBy("name").agg(F.min_by("series_id", "ordinal").alias("series_id"))
-    numbered = works.where("number is not null").groupBy("series_id", "number").agg(F.min_by("work_id", "position").alias("work_id"))
-    target = lambda df, name, number: df.join(first_name.select(F.col("name").alias(name), F.col("series_id").alias("t_series")), name).join(numbered.select(F.col("series_id").alias("t_series"), F.col("number").alias(number), F.col("work_id").alias("t_work")), ["t_series", number])
-    by_hint = target(lost.where("hint_series is not null and hint_number is not null").select("user_id", "id", "hint_series", "hint_number"), "hint_series", "hint_number").select("user_id", "id", F.lit(0).alias("how"), "t_series", "t_work")
-    titles = works.select("series_id", "work_id", "position", "title", "number")
+    names = series.select(*within, F.col("id").alias("series_id"), "ordinal", F.explode(F.concat(F.array("id"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"))
+    first_name = names.groupBy(*within, "name").agg(F.min_by("series_id", "ordinal").alias("series_id"))
+    numbered = works.where("number is not null").groupBy(*within, "series_id", "number").agg(F.min_by("work_id", "position").alias("work_id"))
+    target = lambda df, name, number: df.join(first_name.select(*within, F.col("name").alias(name), F.col("series_id").alias("t_series")), [*within, name]).join(numbered.select(*within, F.col("series_id").alias("t_series"), F.col("number").alias(number), F.col("work_id").alias("t_work")), [*within, "t_series", number])
+    by_hint = target(lost.where("hint_series is not null and hint_number is not null").select(*within, "user_id", "id", "hint_series", "hint_number"), "hint_series", "hint_number").select(*within, "user_id", "id", F.lit(0).alias("how"), "t_series", "t_work")
+    titles = works.select(*within, "series_id", "work_id", "position", "title", "number")
     if books is not None:
-        b = books.select(F.col("id").alias("bid"), F.col("title").alias("btitle"), F.col("seriesNumber").alias("bnumber"))
-        own = works.select("series_id", "work_id", "position", F.col("title").alias("wtitle"), F.col("number").alias("wnumber"), F.explode(F.concat(F.array("book_id"), F.coalesce("edition_ids", F.array().cast("array<string>")))).alias("bid")).join(b, "bid")
-        spelled = own.select("series_id", "work_id", "position", F.explode(F.array("wtitle", "btitle")).alias("title"), "wnumber", "bnumber")
-        titles = titles.unionByName(spelled.select("series_id", "work_id", "position", "title", F.explode(F.array("wnumber", "bnumber")).alias("number")))
-    made = titles.where("number is not null").distinct().join(names, "series_id").select(legacy_work_id(F.col("name"), F.col("number"), F.col("title")).alias("id"), "series_id", "work_id", "ordinal", "position")
-    made = made.groupBy("id").agg(F.max_by(F.struct(F.col("series_id").alias("t_series"), F.col("work_id").alias("t_work")), F.struct("ordinal", "position")).alias("t")).select("id", "t.*")
-    by_made = lost.select("user_id", "id").join(made, "id").select("user_id", "id", F.lit(1).alias("how"), "t_series", "t_work")
+        b = books.select(*within, F.col("id").alias("bid"), F.col("title").alias("btitle"), F.col("seriesNumber").alias("bnumber"))
+        own = works.select(*within, "series_id", "work_id", "position", F.col("title").alias("wtitle"), F.col("number").alias("wnumber"), F.explode(F.concat(F.array("book_id"), F.coalesce("edition_ids", F.array().cast("array<string>")))).alias("bid")).join(b, [*within, "bid"])
+        spelled = own.select(*within, "series_id", "work_id", "position", F.explode(F.array("wtitle", "btitle")).alias("title"), "wnumber", "bnumber")
+        titles = titles.unionByName(spelled.select(*within, "series_id", "work_id", "position", "title", F.explode(F.array("wnumber", "bnumber")).alias("number")))
+    made = titles.where("number is not null").distinct().join(names, [*within, "series_id"]).select(*within, legacy_work_id(F.col("name"), F.col("number"), F.col("title")).alias("id"), "series_id", "work_id", "ordinal", "position")
+    made = made.groupBy(*within, "id").agg(F.max_by(F.struct(F.col("series_id").alias("t_series"), F.col("work_id").alias("t_work")), F.struct("ordinal", "position")).alias("t")).select(*within, "id", "t.*")
+    by_made = lost.select(*within, "user_id", "id").join(made, [*within, "id"]).select(*within, "user_id", "id", F.lit(1).alias("how"), "t_series", "t_work")
     found = by_hint.unionByName(by_made)
     if books is not None:
-        audio = books.where((F.col("edition") == "audiobook") & F.col("seriesNumber").isNotNull()).select("id", "seriesKey", "seriesNumber")
-        found = found.unionByName(target(lost.select("user_id", "id").join(audio, "id"), "seriesKey", "seriesNumber").select("user_id", "id", F.lit(2).alias("how"), "t_series", "t_work"))
-    best = found.groupBy("user_id", "id").agg(F.min_by(F.struct("t_series", "t_work"), "how").alias("t")).select("user_id", "id", "t.*")
-    numbers = works.select(F.col("series_id").alias("t_series"), F.col("work_id").alias("t_work"), F.col("number").alias("t_number"))
-    moved = lost.join(best, ["user_id", "id"]).join(numbers, ["t_series", "t_work"]).select("user_id", F.col("t_work").alias("id"), "status", "rating", "updated_at", F.col("t_series").alias("hint_series"), F.col("t_number").alias("hint_number"), F.col("id").alias("__from"))
-    gone = best.where(F.col("id").startswith("work-legacy-")).select("user_id", "id")
-    stay = entries.join(gone, ["user_id", "id"], "left_anti").select("user_id", "id", *ENTRY, F.lit("").alias("__from"))
+        audio = books.where((F.col("edition") == "audiobook") & F.col("seriesNumber").isNotNull()).select(*within, "id", "seriesKey", "seriesNumber")
+        found = found.unionByName(target(lost.select(*within, "user_id", "id").join(audio, [*within, "id"]), "seriesKey", "seriesNumber").select(*within, "user_id", "id", F.lit(2).alias("how"), "t_series", "t_work"))
+    best = found.groupBy(*within, "user_id", "id").agg(F.min_by(F.struct("t_series", "t_work"), "how").alias("t")).select(*within, "user_id", "id", "t.*")
+    numbers = works.select(*within, F.col("series_id").alias("t_series"), F.col("work_id").alias("t_work"), F.col("number").alias("t_number"))
+    moved = lost.join(best, [*within, "user_id", "id"]).join(numbers, [*within, "t_series", "t_work"]).select(*within, "user_id", F.col("t_work").alias("id"), "status", "rating", "updated_at", F.col("t_series").alias("hint_series"), F.col("t_number").alias("hint_number"), F.col("id").alias("__from"))
+    gone = best.where(F.col("id").startswith("work-legacy-")).select(*within, "user_id", "id")
+    stay = entries.join(gone, [*within, "user_id", "id"], "left_anti").select(*within, "user_id", "id", *ENTRY, F.lit("").alias("__from"))
     both = stay.unionByName(moved.select(*stay.columns))
-    return latest(both, ["user_id", "id"], [stamp(F.col("updated_at")), (F.col("__from") != "").cast("int"), F.col("__from")], list(ENTRY))
+    return latest(both, [*within, "user_id", "id"], [stamp(F.col("updated_at")), (F.col("__from") != "").cast("int"), F.col("__from")], list(ENTRY))
 
 
 def change_follows(follows: DataFrame, edits: DataFrame) -> DataFrame:
@@ -184,17 +189,17 @@ def edit_follows(edits: DataFrame) -> DataFrame:
     return edits.where("status is not null or rating is not null").select("user_id", "series_id", F.lit(True).alias("follow"), "at")
 
 
-def apply_edits(entries: DataFrame, edits: DataFrame, works: DataFrame) -> DataFrame:
+def apply_edits(entries: DataFrame, edits: DataFrame, works: DataFrame, within: Within = ()) -> DataFrame:
     """``entries`` after ``edits`` (user_id, series_id, work_id, status, rating, at), one per user and work.
 
     A status writes the work's own entry and keeps the rating; a null status with a rating rates it, as read if there was no
     entry; both null clear the work: all of its ids lose their entries, so that an old one can't come back.
     """
-    key = ["user_id", "series_id", "work_id"]
-    met = entries.select("user_id", "id", "status", "rating", "updated_at").join(alias_ids(works), "id")
+    key = [*within, "user_id", "series_id", "work_id"]
+    met = entries.select(*within, "user_id", "id", "status", "rating", "updated_at").join(alias_ids(works, within), [*within, "id"])
     best = F.max_by(F.struct("status", "rating"), F.struct(*_entry_order()))
-    have = met.repartition(*key).groupBy(*key).agg(best.alias("old"), F.collect_set("id").alias("ids"))
-    asked = edits.join(works.select("series_id", "work_id", F.col("number").alias("hint_number")), ["series_id", "work_id"]).join(have, key, "left")
+    have = (met if within else met.repartition(*key)).groupBy(*key).agg(best.alias("old"), F.collect_set("id").alias("ids"))
+    asked = edits.join(works.select(*within, "series_id", "work_id", F.col("number").alias("hint_number")), [*within, "series_id", "work_id"]).join(have, key, "left")
     rated = F.when(F.col("rating").between(1, 5), F.round("rating").cast("int"))
     wrote = F.col("status").isNotNull() | F.col("rating").isNotNull()
     fields = {
@@ -203,26 +208,26 @@ def apply_edits(entries: DataFrame, edits: DataFrame, works: DataFrame) -> DataF
     }
     kinds = {f.name: f.dataType for f in entries.select(*ENTRY).schema}
     made = asked.select(
-        "user_id", F.explode_outer(F.when(wrote, F.array("work_id")).otherwise(F.col("ids"))).alias("id"), *[F.when(wrote, fields[c]).cast(kinds[c]).alias(c) for c in ENTRY], F.when(wrote, 1).otherwise(2).alias("__kind"),
+        *within, "user_id", F.explode_outer(F.when(wrote, F.array("work_id")).otherwise(F.col("ids"))).alias("id"), *[F.when(wrote, fields[c]).cast(kinds[c]).alias(c) for c in ENTRY], F.when(wrote, 1).otherwise(2).alias("__kind"),
     ).where("id is not null")
     # what an edit wrote or cleared takes the place of entries; all meet once, by user and id
-    both = entries.select("user_id", "id", *ENTRY, F.lit(0).alias("__kind")).unionByName(made)
-    both = both.withColumn("__most", F.max("__kind").over(Window.partitionBy("user_id", "id")))
-    return both.where("__kind = 1 or (__kind = 0 and (__most = 0 or user_id is null))").select("user_id", "id", *ENTRY)
+    both = entries.select(*within, "user_id", "id", *ENTRY, F.lit(0).alias("__kind")).unionByName(made)
+    both = both.withColumn("__most", F.max("__kind").over(Window.partitionBy(*within, "user_id", "id")))
+    return both.where("__kind = 1 or (__kind = 0 and (__most = 0 or user_id is null))").select(*within, "user_id", "id", *ENTRY)
 
 
-def read_through_edits(entries: DataFrame, mainline: DataFrame, upto: DataFrame, at: str) -> DataFrame:
+def read_through_edits(entries: DataFrame, mainline: DataFrame, upto: DataFrame, at: str, within: Within = ()) -> DataFrame:
     """Edits that mark released mainline works up to and with the chosen one as read, where they are not yet.
 
     ``mainline`` has series_id, work_id, rank in reading order and state; ``upto`` user_id, series_id, work_id.
     """
-    cut = upto.join(mainline.select("series_id", "work_id", F.col("rank").alias("cut")), ["series_id", "work_id"]).select("user_id", "series_id", "cut")
-    todo = mainline.join(cut, "series_id").where((F.col("rank") <= F.col("cut")) & (F.col("state") == "released"))
-    read = work_entries(entries, mainline, ("status",)).where("status = 'read'").select("user_id", "series_id", "work_id")
-    return todo.join(read, ["user_id", "series_id", "work_id"], "left_anti").select("user_id", "series_id", "work_id", F.lit("read").alias("status"), F.lit(None).cast("int").alias("rating"), F.lit(at).alias("at"))
+    cut = upto.join(mainline.select(*within, "series_id", "work_id", F.col("rank").alias("cut")), [*within, "series_id", "work_id"]).select(*within, "user_id", "series_id", "cut")
+    todo = mainline.join(cut, [*within, "series_id"]).where((F.col("rank") <= F.col("cut")) & (F.col("state") == "released"))
+    read = work_entries(entries, mainline, ("status",), within).where("status = 'read'").select(*within, "user_id", "series_id", "work_id")
+    return todo.join(read, [*within, "user_id", "series_id", "work_id"], "left_anti").select(*within, "user_id", "series_id", "work_id", F.lit("read").alias("status"), F.lit(None).cast("int").alias("rating"), F.lit(at).alias("at"))
 
 
-def progress(follows: DataFrame, works: DataFrame, entries: DataFrame, gaps: DataFrame, coverage: DataFrame) -> DataFrame:
+def progress(follows: DataFrame, works: DataFrame, entries: DataFrame, gaps: DataFrame, coverage: DataFrame, within: Within = ()) -> DataFrame:
     """Counters and state per user and followed series.
 
     ``works``: series_id, work_id, book_id, edition_ids, rank, is_main, has_audio, state (of the release). ``gaps``:
@@ -230,21 +235,22 @@ def progress(follows: DataFrame, works: DataFrame, entries: DataFrame, gaps: Dat
     and works that nothing vouches for are unresolved; without it gaps, undated works and unread side works are, and the
     list itself is never certain.
     """
-    read = work_entries(entries, works, ("status",)).select("user_id", "series_id", "work_id", F.col("status").alias("shelf"))
-    rows = follows.select("user_id", "series_id").join(works, "series_id").join(read, ["user_id", "series_id", "work_id"], "left").join(coverage.select("series_id", "current"), "series_id", "left")
+    read = work_entries(entries, works, ("status",), within).select(*within, "user_id", "series_id", "work_id", F.col("status").alias("shelf"))
+    of = [*within, "series_id"]
+    rows = follows.select("user_id", *of).join(works, of).join(read, ["user_id", *of, "work_id"], "left").join(coverage.select(*of, "current"), of, "left")
     current = F.coalesce("current", F.lit(False))
     is_read, released = F.coalesce(F.col("shelf") == "read", F.lit(False)), F.col("state") == "released"
     main = F.col("is_main")
-    counts = rows.groupBy("user_id", "series_id").agg(
+    counts = rows.groupBy("user_id", *of).agg(
         F.count_if(main & released & is_read).alias("read"), F.count_if(main & released).alias("total"),
         F.count_if(main & (F.col("state") == "unknown") & ~is_read & ~current).alias("undated"), F.count_if(main & (F.col("state") == "scheduled")).alias("upcoming"),
         F.count_if(main & F.coalesce("has_audio", F.lit(True)) & (F.col("state") == "unknown") & current).alias("unvouched"),
         F.count_if(~main & released & is_read).alias("side_read"), F.count_if(~main & released).alias("side_total"),
         F.min(F.when(main & released & ~is_read, F.struct("rank", "work_id"))).alias("next"), F.bool_or(F.coalesce(F.col("shelf") == "reading", F.lit(False))).alias("listening"),
     )
-    known = works.select("series_id", "work_id")
-    unmatched = coverage.where("current").select("series_id", F.explode("released_ids").alias("work_id")).join(known, ["series_id", "work_id"], "left_anti").groupBy("series_id").agg(F.count("*").alias("unmatched"))
-    met = counts.join(coverage.select("series_id", "current"), "series_id", "left").join(unmatched, "series_id", "left").join(gaps, "series_id", "left").withColumn("unmatched", F.coalesce("unmatched", F.lit(0)))
+    known = works.select(*of, "work_id")
+    unmatched = coverage.where("current").select(*of, F.explode("released_ids").alias("work_id")).join(known, [*of, "work_id"], "left_anti").groupBy(*of).agg(F.count("*").alias("unmatched"))
+    met = counts.join(coverage.select(*of, "current"), of, "left").join(unmatched, of, "left").join(gaps, of, "left").withColumn("unmatched", F.coalesce("unmatched", F.lit(0)))
     met = met.withColumn("gaps", F.when(current, F.array().cast("array<int>")).otherwise(F.coalesce("gaps", F.array().cast("array<int>"))))
     clean = current & (F.col("unmatched") == 0) & (F.col("unvouched") == 0)
     finished = (F.col("total") > 0) & (F.col("read") == F.col("total"))
@@ -262,7 +268,7 @@ def progress(follows: DataFrame, works: DataFrame, entries: DataFrame, gaps: Dat
         )
     )
     return met.select(
-        "user_id", "series_id", "read", "total", (F.col("total") - F.col("read")).alias("remaining"), "undated", "upcoming", "gaps", (finished & clean).alias("caught_up"),
+        *within, "user_id", "series_id", "read", "total", (F.col("total") - F.col("read")).alias("remaining"), "undated", "upcoming", "gaps", (finished & clean).alias("caught_up"),
         F.col("next.work_id").alias("next_unread"), "side_read", "side_total", current.alias("source_complete"), F.array_compact(said).alias("unresolved"), state.alias("state"),
     )
 
@@ -273,21 +279,21 @@ def reading_rank(main: DataFrame) -> DataFrame:
     return main.withColumn("rank", F.row_number().over(w))
 
 
-def place_works(works: DataFrame, order: list[Column], series: str = "series_id") -> DataFrame:
+def place_works(works: DataFrame, order: list[Column], series: str = "series_id", dealt: bool = False) -> DataFrame:
     """``works`` with is_main, whether ``series.mainline`` has the work, and its ``reading_rank``, null for other works.
 
-    Rows are shuffled once, by series: both windows are within it.
+    Rows are shuffled once, by series: both windows are within it. ``dealt`` says that they lie so already.
     """
     numbered = F.max(F.col("number").isNotNull()).over(Window.partitionBy(series))
     first = F.row_number().over(Window.partitionBy(series, "number").orderBy(*order)) == 1
-    marked = works.repartition(series).withColumn("is_main", F.when(F.col("number").isNotNull(), first).otherwise(~numbered))
+    marked = (works if dealt else works.repartition(series)).withColumn("is_main", F.when(F.col("number").isNotNull(), first).otherwise(~numbered))
     w = Window.partitionBy(series).orderBy(F.desc("is_main"), F.coalesce("number", F.lit(float(UNNUMBERED))), F.collate("title", "UNICODE"), "work_id")
     return marked.withColumn("rank", F.when(F.col("is_main"), F.row_number().over(w)))
 
 
-def up_next(progress: DataFrame, releases: DataFrame, titles: DataFrame) -> DataFrame:
+def up_next(progress: DataFrame, releases: DataFrame, titles: DataFrame, within: Within = ()) -> DataFrame:
     """The next unread work of each followed series, oldest release first."""
-    met = progress.where("next_unread is not null").join(releases.select("series_id", F.col("work_id").alias("next_unread"), "date"), ["series_id", "next_unread"], "left").join(titles, "series_id", "left")
+    met = progress.where("next_unread is not null").join(releases.select(*within, "series_id", F.col("work_id").alias("next_unread"), "date"), [*within, "series_id", "next_unread"], "left").join(titles, [*within, "series_id"], "left")
     return met.select("user_id", "series_id", "next_unread", "remaining", F.coalesce("date", F.lit("")).alias("date"), "title").orderBy("date", F.collate("title", "UNICODE"))
 
 

@@ -107,11 +107,11 @@ def side_works(works: DataFrame, main: DataFrame, key: list[str]) -> DataFrame:
     return works.join(main.select(*key).distinct(), key, "left_anti")
 
 
-def gaps(works: DataFrame, series: str = "series_id", number: str = "number") -> DataFrame:
+def gaps(works: DataFrame, series: str = "series_id", number: str = "number", within: tuple[str, ...] = ()) -> DataFrame:
     """(series, gaps): whole numbers below the highest that no work has; only 1 to 199 count."""
     whole = works.where((F.col(number) == F.floor(number)) & (F.col(number) > 0) & (F.col(number) < 200))
-    have = whole.groupBy(series).agg(F.collect_set(F.col(number).cast("int")).alias("have"))
-    return have.select(series, F.array_except(F.sequence(F.lit(1), F.array_max("have")), "have").alias("gaps"))
+    have = whole.groupBy(*within, series).agg(F.collect_set(F.col(number).cast("int")).alias("have"))
+    return have.select(*within, series, F.array_except(F.sequence(F.lit(1), F.array_max("have")), "have").alias("gaps"))
 
 
 def work_index(works: DataFrame, books: DataFrame | None = None) -> DataFrame:
