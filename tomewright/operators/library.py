@@ -125,16 +125,28 @@ def implied_follows(entries: DataFrame, works: DataFrame, within: Within = ()) -
     return entries.join(alias_ids(works, within), [*within, "id"]).groupBy(*within, "user_id", "series_id").agg(F.min("updated_at").alias("followed_at"))
 
 
-def rehome(entries: DataFrame, works: DataFrame, series: DataFrame, books: DataFrame | None = None, within: Within = ()) -> DataFrame:
+def _made_once(rows: DataFrame, within: Within, parts: int) -> DataFrame:
+    """``rows`` shuffled by ``within``: each use asks for the same columns under no condition, so that one shuffle serves all.
+
+    Columns that a generator gives are new ones: the planner neither sees that the rows lie so already nor pushes anything below.
+    """
+    if not (within and parts):
+        return rows
+    again = lambda df, keep, columns: df.select(*keep, F.inline(F.array(F.struct(*columns))))
+    return again(again(rows, (), rows.columns).repartition(parts, *within), within, [c for c in rows.columns if c not in within])
+
+
+def rehome(entries: DataFrame, works: DataFrame, series: DataFrame, books: DataFrame | None = None, within: Within = (), parts: int = 0) -> DataFrame:
     """Entries whose id leads nowhere, moved to the work they were about.
 
     In this order: the hint on the entry (series or former name, and number), the id that the work would have got under a
     former name, title or number, and the audiobook of that id by its series and number. An entry replaces the one on the
     work if it is not older. Ids that were made up go, real ones stay. Several orphans of one work: the latest, of equals the
-    last in id order, is what one after the other would leave.
+    last in id order, is what one after the other would leave. ``parts`` is into how many parts the tables are dealt out ``within``;
+    with it the orphans and their places are shuffled once more, so that no task has to make them several times.
     """
     known = alias_ids(works, within).select(*within, "id").distinct()
-    lost = entries.join(known, [*within, "id"], "left_anti")
+    lost = _made_once(entries.join(known, [*within, "id"], "left_anti"), within, parts)
     # every name of a series leads to the first series that has it
     names = series.select(*within, F.col("id").alias("series_id"), "ordinal", F.explode(F.concat(F.array("id"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"))
     first_name = names.groupBy(*within, "name").agg(F.min_by("series_id", "ordinal").alias("series_id"))
@@ -155,6 +167,7 @@ def rehome(entries: DataFrame, works: DataFrame, series: DataFrame, books: DataF
         audio = books.where((F.col("edition") == "audiobook") & F.col("seriesNumber").isNotNull()).select(*within, "id", "seriesKey", "seriesNumber")
         found = found.unionByName(target(lost.select(*within, "user_id", "id").join(audio, [*within, "id"]), "seriesKey", "seriesNumber").select(*within, "user_id", "id", F.lit(2).alias("how"), "t_series", "t_work"))
     best = found.groupBy(*within, "user_id", "id").agg(F.min_by(F.struct("t_series", "t_work"), "how").alias("t")).select(*within, "user_id", "id", "t.*")
+    best = _made_once(best, within, parts)
     numbers = works.select(*within, F.col("series_id").alias("t_series"), F.col("work_id").alias("t_work"), F.col("number").alias("t_number"))
     moved = lost.join(best, [*within, "user_id", "id"]).join(numbers, [*within, "t_series", "t_work"]).select(*within, "user_id", F.col("t_work").alias("id"), "status", "rating", "updated_at", F.col("t_series").alias("hint_series"), F.col("t_number").alias("hint_number"), F.col("id").alias("__from"))
     gone = best.where(F.col("id").startswith("work-legacy-")).select(*within, "user_id", "id")

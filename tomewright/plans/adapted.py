@@ -165,8 +165,8 @@ def works(spark, d) -> DataFrame:
     return _named(_gathered(li.repartition(tasks(li), "l_orderkey")))
 
 
-def placed_orders(spark, d) -> tuple[DataFrame, DataFrame]:
-    """``works`` and (series_ordinal, k, user_id), the customers who read them, both dealt out by series_ordinal, the order.
+def placed_orders(spark, d) -> tuple[DataFrame, DataFrame, int]:
+    """``works`` and (series_ordinal, k, user_id), the customers who read them, both dealt out by series_ordinal, the order, and into how many parts.
 
     All that these queries join, count and rank lies within an order: operators that are told so (``within``) then shuffle
     nothing more, however often the works are used. Each table is shuffled once: all that is known of a work but its order comes from the
@@ -186,7 +186,7 @@ def placed_orders(spark, d) -> tuple[DataFrame, DataFrame]:
     )
     o = o.select(F.col("o_orderkey").alias("series_ordinal"), "o_custkey").where("series_ordinal is not null").repartition(parts, "series_ordinal")
     o = o.select("series_ordinal", F.inline(F.array(F.struct(F.col("series_ordinal").alias("k"), "o_custkey"))))
-    return _named(rows, "k", order="k"), o.select("series_ordinal", F.concat(F.lit("u"), F.col("o_custkey").cast("string")).alias("user_id"), "k")
+    return _named(rows, "k", order="k"), o.select("series_ordinal", F.concat(F.lit("u"), F.col("o_custkey").cast("string")).alias("user_id"), "k"), parts
 
 
 def series_of(rows: DataFrame, **columns: Column) -> DataFrame:
