@@ -10,7 +10,7 @@ from parity import connect, difference
 from tomewright.plans import registry
 from tomewright.plans.queries import ORACLES, QUERIES
 
-NAMES = ("q79_apply_edits", "q27_rehome_precedence", "q30_read_through_prefix", "q108_implied_follows")
+NAMES = ("q79_apply_edits", "q28_progress_counts", "q29_next_unread", "q27_rehome_precedence", "q30_read_through_prefix", "q108_implied_follows")
 
 
 @pytest.fixture

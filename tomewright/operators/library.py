@@ -255,6 +255,7 @@ def progress(follows: DataFrame, works: DataFrame, entries: DataFrame, gaps: Dat
     is_read, released = F.coalesce(F.col("shelf") == "read", F.lit(False)), F.col("state") == "released"
     main = F.col("is_main")
     counts = rows.groupBy("user_id", *of).agg(
+        F.max("current").alias("current"),
         F.count_if(main & released & is_read).alias("read"), F.count_if(main & released).alias("total"),
         F.count_if(main & (F.col("state") == "unknown") & ~is_read & ~current).alias("undated"), F.count_if(main & (F.col("state") == "scheduled")).alias("upcoming"),
         F.count_if(main & F.coalesce("has_audio", F.lit(True)) & (F.col("state") == "unknown") & current).alias("unvouched"),
@@ -263,7 +264,7 @@ def progress(follows: DataFrame, works: DataFrame, entries: DataFrame, gaps: Dat
     )
     known = works.select(*of, "work_id")
     unmatched = coverage.where("current").select(*of, F.explode("released_ids").alias("work_id")).join(known, [*of, "work_id"], "left_anti").groupBy(*of).agg(F.count("*").alias("unmatched"))
-    met = counts.join(coverage.select(*of, "current"), of, "left").join(unmatched, of, "left").join(gaps, of, "left").withColumn("unmatched", F.coalesce("unmatched", F.lit(0)))
+    met = counts.join(unmatched, of, "left").join(gaps, of, "left").withColumn("unmatched", F.coalesce("unmatched", F.lit(0)))
     met = met.withColumn("gaps", F.when(current, F.array().cast("array<int>")).otherwise(F.coalesce("gaps", F.array().cast("array<int>"))))
     clean = current & (F.col("unmatched") == 0) & (F.col("unvouched") == 0)
     finished = (F.col("total") > 0) & (F.col("read") == F.col("total"))
