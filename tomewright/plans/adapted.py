@@ -6,11 +6,14 @@ it. ``lineitem`` gives works: l_orderkey is the series, l_linenumber the volume,
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
+from ..storage import scratch
 from .registry import read, tasks
 
 TASTE_KEYS = ("stats", "action", "humor", "cozy", "worldbuilding", "crafting", "politics", "teamwork")
@@ -149,8 +152,8 @@ def _gathered(li: DataFrame) -> DataFrame:
     )
 
 
-def _named(li: DataFrame, *more: str, order: str = "l_orderkey") -> DataFrame:
-    sid, part = F.concat(F.lit("o"), F.col(order).cast("string")), F.col("l_partkey").cast("string")
+def _named(li: DataFrame, *more: str) -> DataFrame:
+    sid, part = F.concat(F.lit("o"), F.col("l_orderkey").cast("string")), F.col("l_partkey").cast("string")
     return li.select(
         sid.alias("series_id"), F.lit("").alias("series_title"), (F.col("l_linenumber").cast("long") * 1000000000 + F.col("l_partkey")).alias("position"), F.col("l_orderkey").alias("series_ordinal"),
         F.concat_ws("-", sid, F.col("l_linenumber").cast("string"), part).alias("work_id"), F.concat(F.lit("Part "), part).alias("title"), F.col("l_linenumber").cast("double").alias("number"),
@@ -169,24 +172,19 @@ def placed_orders(spark, d) -> tuple[DataFrame, DataFrame, int]:
     """``works`` and (series_ordinal, k, user_id), the customers who read them, both dealt out by series_ordinal, the order, and into how many parts.
 
     All that these queries join, count and rank lies within an order: operators that are told so (``within``) then shuffle
-    nothing more, however often the works are used. Each table is shuffled once: all that is known of a work but its order comes from the
-    list of its lines, so that every use asks for the same columns of the same rows. ``k`` is series_ordinal too, but a condition
-    on it does not reach the shuffle.
+    nothing more, however often the works are used. ``lineitem`` is shuffled once, gathered and written as a table in buckets of orders, so
+    that Spark knows where the rows of an order are; a work is named when it is read. The table is the session's, its files lie in a
+    scratch folder. ``k`` is series_ordinal too; of ``orders`` a condition on it does not reach the shuffle, which so serves all uses.
     """
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")  # rows of an order are together, whatever else a join compares
     li, o = read(spark, d, "lineitem"), read(spark, d, "orders")
-    parts = tasks(li, o)
-    columns = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_returnflag", "l_linestatus"]
-    dealt = li.select("l_orderkey", *columns).where("l_orderkey is not null").repartition(parts, "l_orderkey")
-    lines = dealt.groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.collect_list(F.struct("l_orderkey", *columns)).alias("lines")).where("size(lines) > 0")
-    first, line = F.col("lines")[0], F.col("lines")
-    rows = lines.select(
-        "l_orderkey", first["l_orderkey"].alias("k"), first["l_linenumber"].alias("l_linenumber"), first["l_partkey"].alias("l_partkey"), F.array_distinct(line["l_suppkey"]).alias("supps"),
-        F.to_date(F.array_min(line["l_shipdate"])).alias("day"), F.array_max(line["l_returnflag"]).alias("flag"), F.array_max(line["l_linestatus"]).alias("linestatus"),
-    )
+    parts, name = tasks(li, o), f"works_{uuid.uuid4().hex}"
+    lines = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_returnflag", "l_linestatus").where("l_orderkey is not null")
+    _gathered(lines.repartition(parts, "l_orderkey")).write.format("parquet").bucketBy(parts, "l_orderkey").option("path", scratch(spark, "works")).saveAsTable(name)
+    rows = spark.table(name).withColumn("k", F.col("l_orderkey"))
     o = o.select(F.col("o_orderkey").alias("series_ordinal"), "o_custkey").where("series_ordinal is not null").repartition(parts, "series_ordinal")
     o = o.select("series_ordinal", F.inline(F.array(F.struct(F.col("series_ordinal").alias("k"), "o_custkey"))))
-    return _named(rows, "k", order="k"), o.select("series_ordinal", F.concat(F.lit("u"), F.col("o_custkey").cast("string")).alias("user_id"), "k"), parts
+    return _named(rows, "k"), o.select("series_ordinal", F.concat(F.lit("u"), F.col("o_custkey").cast("string")).alias("user_id"), "k"), parts
 
 
 def series_of(rows: DataFrame, **columns: Column) -> DataFrame:
